@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, blocks, runs, words
@@ -31,14 +32,18 @@ def punctuation() -> np.ndarray:
     return table
 
 
+def lowered(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts.cast(pa.string()))
+
+
 class Items:
     """A block of benchmark items: word hashes, vocabulary, weights, latent basis."""
 
     def __init__(self, ids: list, texts: list[str]):
-        prefix = Prefix(lower=True)
+        prefix = Prefix()
         self.ids, self.words = [], []
         for item, text in zip(ids, texts, strict=True):
-            data = np.frombuffer(text.encode(), dtype=np.uint8)
+            data = np.frombuffer(lowered(pa.array([text]))[0].as_py().encode(), dtype=np.uint8)
             start, end, _ = words(data, np.array([0, len(data)]), punctuation())
             if len(start):
                 self.ids.append(item)
@@ -129,7 +134,7 @@ def places(item: np.ndarray) -> dict[int, int]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): each document with each item that it leaks, at its best passage.
 
-    Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased. A pair is a leak if ``lcs`` of the item's
+    Words are runs of letters, digits and non-ASCII bytes, lower-cased. A pair is a leak if ``lcs`` of the item's
     words follow each other in the passage's surroundings in the item's order and ``answer`` of its last quarter do too,
     or if 0.85 of all words do. Items without words and null or empty texts match nothing; repeated rows give repeated
     results; equal items are each reported. Texts are never shuffled or cut: three scans for each ``ITEM_BLOCK`` items.
@@ -158,10 +163,10 @@ def _frequencies(base: DataFrame, items: Items) -> None:
     vocabulary = items.vocabulary
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, separator = Prefix(lower=True), punctuation()
+        prefix, separator = Prefix(), punctuation()
         total, units = np.zeros(len(vocabulary), dtype=np.int64), 0
         for batch in batches:
-            for _, _, data, offsets, _ in blocks(batch.column(0)):
+            for _, _, data, offsets, _ in blocks(lowered(batch.column(0))):
                 p = Passages(data, offsets, prefix, separator, vocabulary)
                 total += np.bincount(p.distinct()[1], minlength=len(vocabulary))
                 units += p.units
@@ -186,10 +191,10 @@ def _span(base: DataFrame, items: Items, cosine: float) -> None:
     test = rng.standard_normal((len(items.vocabulary), RANK)).astype(np.float32)
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, separator = Prefix(lower=True), punctuation()
+        prefix, separator = Prefix(), punctuation()
         total = np.zeros((len(items.vocabulary), RANK), dtype=np.float32)
         for batch in batches:
-            for _, _, data, offsets, _ in blocks(batch.column(0)):
+            for _, _, data, offsets, _ in blocks(lowered(batch.column(0))):
                 p = Passages(data, offsets, prefix, separator, items.vocabulary)
                 unit, word, known, whole = p.masses(items)
                 near = known >= cosine**2 * whole
@@ -230,13 +235,13 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
     lengths = np.array([len(w) for w in items.words])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, separator = Prefix(lower=True), punctuation()
+        prefix, separator = Prefix(), punctuation()
         masks = [places(w) for w in items.words]
         tails = [w[-max(1, len(w) // 4) :] for w in items.words]
         tail_masks = [places(w) for w in tails]
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for lo, _, data, offsets, _ in blocks(batch.column(1)):
+            for lo, _, data, offsets, _ in blocks(lowered(batch.column(1))):
                 p = Passages(data, offsets, prefix, separator, items.vocabulary)
                 unit, word, known, whole = p.masses(items)
                 near = (known >= cosine**2 * whole) & (known > 0)
