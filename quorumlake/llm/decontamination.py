@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, blocks, runs, words
 
-WINDOW, COSINE, LCS, ANSWER = 32, 0.35, 0.6, 0.5
-RANK, MAX_SHARE = 32, 0.05
+WINDOW, COSINE, LCS, ANSWER = 32, 0.4, 0.6, 0.5
+RANK, MAX_SHARE = 32, 0.002
 ITEM_BLOCK = 256
+LEADING = 18
 
 
 def punctuation() -> np.ndarray:
@@ -54,9 +55,14 @@ class Items:
         self.basis = np.zeros((len(self.vocabulary), 0), dtype=np.float32)
 
     def weigh(self, units: int, counts: np.ndarray) -> None:
-        """Inverse document frequencies; words in more than ``MAX_SHARE`` of all units weigh nothing."""
+        """Inverse document frequencies. Words in more than ``MAX_SHARE`` of all units weigh nothing, but the rarer half
+        of each item's words always weigh, so an item that much of the corpus repeats is found as well as any other."""
         idf = np.log((1 + units) / (1 + counts))
-        idf[counts > MAX_SHARE * max(units, 1 / MAX_SHARE)] = 0
+        common_word = counts > MAX_SHARE * units
+        for w in self.words:
+            at = np.unique(np.searchsorted(self.vocabulary, w))
+            common_word[at[np.argsort(counts[at], kind="stable")[: (len(at) + 1) // 2]]] = False
+        idf = np.where(common_word, 0, np.maximum(idf, 0.1))
         self.weights, self.unseen = idf.astype(np.float32), 0.75 * math.log(1 + units)
 
     def vectors(self) -> np.ndarray:
@@ -69,10 +75,16 @@ class Items:
         return out / np.where(norm > 0, norm, 1)
 
 
+def leading_bits(vocabulary: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << LEADING, dtype=bool)
+    out[(vocabulary >> U64(64 - LEADING)).astype(np.int64)] = True
+    return out
+
+
 class Passages:
     """Overlapping windows of ``WINDOW`` words, each two neighbouring units of half that length."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, prefix: Prefix, separator: np.ndarray, vocabulary: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, prefix: Prefix, separator: np.ndarray, vocabulary: np.ndarray, leading: np.ndarray):
         start, end, self.row = words(data, offsets, separator)
         self.hashes = prefix.of(prefix.sums(data), start, end) if len(start) else np.zeros(0, U64)
         rows = len(offsets) - 1
@@ -85,20 +97,24 @@ class Passages:
         self.units = int(per_row.sum())
         self.unit = self.unit_first[self.row] + place // half
         self.unit_row = np.repeat(np.arange(rows), per_row)
-        at = np.minimum(np.searchsorted(vocabulary, self.hashes), max(0, len(vocabulary) - 1))
-        self.known = np.flatnonzero(vocabulary[at] == self.hashes) if len(vocabulary) else np.zeros(0, dtype=np.int64)
-        self.word = at[self.known]
-
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, vocabulary word) of each known word, once a unit."""
-        key = np.unique(self.unit[self.known] << 24 | self.word)
+        # a first look by the leading bits of a hash settles most words that are not in the vocabulary
+        self.known = np.flatnonzero(leading[(self.hashes >> U64(64 - LEADING)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(vocabulary, self.hashes[self.known]), max(0, len(vocabulary) - 1))
+        found = vocabulary[at] == self.hashes[self.known] if len(vocabulary) else np.zeros(0, dtype=bool)
+        self.known, self.word = self.known[found], at[found]
+
+    def distinct(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, vocabulary word) of each known word, once a unit; of the words to keep only."""
+        unit, word = self.unit[self.known], self.word
+        if keep is not None:
+            pick = keep[word]
+            unit, word = unit[pick], word[pick]
+        key = np.unique(unit << 24 | word)
         return key >> 24, key & ((1 << 24) - 1)
 
     def masses(self, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(unit, word) pairs with weight, and each window's squared norms: of known words, of all words."""
-        unit, word = self.distinct()
-        use = items.weights[word] > 0
-        unit, word = unit[use], word[use]
+        unit, word = self.distinct(items.weights > 0)
         mass = np.bincount(unit, weights=items.weights[word].astype(np.float64) ** 2, minlength=self.units)
         plain = np.bincount(self.unit, minlength=self.units) - np.bincount(self.unit[self.known], minlength=self.units)
         return unit, word, self.windows(mass), self.windows(mass + plain * items.unseen**2)
@@ -163,11 +179,11 @@ def _frequencies(base: DataFrame, items: Items) -> None:
     vocabulary = items.vocabulary
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, separator = Prefix(), punctuation()
+        prefix, separator, leading = Prefix(), punctuation(), leading_bits(vocabulary)
         total, units = np.zeros(len(vocabulary), dtype=np.int64), 0
         for batch in batches:
             for _, _, data, offsets, _ in blocks(lowered(batch.column(0))):
-                p = Passages(data, offsets, prefix, separator, vocabulary)
+                p = Passages(data, offsets, prefix, separator, vocabulary, leading)
                 total += np.bincount(p.distinct()[1], minlength=len(vocabulary))
                 units += p.units
         some = np.flatnonzero(total)
@@ -191,11 +207,11 @@ def _span(base: DataFrame, items: Items, cosine: float) -> None:
     test = rng.standard_normal((len(items.vocabulary), RANK)).astype(np.float32)
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, separator = Prefix(), punctuation()
+        prefix, separator, leading = Prefix(), punctuation(), leading_bits(items.vocabulary)
         total = np.zeros((len(items.vocabulary), RANK), dtype=np.float32)
         for batch in batches:
             for _, _, data, offsets, _ in blocks(lowered(batch.column(0))):
-                p = Passages(data, offsets, prefix, separator, items.vocabulary)
+                p = Passages(data, offsets, prefix, separator, items.vocabulary, leading)
                 unit, word, known, whole = p.masses(items)
                 near = known >= cosine**2 * whole
                 near &= known > 0
@@ -235,14 +251,14 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
     lengths = np.array([len(w) for w in items.words])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, separator = Prefix(), punctuation()
+        prefix, separator, leading = Prefix(), punctuation(), leading_bits(items.vocabulary)
         masks = [places(w) for w in items.words]
         tails = [w[-max(1, len(w) // 4) :] for w in items.words]
         tail_masks = [places(w) for w in tails]
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, _, data, offsets, _ in blocks(lowered(batch.column(1))):
-                p = Passages(data, offsets, prefix, separator, items.vocabulary)
+                p = Passages(data, offsets, prefix, separator, items.vocabulary, leading)
                 unit, word, known, whole = p.masses(items)
                 near = (known >= cosine**2 * whole) & (known > 0)
                 half = near.copy()
