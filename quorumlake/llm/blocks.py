@@ -83,7 +83,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets, nulls
 
 
-def blocks(column: pa.Array, block_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, block_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets, nulls) for runs of rows."""
     data, offsets, nulls = flat(column)
     n, lo = len(offsets) - 1, 0

@@ -92,7 +92,7 @@ def fit(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text",
         for batch in batches:
             for name in pc.unique(batch.column(0)).to_pylist():
                 lower = pc.utf8_lower(batch.column(1).filter(pc.equal(batch.column(0), name)))
-                for _, _, data, offsets, _ in blocks(lower):
+                for _, _, data, offsets, _ in blocks(lower, 4 << 20):
                     start, end, _ = words(data, offsets, separator)
                     if not len(start):
                         continue
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
             best, share = [], []
             raw = batch.column(at_text)
             lower = pc.utf8_lower(raw.cast(pa.string()))
-            for lo, hi, data, offsets, nulls in blocks(lower):
+            for lo, hi, data, offsets, nulls in blocks(lower, 4 << 20):
                 m = hi - lo
                 sums = np.zeros((m, max(1, len(languages))))
                 start, end, row = words(data, offsets, separator)

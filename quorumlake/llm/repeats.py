@@ -22,7 +22,7 @@ from quorumlake.llm.blocks import U64, Prefix, binary, blocks, flat, mix, runs
 from quorumlake.runtime import materialize, parallelism
 
 LENGTH, GRAM = 200, 32
-FLUSH = 1_500_000
+FLUSH = 500_000
 PLACE_BITS, CHUNK = 23, 1 << 22
 ENTRY = "bucket long, kind int, data binary"
 OPEN, SETTLED, SORTED = 0, 1, 2
@@ -154,8 +154,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), body).alias("rid"))
     facts = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     total = int(facts["bytes"] or 0)
-    n_sorted = max(parallelism(spark), math.ceil(total / 100_000_000))
-    n_texts = max(parallelism(spark), math.ceil(total / 32_000_000))
+    n_sorted = max(parallelism(spark), math.ceil(total / 40_000_000))
+    n_texts = max(parallelism(spark), math.ceil(total / 16_000_000))
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = Prefix()
@@ -265,7 +265,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
             string = np.repeat(lo[span] + offsets[row] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
             row = np.repeat(row, many)
             held.append((prefix.of(sums, string, string + length) & ~U64(1), own[a + row], (string - offsets[row]).astype(np.uint32)))
-            if sum(len(x[0]) for x in held) >= 4 * FLUSH:
+            if sum(len(x[0]) for x in held) >= 6 * FLUSH:
                 flush()
         if held:
             flush()
