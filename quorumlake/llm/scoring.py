@@ -1,10 +1,9 @@
 """Stupid-backoff scores from n-gram count tables partitioned by hash.
 
 Texts are dealt to chunks; a chunk's distinct n-grams with their counts go, packed by range of hash, to the partitions of
-the count table, which sum them and answer each chunk with the totals; the chunk joins the totals to its exploded n-grams
-and sums per document. Counts leave the scored document out, so that no text vouches for itself. An n-gram that stands
-in another document has parts that do, so each order only sends n-grams whose two parts the order below found elsewhere:
-that prunes what is sent without changing any score.
+the count table, which sum them and answer each chunk with what other chunks add; the chunk joins the answers to its
+exploded n-grams and sums per document. Counts leave the scored document out, so that no text vouches for itself. Texts
+are shuffled once: the plan's two uses of them share one exchange.
 """
 
 from __future__ import annotations
@@ -16,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlake.llm.blocks import U64, Prefix, binary, flat, mix, runs, space_table, words
-from quorumlake.runtime import materialize, parallelism
+from quorumlake.llm.blocks import U64, Prefix, binary, blocks, flat, mix, runs, space_table, words
+from quorumlake.runtime import parallelism
 
-ALPHA, ORDER = 0.4, 3
+ALPHA, ORDER = 0.4, 2
 CHUNK_BYTES, TABLE_ENTRIES = 12_000_000, 2_000_000
-SENT = "bucket long, chunk long, n int, words long, data binary"
+SENT = "bucket long, chunk long, n int, data binary"
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
@@ -44,17 +43,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, steps.reshape(-1).view(U64)]), dtype=U64)
 
 
-def pack_counts(counts: np.ndarray, usual: np.ndarray | int = 1) -> bytes:
-    """Counts that differ from the usual ones, with their places."""
-    odd = np.flatnonzero(counts != usual).astype(np.uint32)
-    return odd.tobytes() + counts[odd].astype(np.uint32).tobytes()
+def pack_small(values: np.ndarray) -> bytes:
+    """A byte for each value; 255 stands for those in the list of large ones at the end."""
+    large = values[values >= 255].astype(np.uint32)
+    return framed(np.minimum(values, 255).astype(np.uint8).tobytes(), large.tobytes())
 
 
-def unpack_counts(data: bytes, usual: np.ndarray) -> np.ndarray:
-    pairs = np.frombuffer(data, np.uint32)
-    half = len(pairs) // 2
-    out = usual.copy()
-    out[pairs[:half]] = pairs[half:]
+def unpack_small(data: bytes) -> np.ndarray:
+    small, large = unframed(data)
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, np.uint32)
     return out
 
 
@@ -87,59 +85,42 @@ class Chunk:
         self.length = np.bincount(self.row, minlength=self.rows)
         self.place = np.arange(len(self.row)) - (np.cumsum(self.length) - self.length)[self.row]
 
-    def grams(self, n: int) -> np.ndarray:
-        """Hash of the n words that end at each word; only places with n words of the text count."""
-        out = np.zeros(len(self.words), dtype=U64)
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the last words of n-grams, and the n-grams' hashes."""
+        at = np.flatnonzero(self.place >= n - 1)
+        out = np.zeros(len(at), dtype=U64)
         for k in range(n - 1, -1, -1):
-            shifted = np.zeros(len(self.words), dtype=U64)
-            shifted[k:] = self.words[: len(self.words) - k] if k else self.words
-            out = out * U64(0xD1342543DE82EF95) + shifted
-        return mix(out + U64(n))
-
-    def own(self, keys: np.ndarray, valid: np.ndarray) -> np.ndarray:
-        """How often each place's n-gram stands in its own text."""
-        at = np.flatnonzero(valid)
-        order = at[np.lexsort((keys[at], self.row[at]))]
-        out = np.zeros(len(keys), dtype=np.int64)
+            out = out * U64(0xD1342543DE82EF95) + self.words[at - k]
+        return at, mix(out + U64(n))
+
+    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams to send, sorted, with their counts in the chunk."""
+        return np.unique(self.grams(n)[1], return_counts=True)
+
+    def others(self, n: int, extra: np.ndarray) -> np.ndarray:
+        """How often the n-gram that ends at each place stands in other texts; ``extra``: what other chunks add to each
+        distinct one. 0 where a place has no such n-gram."""
+        at, keys = self.grams(n)
+        out = np.zeros(len(self.words), dtype=np.int64)
+        if not len(at):
+            return out
+        _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        found = extra[which] + counts[which] - 1
+        several = np.flatnonzero(counts[which] > 1)  # maybe in its own text again
+        order = several[np.lexsort((which[several], self.row[at[several]]))]
         if len(order):
-            change = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (self.row[order][1:] != self.row[order][:-1])])
-            start = np.flatnonzero(change)
+            k, r = which[order], self.row[at[order]]
+            start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]))
             many = np.diff(np.append(start, len(order)))
-            out[order] = np.repeat(many, many)
+            found[order] -= np.repeat(many, many) - 1
+        out[at] = found
         return out
 
-    def others(self, n: int, totals: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """How often each place's n-gram stands in other texts; 0 where the place has no such n-gram or it was not sent."""
-        keys, sums = totals[n]
-        out = np.zeros(len(self.words), dtype=np.int64)
-        if not len(keys):
-            return out
-        mine = self.grams(n)
-        valid = self.place >= n - 1
-        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-        valid &= keys[at] == mine
-        return np.where(valid, sums[at] - self.own(mine, valid), 0)
-
-    def asked(self, n: int, totals: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams to send, with their counts in the chunk."""
-        valid = self.place >= n - 1
-        if n > 1 and len(self.words):
-            below = self.others(n - 1, totals) > 0  # ends here; the other part ends one word before
-            valid &= below
-            valid[1:] &= below[:-1]
-        return np.unique(self.grams(n)[valid], return_counts=True)
-
-
-def received(answers: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted n-grams that the chunk sent, with their totals."""
+
+def received(answers: pa.Table, n: int) -> np.ndarray:
+    """What other chunks add to each distinct n-gram of the chunk, in the n-grams' order."""
     picked = [(b, d) for b, k, d in zip(answers["bucket"].to_pylist(), answers["n"].to_pylist(), answers["data"].to_pylist(), strict=True) if k == n]
-    keys, sums = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
-    for _, data in sorted(picked):
-        packed, own, total = unframed(data)
-        k = unpack_sorted(packed)
-        keys.append(k)
-        sums.append(unpack_counts(total, unpack_counts(own, np.ones(len(k), np.int64))))
-    return np.concatenate(keys), np.concatenate(sums)
+    return np.concatenate([np.zeros(0, np.int64), *[unpack_small(d) for _, d in sorted(picked)]])
 
 
 def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,78 +133,63 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, do
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        separator, n, size = space_table(), 0, 0
+        for batch in batches:
+            for _, _, data, offsets, _ in blocks(batch.column(0)):
+                n += len(words(data, offsets, separator)[0])
+                size += len(data)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["words", "bytes"])
+
+    facts = base.select("text").mapInArrow(counted, "words long, bytes long").agg(F.sum("words").alias("words"), F.sum("bytes").alias("bytes")).first()
+    n_words, total = facts["words"] or 0, facts["bytes"] or 0
     n_chunks = max(parallelism(spark), math.ceil(total / CHUNK_BYTES))
-    n_tables = max(parallelism(spark), math.ceil(total / 6 / TABLE_ENTRIES))
-    texts = base.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(n_chunks)))
-    by_chunk = texts.groupBy("chunk")
-    edges = [(i << 64) // n_tables for i in range(1, n_tables)]
-
-    def send(n: int, answers: pa.Table | None, texts: pa.Table) -> pa.Table:
-        if not texts.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int64()), "chunk": pa.array([], pa.int64()), "n": pa.array([], pa.int32()), "words": pa.array([], pa.int64()), "data": binary([])})
-        chunk = Chunk(texts)
-        totals = {n - 1: received(answers, n - 1)} if n > 1 else {}
-        keys, counts = chunk.asked(n, totals)
-        cut = np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=U64)), [len(keys)]]) if edges else np.array([0, len(keys)])
-        some = np.flatnonzero(np.diff(cut))
-        data = [framed(pack_sorted(keys[cut[i] : cut[i + 1]]), pack_counts(counts[cut[i] : cut[i + 1]])) for i in some]
-        me = texts["chunk"][0].as_py()
-        return pa.table({"bucket": pa.array([*some.tolist(), -1], pa.int64()), "chunk": pa.array([me] * (len(some) + 1), pa.int64()), "n": pa.array([n] * (len(some) + 1), pa.int32()), "words": pa.array([0] * len(some) + [len(chunk.words)], pa.int64()), "data": binary([*data, b""])})
+    n_tables = max(parallelism(spark), math.ceil(order * total / 6 / TABLE_ENTRIES))
+    by_chunk = base.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(n_chunks))).groupBy("chunk")
+    edges = np.array([(i << 64) // n_tables for i in range(1, n_tables)], dtype=U64)
 
-    def sender(n: int):  # noqa: ANN202
-        return lambda answers, texts: send(n, answers, texts)
+    def send(texts: pa.Table) -> pa.Table:
+        chunk, where, orders, data = Chunk(texts), [], [], []
+        for n in range(1, order + 1):
+            keys, counts = chunk.distinct(n)
+            cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                where.append(i)
+                orders.append(n)
+                data.append(framed(pack_sorted(keys[cut[i] : cut[i + 1]]), pack_small(counts[cut[i] : cut[i + 1]])))
+        me = texts["chunk"][0].as_py()
+        return pa.table({"bucket": pa.array(where, pa.int64()), "chunk": pa.array([me] * len(where), pa.int64()), "n": pa.array(orders, pa.int32()), "data": binary(data)})
 
     def answer(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() < 0:
-            return table
         sent = [unframed(x) for x in table["data"].to_pylist()]
-        keys = [unpack_sorted(p) for p, _ in sent]
-        counts = [unpack_counts(c, np.ones(len(k), np.int64)) for k, (_, c) in zip(keys, sent, strict=True)]
-        all_keys = np.concatenate(keys)
-        distinct = np.argsort(all_keys, kind="stable")
-        start, end = runs(all_keys[distinct])
-        sums = np.add.reduceat(np.concatenate(counts)[distinct], start)
-        whole = np.empty(len(all_keys), dtype=np.int64)
-        whole[distinct] = np.repeat(sums, end - start)
+        keys, counts = [unpack_sorted(k) for k, _ in sent], [unpack_small(c) for _, c in sent]
+        joint, own = np.concatenate(keys), np.concatenate(counts)
+        by_key = np.argsort(joint, kind="stable")
+        start, end = runs(joint[by_key])
+        extra = np.empty(len(joint), dtype=np.int64)
+        extra[by_key] = np.repeat(np.add.reduceat(own[by_key], start), end - start) - own[by_key]
         cut = np.cumsum([0, *map(len, keys)])
-        data = [framed(*sent[i], pack_counts(whole[cut[i] : cut[i + 1]], counts[i])) for i in range(len(keys))]
-        return table.set_column(table.schema.get_field_index("data"), "data", binary(data))
-
-    answers = None
-    for n in range(1, order + 1):
-        if answers is None:
-            sent = by_chunk.applyInArrow(lambda texts: send(1, None, texts), SENT)
-        else:
-            below = answers.filter((F.col("n") == n - 1) & (F.col("bucket") >= 0))
-            sent = below.groupBy("chunk").cogroup(by_chunk).applyInArrow(sender(n), SENT)
-        new = materialize(sent.groupBy("bucket").applyInArrow(answer, SENT), f"grams{n}")
-        answers = new if answers is None else answers.unionByName(new)
-    n_words = answers.filter("n = 1").agg(F.sum("words")).first()[0] or 0
+        return table.set_column(table.schema.get_field_index("data"), "data", binary([pack_small(extra[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]))
 
     def scored(answers: pa.Table, texts: pa.Table) -> pa.Table:
         chunk = Chunk(texts)
-        totals = {n: received(answers, n) for n in range(1, order + 1)}
         rest = (n_words - chunk.length)[chunk.row].astype(np.float64)
-        counts = {n: chunk.others(n, totals) for n in totals}
         longest = np.minimum(chunk.place + 1, order)
         score = np.log10(alpha) * longest - np.log10(rest + 1)
+        below = rest
         for n in range(1, order + 1):
-            seen = counts[n] > 0
-            if n == 1:
-                below = rest
-            else:
-                below = np.zeros(len(rest))
-                below[1:] = counts[n - 1][:-1]
+            count = chunk.others(n, received(answers, n))
             with np.errstate(divide="ignore", invalid="ignore"):
-                found = np.log10(counts[n] / below) + np.log10(alpha) * (longest - n)
-            score = np.where(seen, found, score)
+                score = np.where(count > 0, np.log10(count / below) + np.log10(alpha) * (longest - n), score)
+            below = np.concatenate([[0.0], count[:-1]]) if len(count) else rest
         total = np.bincount(chunk.row, weights=score, minlength=chunk.rows)
         per = np.divide(total, chunk.length, out=np.zeros_like(total), where=chunk.length > 0)
         return pa.table({"doc_id": chunk.ids, "n_words": pa.array(chunk.length.astype(np.int64)), "log10_score": pa.array(total), "log10_per_word": pa.array(per, mask=chunk.length == 0)})
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return answers.filter("bucket >= 0").groupBy("chunk").cogroup(by_chunk).applyInArrow(scored, f"doc_id {kind}, n_words long, log10_score double, log10_per_word double")
+    answers = by_chunk.applyInArrow(send, SENT).groupBy("bucket", "n").applyInArrow(answer, SENT)
+    return answers.groupBy("chunk").cogroup(by_chunk).applyInArrow(scored, f"doc_id {kind}, n_words long, log10_score double, log10_per_word double")
 
 
 def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,23 +199,19 @@ def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-t AS (SELECT doc_id, i, ws[i] AS a, ws[i - 1] AS b, ws[i - 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+t AS (SELECT doc_id, i, ws[i] AS a, ws[i - 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
 n AS (SELECT count(*) AS n FROM t),
 l AS (SELECT doc_id, count(*) AS n_words FROM t GROUP BY 1),
 o1 AS (SELECT doc_id, a, count(*) AS k FROM t GROUP BY ALL), c1 AS (SELECT a, sum(k) AS k FROM o1 GROUP BY ALL),
 o2 AS (SELECT doc_id, b, a, count(*) AS k FROM t WHERE i > 1 GROUP BY ALL), c2 AS (SELECT b, a, sum(k) AS k FROM o2 GROUP BY ALL),
-o3 AS (SELECT doc_id, c, b, a, count(*) AS k FROM t WHERE i > 2 GROUP BY ALL), c3 AS (SELECT c, b, a, sum(k) AS k FROM o3 GROUP BY ALL),
 x1 AS (SELECT o1.doc_id, o1.a, c1.k - o1.k AS k FROM o1 JOIN c1 USING (a)),
 x2 AS (SELECT o2.doc_id, o2.b, o2.a, c2.k - o2.k AS k FROM o2 JOIN c2 USING (b, a)),
-x3 AS (SELECT o3.doc_id, o3.c, o3.b, o3.a, c3.k - o3.k AS k FROM o3 JOIN c3 USING (c, b, a)),
-s AS (SELECT t.doc_id, least(t.i, 3) AS longest, x3.k AS k3, h2.k AS h2, x2.k AS k2, h1.k AS h1, x1.k AS k1, n.n - l.n_words AS rest
+s AS (SELECT t.doc_id, least(t.i, 2) AS longest, x2.k AS k2, h1.k AS h1, x1.k AS k1, n.n - l.n_words AS rest
   FROM t CROSS JOIN n JOIN l ON l.doc_id = t.doc_id
-  LEFT JOIN x3 ON t.i > 2 AND x3.doc_id = t.doc_id AND x3.c = t.c AND x3.b = t.b AND x3.a = t.a
-  LEFT JOIN x2 h2 ON t.i > 2 AND h2.doc_id = t.doc_id AND h2.b = t.c AND h2.a = t.b
   LEFT JOIN x2 ON t.i > 1 AND x2.doc_id = t.doc_id AND x2.b = t.b AND x2.a = t.a
   LEFT JOIN x1 h1 ON t.i > 1 AND h1.doc_id = t.doc_id AND h1.a = t.b
   JOIN x1 ON x1.doc_id = t.doc_id AND x1.a = t.a),
-g AS (SELECT doc_id, CASE WHEN k3 > 0 THEN log10(k3 / h2) + log10(0.4) * (longest - 3) WHEN k2 > 0 THEN log10(k2 / h1) + log10(0.4) * (longest - 2)
+g AS (SELECT doc_id, CASE WHEN k2 > 0 THEN log10(k2 / h1) + log10(0.4) * (longest - 2)
   WHEN k1 > 0 THEN log10(k1 / rest) + log10(0.4) * (longest - 1) ELSE log10(0.4) * longest - log10(rest + 1) END AS s FROM s),
 r AS (SELECT doc_id, sum(s) AS s, count(*) AS n FROM g GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_words, round(coalesce(r.s, 0.0), 4) AS log10_score, round(r.s / r.n, 6) AS log10_per_word FROM d LEFT JOIN r ON r.doc_id = d.doc_id
