@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quorumlake.runtime import broadcast_if_small, materialize
+from quorumlake.runtime import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # Leftmost, non-overlapping, as the plain patterns find them; look-behinds and possessive loops keep long runs linear
@@ -94,9 +94,8 @@ def _revealing(docs: DataFrame, hits: DataFrame, n_docs: int, threshold: float,
     pairs = lines.select("entity", F.xxhash64("line").alias("line"), "rids", F.explode(_terms(F.col("line"))).alias("term")).filter(~F.col("entity").contains(F.col("term")))
     pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("line").alias("contexts"), F.size(F.array_distinct(F.flatten(F.collect_list("rids")))).alias("n_both"))
     pairs = materialize(pairs.filter(F.col("contexts") >= min_contexts).join(entities, "entity"), "pairs")
-    wanted = broadcast_if_small(pairs.select("term").distinct(), 64)
-    words = docs.select(F.explode(_terms(F.col("_text"))).alias("term"))
-    frequency = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # every term is counted before the join: one row a term and task, whatever the number of pairs
+    frequency = docs.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(n_docs))
     share = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
     strong = pairs.join(frequency, "term").filter(share >= threshold).select("entity", "term")
