@@ -144,3 +144,36 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, type=pa.binary())
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as first key, width of differences, and differences."""
+    if not len(keys):
+        return b""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    small = steps.view(np.uint8).reshape(-1, 8)[:, :width] if len(steps) else np.zeros((0, width), np.uint8)
+    return keys[:1].tobytes() + bytes([width]) + np.ascontiguousarray(small).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, dtype=U64)
+    first, width = np.frombuffer(data, U64, 1), data[8]
+    small = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(small), 8), dtype=np.uint8)
+    steps[:, :width] = small
+    return np.cumsum(np.concatenate([first, steps.reshape(-1).view(U64)]), dtype=U64)
+
+
+def framed(*parts: bytes) -> bytes:
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unframed(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out

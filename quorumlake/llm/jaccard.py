@@ -1,10 +1,12 @@
 """Exact Jaccard self-join of word n-gram sets by a pigeonhole over a partitioned universe.
 
-Two sets whose symmetric difference is at most H agree in one of H + 1 parts of the universe. Sets are banded by size,
-so that linked sets lie in one band or in neighbouring ones; each band fixes H, cuts the hashed universe into segments
-and allots each segment a threshold by cost: segments that must be equal emit one signature, thin ones may differ by one
-member and emit their one-deletion neighbourhoods too, which stand for two units of H. Equal signatures join sets into
-candidate groups, by stars rather than pairs; within each candidate group, sets are compared exactly.
+Two sets whose symmetric difference is at most H agree in one of H + 1 parts of the universe. Sets are banded by size;
+for each band that a set's larger partners may lie in, the hashed universe is cut into segments with thresholds, both by
+cost. Large sets use many segments of threshold 0, of which only those with enough members are indexed: a set with more
+such segments than H is found by them, whatever the rest, and shared single n-grams make no candidates. Small sets use
+few segments of threshold 1, which emit their one-deletion neighbourhoods and stand for two units of H each. A set that
+falls short is cut again by another hash, and at last indexed with all its segments, empty ones too. Equal signatures
+join sets into candidate groups, by stars rather than pairs; within each candidate group, sets are compared exactly.
 """
 
 from __future__ import annotations
@@ -16,49 +18,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlake.llm.blocks import U64, Prefix, binary, blocks, flat, mix, ngrams, row_sets, runs, space_table, words
+from quorumlake.llm.blocks import U64, Prefix, binary, blocks, framed, mix, ngrams, pack_sorted, row_sets, runs, space_table, unframed, unpack_sorted, words
 from quorumlake.llm.components import components
 from quorumlake.runtime import materialize, parallelism
 
-SEEDS = 4  # partitions tried before empty segments are emitted too
-TILE_SETS, TILE_VALUES = 20_000, 16_000_000
-FLUSH = 4_000_000
+SEEDS = 3  # partitions tried; the last one indexes all segments
+TILE_SETS, TILE_VALUES = 20_000, 8_000_000
+FLUSH = 2_000_000
 
 
 class Bands:
-    """Size bands for a threshold num / den, with segments and thresholds per band."""
+    """Size bands for a threshold num / den: segments, how many of them are loose, and the least size indexed."""
 
     def __init__(self, num: int, den: int, largest: int):
         self.num, self.den, self.low = num, den, [1]
-        while self.low[-1] <= largest:
-            self.low.append(self.low[-1] * den // num + 1)
-        self.low.append(self.low[-1] * den // num + 1)
+        while len(self.low) < 4 or self.low[-4] <= largest:  # a set meets its own band and the two above
+            self.low.append(int(self.low[-1] * math.sqrt(den / num)) + 1)
         self.low = np.array(self.low, dtype=np.int64)
-        plans = [self.plan(int(lo), int(hi) - 1) for lo, hi in zip(self.low[:-1], self.low[1:], strict=True)]
-        self.segments = np.array([p[0] for p in plans], dtype=np.int64)
-        self.loose = np.array([p[1] for p in plans], dtype=np.int64)  # the first of the segments have threshold 1
-        self.spare = np.array([p[2] for p in plans], dtype=np.int64)
+        self.high = self.low[1:] - 1
+        plans = [self.plan(int(lo), int(hi)) for lo, hi in zip(self.low[:-1], self.high, strict=True)]
+        self.segments, self.loose, self.least = (np.array(x, dtype=np.int64) for x in zip(*plans, strict=True))
+
+    def need(self, size: int | np.ndarray, high: int | np.ndarray) -> int | np.ndarray:
+        """One more than the differences that linked sets of this size and at most ``high`` can have."""
+        return (self.den - self.num) * (size + high) // (self.den + self.num) + 1
 
     def plan(self, lo: int, hi: int) -> tuple[int, int, int]:
-        """Segments, how many of them may differ by one, and spare ones, at least cost.
-
-        Cost: signatures emitted, plus false partners, which thin segments find often. The smallest set that is
-        compared in this band has num / den * lo members; the segments that such a set may leave empty are spared.
-        """
-        need = (self.den - self.num) * 2 * hi // (self.den + self.num) + 1
-        least = max(1.0, lo * self.num / self.den)
-        best = (math.inf, 0, 0, 0)
-        for loose in {0, need // 4, need // 2}:
-            segments = need - loose
-            spare = 0
-            for _ in range(3):
-                each = least / (segments + spare)
-                spare = math.ceil(3 * (segments + spare) * math.exp(-each)) + 2 if need > 1 else 0
-                spare = min(spare, segments)
-            each = least / (segments + spare)
-            cost = segments + spare + loose * (1 + each) + (segments + spare) * 64 * math.exp(-2 * each)
-            best = min(best, (cost, segments + spare, loose, spare))
-        return best[1], best[2], best[3]
+        """Segments, loose ones, least indexed size: the largest least size that most sets of the band can meet,
+        then the fewest segments; loose segments where few units are needed, as their neighbourhoods then cost little."""
+        most = self.need(hi, hi)
+        if most <= 8:
+            return -(-most // 2), most // 2, 1
+        for least in (3, 2, 1):
+            for segments in range(most, 3 * most, max(1, most // 16)):
+                if all(self.enough(size, segments, least, self.need(size, hi)) for size in (-(-lo * self.num // self.den), lo, hi)):
+                    return segments, 0, least
+        return most, 0, 1
+
+    @staticmethod
+    def enough(size: int, segments: int, least: int, need: int) -> bool:
+        """Whether a set of this size has ``need`` segments of ``least`` members but for one set in six or so."""
+        mean = size / segments
+        full = 1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(least))
+        return segments * full - math.sqrt(segments * full * (1 - full)) >= need
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, sizes, side="right") - 1
@@ -100,48 +102,57 @@ def set_keys(values: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarr
 
 def signatures(values: np.ndarray, row: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Signature hashes and the rows they are of. ``values`` are sorted by row and value."""
-    out_sig, out_row = [], []
-    own = bands.of(np.maximum(sizes, 1))
+    out_sig, out_row = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
+    own, n_rows = bands.of(np.maximum(sizes, 1)), len(sizes)
+    hashed = mix(values ^ U64(0xA54FF53A5F1D36F1))
 
-    def emit(values: np.ndarray, row: np.ndarray, band: np.ndarray, seed: int) -> None:
+    def emit(values: np.ndarray, hashed: np.ndarray, row: np.ndarray, band: np.ndarray, seed: int) -> None:
         if not len(values):
             return
         per_row = bands.segments[band]
-        segment = (((values >> U64(32)) * per_row[row].astype(U64)) >> U64(32)).astype(np.int64)
+        segment = (((values >> U64(32)) * per_row.astype(U64)[row]) >> U64(32)).astype(np.int64)
         change = np.ones(len(values), dtype=bool)
         change[1:] = (row[1:] != row[:-1]) | (segment[1:] != segment[:-1])
         start = np.flatnonzero(change)
-        srow, sseg = row[start], segment[start]
-        hashed = mix(values ^ U64(0xA54FF53A5F1D36F1))
+        srow, sseg, many = row[start], segment[start], np.diff(np.append(start, len(values)))
         total = np.add.reduceat(hashed, start)
         place = mix((band[srow].astype(U64) << U64(40)) + (sseg.astype(U64) << U64(4)) + U64(seed))
-        out_sig.append(mix(total + place))
-        out_row.append(srow)
         loose = sseg < bands.loose[band[srow]]
-        if loose.any():  # one-deletion neighbourhoods; a variant meets equal variants and whole segments
-            member = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(values))))
+        last = seed + 1 == SEEDS
+        send = loose | (many >= bands.least[band[srow]]) | last
+        out_sig.append(mix(total[send] + place[send]))
+        out_row.append(srow[send])
+        if loose.any():  # a variant meets equal variants and whole segments
+            member = np.repeat(np.arange(len(start)), many)
             pick = loose[member]
+            pick &= many[member] > 1
             out_sig.append(mix(total[member[pick]] - hashed[pick] + place[member[pick]]))
             out_row.append(row[pick])
-        empty = per_row - np.bincount(srow, minlength=len(band))
-        has = np.bincount(row, minlength=len(band)) > 0
-        late = has & (empty > bands.spare[band])
-        if late.any():
-            if seed + 1 < SEEDS:
-                pick = late[row]
-                again = mix(values[pick] + U64(0x3C6EF372FE94F82B) * U64(seed + 1))
-                order = np.lexsort((again, row[pick]))
-                emit(again[order], row[pick][order], band, seed + 1)
-            else:
-                for r in np.flatnonzero(late):
-                    gone = np.setdiff1d(np.arange(per_row[r]), sseg[srow == r])
-                    out_sig.append(mix(mix((U64(band[r]) << U64(40)) + (gone.astype(U64) << U64(4)) + U64(seed))))
-                    out_row.append(np.full(len(gone), r))
-
-    emit(values, row, own, 0)
-    emit(values, row, own + 1, 0)
-    if not out_sig:
-        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        units = np.where(loose, np.where(many > 1, 2, 0), many >= bands.least[band[srow]])
+        units = np.bincount(srow, weights=units, minlength=n_rows)
+        late = (np.bincount(row, minlength=n_rows) > 0) & (units < bands.need(sizes, bands.high[band]))
+        if not late.any():
+            return
+        if not last:
+            pick = late[row]
+            again = mix(values[pick] + U64(0x3C6EF372FE94F82B))
+            order = np.lexsort((again, row[pick]))
+            emit(again[order], hashed[pick][order], row[pick][order], band, seed + 1)
+        else:
+            here = late[srow]
+            for r, lo, hi in zip(srow[here][runs(srow[here])[0]].tolist(), *runs(srow[here]), strict=True):
+                gone = np.setdiff1d(np.arange(per_row[r]), sseg[here][lo:hi])
+                out_sig.append(mix(mix((U64(band[r]) << U64(40)) + (gone.astype(U64) << U64(4)) + U64(seed))))
+                out_row.append(np.full(len(gone), r))
+            single = here & loose & (many == 1)  # whose only variant is empty
+            out_sig.append(mix(place[single]))
+            out_row.append(srow[single])
+
+    for up in range(3):
+        band = own + up
+        can = (sizes > 0) & (sizes * bands.den >= bands.low[band] * bands.num)
+        pick = can[row]
+        emit(values[pick], hashed[pick], row[pick], band, 0)
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
@@ -261,7 +272,12 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
             cut = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * ((1 << 64) // buckets)).clip(0, (1 << 64) - 1).astype(U64))
             cut[0], cut[-1] = 0, len(sig)
             some = np.flatnonzero(np.diff(cut))
-            parts = [sig[cut[i] : cut[i + 1]].tobytes() + key[cut[i] : cut[i + 1]].tobytes() for i in some]
+            names, which = np.unique(key, return_inverse=True)
+            parts = []
+            for i in some:
+                here, short = np.unique(which[cut[i] : cut[i + 1]], return_inverse=True)
+                short = short.astype(np.uint16 if len(here) < 1 << 16 else np.uint32)
+                parts.append(framed(pack_sorted(sig[cut[i] : cut[i + 1]]), names[here].tobytes(), short.tobytes()))
             where = some.tolist()
             if len(a):  # edges found here already
                 where.append(int(a[0] % U64(buckets)))
@@ -287,13 +303,13 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
     def grouped(table: pa.Table) -> pa.Table:
         sig, key, edges = [], [], []
         for kind, part in zip(table["kind"].to_pylist(), table["data"], strict=True):
-            x = np.frombuffer(part.as_buffer(), dtype=U64)
-            half = len(x) // 2
             if kind:
-                edges.append(np.stack([x[:half], x[half:]], axis=1))
+                edges.append(np.frombuffer(part.as_buffer(), dtype=U64).reshape(2, -1).T)
             else:
-                sig.append(x[:half])
-                key.append(x[half:])
+                packed, names, short = unframed(part.as_py())
+                names = np.frombuffer(names, dtype=U64)
+                sig.append(unpack_sorted(packed))
+                key.append(names[np.frombuffer(short, np.uint16 if len(names) < 1 << 16 else np.uint32)])
         if sig:
             _, _, a, b = stars(np.concatenate(sig), np.concatenate(key))
             edges.append(np.stack([a, b], axis=1))
