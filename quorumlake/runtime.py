@@ -41,3 +41,10 @@ def broadcast_if_small(df: DataFrame, width: int, max_mb: int = 48) -> DataFrame
     limit = max_mb * 1_000_000 // width
     few = df.limit(limit + 1).count() <= limit
     return F.broadcast(df) if few else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches of whole texts small; a batch is held several times over by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
