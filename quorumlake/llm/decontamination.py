@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, blocks, runs, words
+from quorumlake.runtime import small_batches
 
 WINDOW, COSINE, LCS, ANSWER = 32, 0.4, 0.6, 0.5
 RANK, MAX_SHARE = 32, 0.002
@@ -156,6 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     results; equal items are each reported. Texts are never shuffled or cut: three scans for each ``ITEM_BLOCK`` items.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     kind = benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id long, item_id {kind}, cosine double, lcs double, answer double"

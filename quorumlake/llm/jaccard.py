@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, binary, blocks, framed, mix, ngrams, pack_sorted, row_sets, runs, space_table, unframed, unpack_sorted, words
 from quorumlake.llm.components import components
-from quorumlake.runtime import materialize, parallelism
+from quorumlake.runtime import materialize, parallelism, small_batches
 
 SEEDS = 3  # partitions tried; the last one indexes all segments
 TILE_SETS, TILE_VALUES = 20_000, 8_000_000
@@ -248,6 +248,7 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
     candidate group beyond ``TILE_SETS`` sets is split into blocks, each pair of which is a tile of its own.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quorumlake.llm.blocks import U64, Prefix, blocks, flat, mix, runs, words
+from quorumlake.llm.blocks import U64, Prefix, blocks, mix, runs, words
+from quorumlake.runtime import small_batches
 
 ORDER = 4
 TRAIN_DOCS = 1500  # documents per language, about; the bound on the sample that the classifier is fitted on
@@ -78,6 +79,7 @@ def fit(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text",
     bounded for any corpus; rows without text or label are left out. Words and n-grams are counted per task before
     they are summed.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     languages = sorted(sizes)
@@ -92,7 +94,7 @@ def fit(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text",
         for batch in batches:
             for name in pc.unique(batch.column(0)).to_pylist():
                 lower = pc.utf8_lower(batch.column(1).filter(pc.equal(batch.column(0), name)))
-                for _, _, data, offsets, _ in blocks(lower, 4 << 20):
+                for _, _, data, offsets, _ in blocks(lower):
                     start, end, _ = words(data, offsets, separator)
                     if not len(start):
                         continue
@@ -162,6 +164,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
     first language by name. Whole texts are read; the model goes to the tasks with the function (its size is bounded
     by the training sample).
     """
+    small_batches(docs.sparkSession)
     languages = model.languages
     # columns with these names give way: the docs' own are kept, under their positions
     names = docs.columns
@@ -174,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
             best, share = [], []
             raw = batch.column(at_text)
             lower = pc.utf8_lower(raw.cast(pa.string()))
-            for lo, hi, data, offsets, nulls in blocks(lower, 4 << 20):
+            for lo, hi, data, offsets, nulls in blocks(lower):
                 m = hi - lo
                 sums = np.zeros((m, max(1, len(languages))))
                 start, end, row = words(data, offsets, separator)
@@ -190,7 +193,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
                     new = np.flatnonzero(~known & ~cached)
                     if len(new):
                         logs[new] = unseen_logs(model, data, start[first[new]], end[first[new]])
-                        if len(cached_keys) < 400_000:
+                        if len(cached_keys) < 100_000:
                             order = np.argsort(np.concatenate([cached_keys, key[new]]), kind="stable")
                             cached_keys, cached_logs = np.concatenate([cached_keys, key[new]])[order], np.concatenate([cached_logs, logs[new]])[order]
                     begin = runs(row)[0]

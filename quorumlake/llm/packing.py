@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import flat
-from quorumlake.runtime import materialize
+from quorumlake.runtime import materialize, small_batches
 
 SEQUENCE, END_ID = 1024, 2
 
@@ -45,6 +45,7 @@ def tokenized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     Only documents of more than ``length`` ids are cut; the first piece takes what is left over. One row of text is
     in memory at a time, and ids never leave the task.
     """
+    small_batches(docs.sparkSession)
     if files is None:
         import public_tokenizers as P
 

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlake.llm.blocks import U64, Prefix, binary, blocks, flat, mix, runs
-from quorumlake.runtime import materialize, parallelism
+from quorumlake.llm.blocks import U64, Prefix, binary, blocks, mix, runs
+from quorumlake.runtime import materialize, parallelism, small_batches
 
 LENGTH, GRAM = 200, 32
 FLUSH = 500_000
@@ -150,6 +150,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     equal texts repeat each other. Strings are compared by 63 and 64-bit hashes of whole strings.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), body).alias("rid"))
     facts = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()

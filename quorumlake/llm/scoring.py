@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, binary, blocks, flat, framed, mix, pack_sorted, runs, space_table, unframed, unpack_sorted, words
-from quorumlake.runtime import parallelism
+from quorumlake.runtime import parallelism, small_batches
 
 ALPHA, ORDER = 0.4, 2
 CHUNK_BYTES, TABLE_ENTRIES = 12_000_000, 2_000_000
@@ -99,6 +99,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, do
     all steps and one more. Null and empty texts have no words and score 0. Repeated rows count as other rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
