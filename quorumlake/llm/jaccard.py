@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, binary, blocks, framed, mix, ngrams, pack_sorted, row_sets, runs, space_table, unframed, unpack_sorted, words
 from quorumlake.llm.components import components
-from quorumlake.runtime import materialize, parallelism, small_batches
+from quorumlake.runtime import broadcast_if_small, materialize, parallelism, small_batches
 
 SEEDS = 3  # partitions tried; the last one indexes all segments
 TILE_SETS, TILE_VALUES = 20_000, 8_000_000
@@ -323,6 +323,7 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
     members = materialize(classes.join(candidates.select(F.col("node").alias("k1"), "root"), "k1"), "members")
     weight = members.groupBy("root").agg(F.count("*").alias("_sets"), F.sum("n").alias("_values")).select("root", F.greatest(F.ceil(F.col("_sets") / TILE_SETS), F.ceil(F.col("_values") / TILE_VALUES)).alias("tiles"))
     members = members.join(weight, "root").select(F.col("rep").alias("doc_id"), "k1", "k2", "root", "tiles")
+    members = broadcast_if_small(members, 64)  # else texts are shuffled by doc_id once
     groups = max(parallelism(spark), math.ceil(facts["total"] / 8_000_000))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
     Lines are compared without the spaces at their ends; blank lines never count. A line counts once a page.
     Both counts are partial aggregates before the shuffle, so a host with a third of all pages costs one row a task.
     """
-    pages = docs.select(F.col(host).alias("_host"), F.array_distinct(F.transform(_lines(F.col(text)), F.trim)).alias("_lines"))
+    pages = docs.select(F.col(host).alias("_host"), F.array_distinct(F.transform(_lines(F.col(text)), lambda x: F.trim(x))).alias("_lines"))
     totals = docs.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("_pages"))
     held = pages.select("_host", F.explode("_lines").alias("_line")).filter("_line != ''").groupBy("_host", "_line").agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_pages)
     totals = broadcast_if_small(materialize(totals, "hosts"), 100)
