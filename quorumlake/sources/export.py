@@ -38,7 +38,7 @@ def export(df: DataFrame, base: str, formats: tuple[str, ...] = ("csv", "parquet
             df.write.parquet(path)
         elif kind in ("md", "tex"):
             text = markdown(df) if kind == "md" else latex(df)
-            df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "").text(path)
+            df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
         else:
             raise ValueError(f"no such format: {kind}")
         out[kind] = path

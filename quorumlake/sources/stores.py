@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
-from quorumlake.sources.schemas import EVALUATION, GENERATION
+from quorumlake.sources.schemas import EVALUATION, GENERATION, struct
 
 EVALUATION_KEY = ["generation_cache_key", "evaluator_id", "evaluator_version"]
 
@@ -18,8 +18,9 @@ class DuplicateKeys(ValueError):
     """An append would add a second record under a key."""
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType, kind: str = "json") -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: str | T.StructType, kind: str = "json") -> DataFrame:
     """All records; a missing path is an empty store. Absent optional fields are null; blank lines are skipped."""
+    schema = struct(schema)
     try:
         found = spark.read.schema(schema).format(kind).load(path)
     except AnalysisException as e:
@@ -48,7 +49,7 @@ def unseen(rows: DataFrame, store: DataFrame, on: list[str]) -> DataFrame:
     return rows.dropDuplicates(on).join(store.select(on), on, "left_anti")
 
 
-def append_exclusive(rows: DataFrame, path: str, schema: T.StructType, on: list[str], force: bool = False, kind: str = "json") -> None:
+def append_exclusive(rows: DataFrame, path: str, schema: str | T.StructType, on: list[str], force: bool = False, kind: str = "json") -> None:
     """Append, or raise if a key is there already or twice among the rows, unless forced."""
     if not force:
         store = scan(rows.sparkSession, path, schema, kind)
@@ -58,7 +59,7 @@ def append_exclusive(rows: DataFrame, path: str, schema: T.StructType, on: list[
     rows.write.mode("append").format(kind).save(path)
 
 
-def append_idempotent(rows: DataFrame, path: str, schema: T.StructType = EVALUATION, on: list[str] | None = None, kind: str = "json") -> int:
+def append_idempotent(rows: DataFrame, path: str, schema: str | T.StructType = EVALUATION, on: list[str] | None = None, kind: str = "json") -> int:
     """Append the rows with new keys and tell how many there were. A repeat within the batch counts once."""
     on = on or EVALUATION_KEY
     new = unseen(rows, scan(rows.sparkSession, path, schema, kind), on).persist()
@@ -94,17 +95,18 @@ def answer_view(store: DataFrame, answer: DataFrame) -> DataFrame:
     return store.join(answer.select("cache_key", "answer_text"), "cache_key", "left").withColumn("raw_text", F.coalesce("answer_text", "raw_text")).select(store.columns)
 
 
-def labels_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def labels_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A sheet of strings: quoted cells over several lines, empty cells as '', NA and null as text, a mark before the header dropped."""
+    schema = struct(schema)
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).schema(schema).csv(path)
     return raw.select(*[F.coalesce(F.col(f.name), F.lit("")).alias(f.name) for f in schema.fields])
 
 
-def require_header(spark: SparkSession, path: str, schema: T.StructType) -> None:
+def require_header(spark: SparkSession, path: str, schema: str | T.StructType) -> None:
     head = spark.read.option("header", True).option("multiLine", True).csv(path).columns
     head = [head[0].removeprefix("\ufeff"), *head[1:]]
-    if head != schema.names:
-        raise ValueError(f"columns are {head}, not {schema.names}")
+    if head != struct(schema).names:
+        raise ValueError(f"columns are {head}, not {struct(schema).names}")
 
 
 def prompt_lists(spark: SparkSession, path: str) -> DataFrame:

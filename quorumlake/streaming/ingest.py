@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from quorumlake.sources.stores import scan, unseen
 
 
-def ingest(spark: SparkSession, landing: str, store: str, schema: T.StructType, on: list[str], checkpoint: str) -> StreamingQuery:
+def ingest(spark: SparkSession, landing: str, store: str, schema: str | T.StructType, on: list[str], checkpoint: str) -> StreamingQuery:
     """Read new files of the landing folder and append the rows whose key the store lacks.
 
     The store is the state: a batch that runs again after a failure finds its keys there and adds nothing twice.
