@@ -89,18 +89,14 @@ def dedup_last_wins(spark, sf):
     return rounded(stores.last_wins(e, ["user_id", "event_type"], "ts", "event_id"))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events a WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_id % 2 = 0 AND b.event_id < 400 AND a.user_id = b.user_id AND a.event_type = b.event_type)")
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def idempotent_append_delta(spark, sf):
-    e = pj.table(spark, sf, "events")
-    on = ["user_id", "event_type"]
-    return stores.unseen(e.filter("event_id % 2 = 1").select(on), e.filter("event_id % 2 = 0 AND event_id < 400").select(on), on)
+    return stores.unseen(pj.table(spark, sf, "documents").select("doc_id"), pj.table(spark, sf, "labels"), ["doc_id"])
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events a WHERE event_id % 3 = 0 AND EXISTS (SELECT 1 FROM events b WHERE b.event_id % 7 = 0 AND a.user_id = b.user_id AND a.event_type = b.event_type)")
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def key_membership(spark, sf):
-    e = pj.table(spark, sf, "events")
-    on = ["user_id", "event_type"]
-    return stores.present(e.filter("event_id % 3 = 0").select(on).distinct(), e.filter("event_id % 7 = 0"), on)
+    return stores.present(pj.table(spark, sf, "documents").select("doc_id").distinct(), pj.table(spark, sf, "labels"), ["doc_id"])
 
 
 @query("SELECT user_id, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
@@ -119,11 +115,13 @@ def evaluator_coverage(spark, sf):
     return fr.uncovered(pj.frame(spark, sf)).select("evaluator", "covered", "records", "missing")
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'generation_error' WHEN NOT regexp_matches(text, '\S') THEN 'malformed' WHEN regexp_matches(trim(text), '(?is)^\s*(?:the|is|in)\b') THEN 'agreement'
-  WHEN regexp_matches(text, '(?is)\bto be\b') THEN 'disagreement' WHEN regexp_matches(text, '(?is)\bthe\b.*\bof\b') THEN 'mixed_or_conditional' ELSE 'neutral_or_no_position' END AS outcome FROM documents WHERE lang = 'en'""")
+_B, _E_ = r"(?:^|[^\p{L}\p{M}\p{N}\p{Pc}])", r"(?:[^\p{L}\p{M}\p{N}\p{Pc}]|$)"  # Unicode word ends, where the oracle's own are ASCII
+
+
+@query(rf"""SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN 'generation_error' WHEN text IS NULL OR NOT regexp_matches(text, '\S') THEN 'malformed' WHEN regexp_matches(trim(text), '(?is)^\s*(?:the|is|in){_E_}') THEN 'agreement'
+  WHEN regexp_matches(text, '(?is){_B}to be{_E_}') THEN 'disagreement' WHEN regexp_matches(text, '(?is){_B}the{_E_}(?:.*[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}])?of{_E_}') THEN 'mixed_or_conditional' ELSE 'neutral_or_no_position' END AS outcome FROM documents""")
 def rule_scorer_demo(spark, sf):
-    d = pj.table(spark, sf, "documents").filter("lang = 'en'")
-    return d.select("doc_id", tx.rule_outcome(F.col("text"), F.when(F.col("doc_id") % 97 == 0, "error").otherwise("stop"), PACK).alias("outcome"))
+    return pj.table(spark, sf, "documents").select("doc_id", tx.rule_outcome(F.col("text"), F.when(F.col("doc_id") % 97 == 0, "error").otherwise("stop"), PACK).alias("outcome"))
 
 
 ANSWERS = ["supports", " Opposes.", "**mixed or conditional**", "neutral-or-no-position", "unclear", "`Supports` the claim", "I think so"]
@@ -136,15 +134,14 @@ def judge_parse_demo(spark, sf):
     return d.select("doc_id", tx.judge_outcome(F.col("answer")).alias("outcome"), tx.judge_label(F.col("answer")).alias("native_label"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, '. ') THEN trim(regexp_extract(text, '(?s)^.*\\. (.*)$', 1), ' \n\t') ELSE '' END AS answer FROM documents WHERE lang = 'en'".replace("\\\\", "\\"))
+@query("SELECT doc_id, CASE WHEN contains(text, '. ') THEN trim(regexp_extract(text, '(?s)^.*\\. (.*)$', 1), ' \n\t') ELSE '' END AS answer FROM documents".replace("\\\\", "\\"))
 def answer_extraction_demo(spark, sf):
-    d = pj.table(spark, sf, "documents").filter("lang = 'en'")
-    return d.select("doc_id", tx.final_answer(F.col("text"), ". ").alias("answer"))
+    return pj.table(spark, sf, "documents").select("doc_id", tx.final_answer(F.col("text"), ". ").alias("answer"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_split_to_array(trim(text, ' \n\t'), '\\s+')[1:200], ' ') AS first_200 FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, array_to_string(regexp_split_to_array(trim(text, ' \n\t'), '\\s+')[1:200], ' ') AS first_200 FROM documents")
 def token_prefix_cut(spark, sf):
-    return pj.table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", tx.first_words(F.col("text"), 200).alias("first_200"))
+    return pj.table(spark, sf, "documents").select("doc_id", tx.first_words(F.col("text"), 200).alias("first_200"))
 
 
 @query("SELECT c.conv_id, c.turn, length(c.text) AS prompt_chars, length(c.response) AS response_chars, sha256(c.text || ' / ' || c.response) AS request_key FROM (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS response FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) c WHERE role = 'user' AND nr = 'assistant'")
@@ -202,13 +199,22 @@ def transition_kinds(spark, sf):
     return _evaluator_pairs(spark, sf).groupBy(pa.transition_kind(F.col("outcome_a"), F.col("outcome_b")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT source, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(ta = tb AS INT)), 6) AS exact_share, round(quantile_cont(CASE WHEN ta <> tb THEN p END, 0.5), 6) AS median_prefix, round(avg(abs(na - nb)), 6) AS mean_length_gap, round(avg(CAST(fa = fb AS INT)), 6) AS finish_agree
-  FROM (SELECT a.source, left(a.text, 400) AS ta, left(b.text, 400) AS tb, a.n_chars AS na, b.n_chars AS nb, a.n_chars >= 2000 AS fa, b.n_chars >= 2000 AS fb,
-    coalesce(list_min(list_filter(range(1, least(length(ta), length(tb)) + 1), lambda i: ta[i] <> tb[i])) - 1, least(length(ta), length(tb))) AS p FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0) GROUP BY source""")
+TEXT_PAIRS = """WITH RECURSIVE pr AS (SELECT a.doc_id, a.source, a.text AS ta, b.text AS tb, a.n_chars AS na, b.n_chars AS nb, a.n_chars >= 2000 AS fa, b.n_chars >= 2000 AS fb FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.doc_id % 2 = 0),
+bi AS (SELECT doc_id, 0::BIGINT AS lo, least(length(ta), length(tb))::BIGINT AS hi FROM pr UNION ALL
+  SELECT doc_id, CASE WHEN eq THEN m ELSE lo END, CASE WHEN eq THEN hi ELSE m - 1 END FROM (SELECT bi.*, (lo + hi + 1) // 2 AS m, left(ta, (lo + hi + 1) // 2) = left(tb, (lo + hi + 1) // 2) AS eq FROM bi JOIN pr USING (doc_id) WHERE lo < hi)),
+px AS (SELECT pr.*, bi.lo AS p FROM pr JOIN bi USING (doc_id) WHERE bi.lo = bi.hi)"""
+
+
+def text_pairs(spark, sf):
+    """Each document of even id beside the next one, with the length of the texts' common prefix."""
+    d = pj.table(spark, sf, "documents").select("doc_id", "text", "n_chars", F.when(F.col("n_chars") >= 2000, "length").otherwise("stop").alias("finish_reason"), "source", F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("side"))
+    p = pa.pairs(d, "side", 0, 1, ["pair"], ["doc_id", "text", "n_chars", "finish_reason", "source"])
+    return p.withColumn("prefix", tx.common_prefix_length(F.col("text_a"), F.col("text_b"))).withColumnRenamed("source_a", "source")
+
+
+@query(TEXT_PAIRS + """ SELECT source, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(ta = tb AS INT)), 6) AS exact_share, round(quantile_cont(CASE WHEN ta <> tb THEN p END, 0.5), 6) AS median_prefix, round(avg(abs(na - nb)), 6) AS mean_length_gap, round(avg(CAST(fa = fb AS INT)), 6) AS finish_agree FROM px GROUP BY source""")
 def surface_divergence(spark, sf):
-    d = pj.table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("text"), "n_chars", F.when(F.col("n_chars") >= 2000, "length").otherwise("stop").alias("finish_reason"), "source", F.floor(F.col("doc_id") / 2).alias("pair"), (F.col("doc_id") % 2).alias("side"))
-    p = pa.pairs(d, "side", 0, 1, ["pair"], ["text", "n_chars", "finish_reason", "source"]).withColumn("prefix", tx.common_prefix_length(F.col("text_a"), F.col("text_b")))
-    return rounded(pa.divergence(p.withColumnRenamed("source_a", "source"), ["source"]).withColumn("mean_length_gap", F.col("mean_length_gap").cast("double")))
+    return rounded(pa.divergence(text_pairs(spark, sf), ["source"]).withColumn("mean_length_gap", F.col("mean_length_gap").cast("double")))
 
 
 @query("SELECT human, outcome, CAST(count(*) AS BIGINT) AS n FROM hf WHERE evaluator = 'e1' GROUP BY ALL", H_)
@@ -519,13 +525,13 @@ def boot_rate_ci(spark, sf):
     return rounded(rs.order_interval(s, st.ratio(F.col("k"), F.col("n")), ["stage"], REPS))
 
 
-@query(", p AS (SELECT finish_reason AS stratum, count(*) AS n_all FROM r GROUP BY 1), x AS (SELECT f.finish_reason AS stratum, count(*) AS n, " + ", ".join(f"sum(CAST({c} AS INT)) AS {k}" for k, c in {"al": "outcome = 'agreement' AND item_lean = 'left'", "dl": "is_directional AND item_lean = 'left'", "ar": "outcome = 'agreement' AND item_lean = 'right'", "dr": "is_directional AND item_lean = 'right'"}.items()) + " FROM f WHERE evaluator = 'e1' AND item_ord % 3 = 0 GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS sampled, round(CASE WHEN count(x.stratum) = count(*) THEN sum(n_all / n * al) / nullif(sum(n_all / n * dl), 0) - sum(n_all / n * ar) / nullif(sum(n_all / n * dr), 0) END, 6) AS weighted_index FROM p LEFT JOIN x USING (stratum)", F_)
+@query(", p AS (SELECT finish_reason AS stratum, count(*) AS n_all FROM r GROUP BY 1), x AS (SELECT f.finish_reason AS stratum, count(*) AS n, " + ", ".join(f"sum(CAST({c} AS INT)) AS {k}" for k, c in {"al": "outcome = 'agreement' AND item_lean = 'left'", "dl": "is_directional AND item_lean = 'left'", "ar": "outcome = 'agreement' AND item_lean = 'right'", "dr": "is_directional AND item_lean = 'right'"}.items()) + " FROM f WHERE evaluator = 'e1' AND doc_id IN (SELECT doc_id FROM labels) GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS sampled, round(CASE WHEN count(x.stratum) = count(*) THEN sum(n_all / n * al) / nullif(sum(n_all / n * dl), 0) - sum(n_all / n * ar) / nullif(sum(n_all / n * dr), 0) END, 6) AS weighted_index FROM p LEFT JOIN x USING (stratum)", F_)
 def two_phase_gap(spark, sf):
-    """Design-weighted direction index from a sample of items: strata weigh by population over sample size."""
+    """Design-weighted direction index from the labelled responses: strata weigh by population over sample size."""
     population = pj.records(spark, sf).groupBy(F.col("finish_reason").alias("stratum")).agg(F.count("*").alias("n_all"))
     o, lean = F.col("outcome"), F.col("item_lean")
     sums = {"al": (o == "agreement") & (lean == "left"), "dl": F.col("is_directional") & (lean == "left"), "ar": (o == "agreement") & (lean == "right"), "dr": F.col("is_directional") & (lean == "right")}
-    sample = pj.frame(spark, sf).filter("evaluator = 'e1' AND item_ord % 3 = 0").groupBy(F.col("finish_reason").alias("stratum")).agg(F.count("*").alias("n"), *[st.count_if(c).alias(k) for k, c in sums.items()])
+    sample = pj.rated(spark, sf).filter("evaluator = 'e1'").groupBy(F.col("finish_reason").alias("stratum")).agg(F.count("*").alias("n"), *[st.count_if(c).alias(k) for k, c in sums.items()])
     w = F.col("n_all") / F.col("n")
     t = population.join(sample, "stratum", "left").agg(F.sum("n").alias("sampled"), F.count("n").alias("have"), F.count("*").alias("strata"), *[F.sum(w * F.col(k)).alias(k) for k in sums])
     return rounded(t.select("sampled", F.when(F.col("have") == F.col("strata"), st.ratio(F.col("al"), F.col("dl")) - st.ratio(F.col("ar"), F.col("dr"))).alias("weighted_index")))
