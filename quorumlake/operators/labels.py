@@ -43,6 +43,22 @@ def queue(a: DataFrame, c: DataFrame) -> DataFrame:
     return both.filter(differs).withColumn("commitment_differs", committed(F.col("relation_a")) != committed(F.col("relation_c")))
 
 
+def queue_problems(expected: DataFrame, done: DataFrame) -> DataFrame:
+    """(sample_id, rule) of rows of an adjudicated queue that are missing, repeated, not asked for, or changed in the
+    annotators' columns, or whose label is blank though the annotators differ, or unknown."""
+    kept = ["relation_a", "relation_c", "mode_a", "mode_c"]
+    one = done.groupBy("sample_id").agg(F.count("*").alias("_n"), F.min(F.struct(*kept)).alias("_now"), F.min("relation_adjudicated").alias("_label"))
+    both = expected.select("sample_id", F.struct(*kept).alias("_then")).join(one, "sample_id", "full")
+    label = F.trim(F.coalesce("_label", F.lit("")))
+    rules = F.array_compact(F.array(
+        F.when(F.col("_n").isNull(), F.lit("missing")), F.when(F.col("_then").isNull(), F.lit("not_asked_for")), F.when(F.col("_n") > 1, F.lit("repeated")),
+        F.when(F.col("_then").isNotNull() & F.col("_now").isNotNull() & (F.col("_then") != F.col("_now")), F.lit("changed")),
+        F.when(F.col("_n").isNotNull() & (label == "") & (F.col("_now.relation_a") != F.col("_now.relation_c")), F.lit("blank")),
+        F.when((label != "") & ~label.isin(RELATIONS), F.lit("unknown")),
+    ))
+    return both.select("sample_id", F.explode(rules).alias("rule"))
+
+
 def resolved(adjudicated: Column, a: Column, c: Column) -> Column:
     """The adjudicated label; a blank one stands for the label that both gave, and is null (an error) where they differ."""
     return F.coalesce(F.nullif(F.trim(adjudicated), F.lit("")), F.when(a == c, a))

@@ -59,6 +59,13 @@ def replicates(df: DataFrame, cluster: str, sums: dict[str, Column], reps: int,
     return joined.groupBy(*by, "rep").agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in sums])
 
 
+def replicates_by_cell(per: DataFrame, cluster: str, cell: str, sums: list[str], reps: int) -> DataFrame:
+    """(rep, cell, weighted sums) where ``per`` has one row per cluster and cell: whole clusters are drawn, cells keep apart."""
+    numbered = ordinals(per, cluster, [])
+    joined = hash_weights(numbered, reps, []).join(per.join(numbered, cluster), "ordinal")
+    return joined.groupBy("rep", cell).agg(*[F.sum(F.col("w") * F.col(k)).alias(k) for k in sums])
+
+
 def interval(stats: DataFrame, value: Column, by: list[str], reps: int, least_valid: float = 0.9, level: float = 0.95) -> DataFrame:
     """Percentile interval with linear quantiles; null unless enough replicates have a value."""
     tail = (1 - level) / 2

@@ -36,6 +36,12 @@ def quotas(df: DataFrame, strata: list[tuple[str, Column, int]], spread: list[st
     return taken
 
 
+def outside(df: DataFrame, taken: DataFrame, key: str, n: int, seed: str = "0") -> DataFrame:
+    """The n rows that come first in hash order among those whose key isn't taken; each task keeps n rows."""
+    rest = df.join(taken.select(key).distinct(), key, "left_anti")
+    return rest.orderBy(hash_order(F.col(key), seed)).limit(n)
+
+
 def shuffled(df: DataFrame, key: str, seed: str = "0", prefix: str = "L") -> DataFrame:
     """Rows with ids in shuffled order (``L001`` and on); for drawn samples, not for whole corpora."""
     w = W.orderBy(hash_order(F.col(key), seed))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quorumlake.functions import stats, taxonomy, text as tx
-from quorumlake.operators import agreement, direction, frame, labels, paired, resample, sampling, scorers, series
-from quorumlake.plans import registry
-from quorumlake.sources import export, identity, schemas, stores
+from quorumlake.operators import agreement, contrasts, direction, frame, labels, paired, resample, sampling, scorers, series
+from quorumlake.plans import registry, studies  # noqa: F401
+from quorumlake.sources import export, files, identity, schemas, stores
 from quorumlake.streaming.ingest import ingest
 
 SF = "/root/testdata/sf0.01"
@@ -289,3 +289,91 @@ def test_series(spark):
     chain = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", None)], "name string, parent string")
     assert {(r.name, r.ancestor, r.depth) for r in series.lineage(spark, chain).collect()} == {("c", "b", 1), ("c", "a", 2), ("b", "a", 1)}
     assert math.isclose(one(spark, stats.ratio(F.lit(1), F.lit(4))), 0.25)
+
+
+# comparisons
+
+
+def test_paired_errors(spark):
+    wide = spark.createDataFrame([("agreement", "refusal", "refusal"), ("agreement", "refusal", "neutral_or_no_position"), ("refusal", "refusal", "refusal"), ("agreement", "disagreement", "agreement"), ("agreement", "agreement", "disagreement"), ("agreement", "agreement", None)], "e1 string, e2 string, human string")
+    wide = wide.withColumn("human", F.when(F.col("human") == "refusal", "neutral_or_no_position").otherwise(F.col("human")))
+    got = {r.test: r for r in contrasts.paired_error_tests(wide, "e1", ["e2"], "human").collect()}
+    assert [(got[k].n, got[k].fixed, got[k].broken) for k in ("overread", "reversal", "any_error")] == [(3, 2, 0), (2, 0, 1), (5, 2, 1)]
+    assert got["overread"].p_value == pytest.approx(0.5) and got["reversal"].difference == 0.5 and got["reversal"].p_value == 1
+    assert [r.supported for r in contrasts.pair_support(contrasts.paired_error_tests(wide, "e1", ["e2"], "human")).collect()] == [False]
+
+
+def test_selection_check_splits_items(spark):
+    rows = [("i1", "orig", "left", "stance_first", "agreement"), ("i1", "orig", "left", "free_1", "agreement"), ("i2", "orig", "right", "stance_first", "disagreement"), ("i2", "orig", "right", "free_1", "disagreement"),
+            ("i3", "orig", "left", "stance_first", "disagreement"), ("i3", "orig", "left", "free_1", "refusal"), ("i4", "orig", "right", "stance_first", "agreement"), ("i5", "orig", "left", "free_1", "agreement")]
+    df = spark.createDataFrame(rows, "item_id string, polarity string, item_lean string, prompt string, outcome string").withColumns({"g": F.lit("x"), "is_directional": F.col("outcome").isin("agreement", "disagreement")})
+    [r] = contrasts.selection_check(df, ["g"], ["free_1", "free_2"]).collect()
+    assert (r.prompt, r.in_n, r.rest_n, r.d_in, r.d_rest, r.difference) == ("free_1", 2, 2, 1.0, -1.0, 2.0)
+
+
+def test_cells_subsets_and_sets(spark):
+    cells = spark.createDataFrame([("a", 0.25), ("b", 0.75)], "k string, v double")
+    got = contrasts.questions(cells, ["k"], [("q", {"k": "a"}, {"k": "b"}), ("none", {"k": "a"}, {"k": "z"})], ["v"]).collect()
+    assert [(r.question, r.d_v) for r in got] == [("q", 0.5), ("none", None)]
+    assert sorted(r.copy for r in contrasts.by_weight(cells, F.col("v") * 4).filter("k = 'b'").collect()) == [1, 2, 3]
+    assert contrasts.subsets(cells, {"all": F.lit(True), "low": F.col("v") < 0.5}).count() == 3
+    other = spark.createDataFrame([("b", 0.75), ("b", 0.75), ("c", None)], "k string, v double")
+    assert tuple(contrasts.set_algebra(cells, other, "k").first()) == (1, 1, 1)
+    assert [(r.k, r.column, r.value_a, r.value_b) for r in contrasts.mismatches(cells, other.distinct(), "k", ["v"]).collect()] == [("a", "v", "0.25", None)]
+
+
+def test_readings(spark):
+    x = lambda *v: [F.lit(i).cast("double") for i in v]
+    assert [one(spark, contrasts.magnitude_reading(*x(*v))) for v in ((0.1, 0.2), (-0.2, -0.1), (-0.1, 0.1), (None, None))] == ["larger", "attenuated", "no_change", "not_estimable"]
+    shift = lambda a, b: one(spark, contrasts.shift_reading(tuple(x(*a)), tuple(x(*b))))
+    assert [shift((0.1, 0.2), (0.1, 0.3)), shift((0.1, 0.2), (-0.1, 0.3)), shift((-0.1, 0.2), (0.1, 0.3))] == ["remains", "not_larger_than_explicit", "not_detected"]
+
+
+def test_queue_problems(spark):
+    cols = "sample_id string, relation_a string, relation_c string, mode_a string, mode_c string"
+    expected = spark.createDataFrame([(f"s{i}", "supports", "opposes", "m", "m") for i in range(1, 6)], cols)
+    done = spark.createDataFrame([("s1", "supports", "opposes", "m", "m", "supports"), ("s2", "supports", "opposes", "m", "m", " "), ("s3", "supports", "unclear", "m", "m", "odd"), ("s4", "supports", "opposes", "m", "m", "unclear"), ("s4", "supports", "opposes", "m", "m", "unclear"), ("s9", "supports", "opposes", "m", "m", "unclear")], cols + ", relation_adjudicated string")
+    got = sorted((r.sample_id, r.rule) for r in labels.queue_problems(expected, done).collect())
+    assert got == [("s2", "blank"), ("s3", "changed"), ("s3", "unknown"), ("s4", "repeated"), ("s5", "missing"), ("s9", "not_asked_for")]
+
+
+def test_cluster_and_cell_weights_agree(spark):
+    rows = spark.createDataFrame([(f"c{i % 5}", f"s{i % 2}", float(i)) for i in range(20)], "c string, s string, v double")
+    per = rows.groupBy("c", "s").agg(F.sum("v").alias("v"))
+    whole = {r.rep: r.v for r in resample.replicates(rows, "c", {"v": F.col("v")}, 20, []).collect()}
+    cells = resample.replicates_by_cell(per, "c", "s", ["v"], 20).groupBy("rep").agg(F.sum("v").alias("v")).collect()
+    assert {r.rep: r.v for r in cells} == whole and len(whole) == 20
+
+
+# files
+
+
+def test_models_and_curves(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "base.yaml").write_text("family: x\nlocked_anchor: true\nlicense:\n  name: y\n")
+    (tmp_path / "m" / "tuned.yaml").write_text("family: x\nparent_checkpoint: base\n")
+    got = files.model_registry(spark, str(tmp_path / "m")).select("name", "parent_checkpoint", "locked_anchor").collect()
+    assert sorted(map(tuple, got), key=str) == [("base", None, True), ("tuned", "base", None)]
+    for name, task, text in (("ckpt_001", "arc", {"arc_challenge": {"acc_norm": 0.5}}), ("ckpt_001", "mmlu", {"hendrycksTest-a": {"acc": 0.2}, "hendrycksTest-b": {"acc": 0.4}, "other": {"acc": 9.0}}), ("ckpt_002", "arc", None)):
+        (tmp_path / "e" / name).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "e" / name / f"eval_{task}.json").write_text(json.dumps({"results": text}) if text else "{broken")
+    rows = files.eval_curves(spark, str(tmp_path / "e"), {"arc": {"key": "arc_challenge", "field": "acc_norm"}, "mmlu": {"prefix": "hendrycksTest-", "field": "acc"}}).orderBy("checkpoint").collect()
+    assert [(r["index"], r.arc, r.arc_error, r.mmlu_error) for r in rows] == [(1, 0.5, None, None), (2, None, "unreadable", "missing")]
+    assert rows[0].mmlu == pytest.approx(0.3) and rows[1].mmlu is None
+
+
+def test_imports_are_never_replaced(spark, tmp_path):
+    a, b, log = tmp_path / "a.csv", tmp_path / "b.csv", str(tmp_path / "log")
+    a.write_bytes("sample_id\né\r\n".encode())
+    assert files.import_once(spark, "sheet", str(a), str(b), log) and b.read_bytes() == a.read_bytes()
+    assert not files.import_once(spark, "sheet", str(a), str(b), log)
+    a.write_text("other")
+    with pytest.raises(files.FrozenFile):
+        files.import_once(spark, "sheet", str(a), str(b), log)
+    assert [r.artifact for r in spark.read.schema(files.IMPORT).json(log).collect()] == ["sheet"]
+
+
+def test_sample_outside(spark):
+    got = {r.id for r in sampling.outside(spark.range(20), spark.range(15), "id", 3).collect()}
+    assert len(got) == 3 and min(got) >= 15
