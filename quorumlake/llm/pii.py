@@ -88,12 +88,15 @@ def _revealing(docs: DataFrame, hits: DataFrame, n_docs: int, threshold: float,
     named = hits.select("_rid", "_text", F.explode("_base").alias("s"))
     value = F.lower(F.substring("_text", F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int")))
     line = F.concat(F.substring_index(F.substring("_text", F.lit(1), F.col("s.start").cast("int")), "\n", -1), F.lit(" "), F.substring_index(F.substring(F.col("_text"), F.col("s.end").cast("int") + 1, F.length("_text")), "\n", 1))
-    found = materialize(named.select("_rid", value.alias("entity"), line.alias("line")), "contexts")
+    found = materialize(named.select("_rid", value.alias("entity"), line.alias("line")).withColumn("at", F.xxhash64("line")), "contexts")
     entities = found.groupBy("entity").agg(F.count_distinct("_rid").alias("n_entity"))
-    lines = found.groupBy("entity", "line").agg(F.collect_set("_rid").alias("rids"))
-    pairs = lines.select("entity", F.xxhash64("line").alias("line"), "rids", F.explode(_terms(F.col("line"))).alias("term")).filter(~F.col("entity").contains(F.col("term")))
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("line").alias("contexts"), F.size(F.array_distinct(F.flatten(F.collect_list("rids")))).alias("n_both"))
-    pairs = materialize(pairs.filter(F.col("contexts") >= min_contexts).join(entities, "entity"), "pairs")
+    lines = found.groupBy("entity", "at").agg(F.any_value("line").alias("line"))
+    seen = materialize(lines.select("entity", "at", F.explode(_terms(F.col("line"))).alias("term")).filter(~F.col("entity").contains(F.col("term"))), "seen")
+    often = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
+    # no list of documents anywhere: rows (entity, line) meet their terms, and distinct documents are counted in two steps
+    where = materialize(seen.join(often.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "at").agg(F.collect_set("term").alias("terms")), "where")
+    both = found.select("_rid", "entity", "at").distinct().join(where, ["entity", "at"]).select("_rid", "entity", F.explode("terms").alias("term"))
+    pairs = materialize(both.groupBy("entity", "term").agg(F.count_distinct("_rid").alias("n_both")).join(entities, "entity"), "pairs")
     # every term is counted before the join: one row a term and task, whatever the number of pairs
     frequency = docs.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(n_docs))
