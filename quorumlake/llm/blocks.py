@@ -6,6 +6,7 @@ a small multiple of its bytes; a block has ``block_bytes`` at most, except for o
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,6 +84,14 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, offsets, nulls
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are used again, and what one stage held is missing in the next."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def blocks(column: pa.Array, block_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets, nulls) for runs of rows."""
     data, offsets, nulls = flat(column)
@@ -92,6 +101,7 @@ def blocks(column: pa.Array, block_bytes: int = 1 << 20) -> Iterator[tuple[int,
         hi = min(hi, n)
         yield lo, hi, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], nulls[lo:hi]
         lo = hi
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

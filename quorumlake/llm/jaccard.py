@@ -18,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlake.llm.blocks import U64, Prefix, binary, blocks, framed, mix, ngrams, pack_sorted, row_sets, runs, space_table, unframed, unpack_sorted, words
+from quorumlake.llm.blocks import U64, Prefix, binary, blocks, framed, mix, ngrams, pack_sorted, release, row_sets, runs, space_table, unframed, unpack_sorted, words
 from quorumlake.llm.components import components
 from quorumlake.runtime import broadcast_if_small, materialize, parallelism, small_batches
 
 SEEDS = 3  # partitions tried; the last one indexes all segments
 TILE_SETS, TILE_VALUES = 20_000, 8_000_000
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 class Bands:
@@ -263,7 +263,7 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
     if not facts["largest"]:
         return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     bands = Bands(num, den, int(facts["largest"]))
-    buckets = max(parallelism(spark), math.ceil(facts["total"] / 4_000_000))
+    buckets = max(parallelism(spark), math.ceil(facts["total"] / 2_000_000))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, many = Shingler(n), [], 0
@@ -315,6 +315,8 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
             _, _, a, b = stars(np.concatenate(sig), np.concatenate(key))
             edges.append(np.stack([a, b], axis=1))
         found = np.unique(np.concatenate(edges), axis=0).view(np.int64)
+        del sig, key, edges
+        release()
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     edges = base.mapInArrow(signed, "bucket long, kind int, data binary").groupBy("bucket").applyInArrow(grouped, "a long, b long")
@@ -324,7 +326,7 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
     weight = members.groupBy("root").agg(F.count("*").alias("_sets"), F.sum("n").alias("_values")).select("root", F.greatest(F.ceil(F.col("_sets") / TILE_SETS), F.ceil(F.col("_values") / TILE_VALUES)).alias("tiles"))
     members = members.join(weight, "root").select(F.col("rep").alias("doc_id"), "k1", "k2", "root", "tiles")
     members = broadcast_if_small(members, 64)  # else texts are shuffled by doc_id once
-    groups = max(parallelism(spark), math.ceil(facts["total"] / 8_000_000))
+    groups = max(parallelism(spark), math.ceil(facts["total"] / 4_000_000))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
@@ -360,6 +362,7 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
             for x, y in linked([np.frombuffer(data[int(i)].as_buffer(), dtype=U64) for i in at], num, den):
                 a.append(ids[x])
                 b.append(ids[y])
+        release()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     sets = base.join(members, "doc_id").select("doc_id", "text", "k1", "k2", "root", "tiles").mapInArrow(gathered, "bucket long, root long, rep long, data binary")
