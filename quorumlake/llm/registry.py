@@ -10,7 +10,7 @@ from quorumlake.llm.lines import OP5_SQL, op5_site_lines
 from quorumlake.llm.packing import op7_bestfit_pack
 from quorumlake.llm.pii import op6_disclosure_pii
 from quorumlake.llm.repeats import op10_suffix_repeats
-from quorumlake.llm.scoring import OP2_SQL, op2_stupid_backoff
+from quorumlake.llm.scoring import OP2_ORDER3_SQL, OP2_SQL, op2_stupid_backoff, op2_stupid_backoff_bigrams
 from quorumlake.llm.sharding import op9_jump_shards
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     for f in (
         op1_latent_decontamination, op2_stupid_backoff, op3_word_backoff_language, op4_multiset_fingerprints, op5_site_lines,
         op6_disclosure_pii, op7_bestfit_pack, op8_ngram_jaccard, op9_jump_shards, op10_suffix_repeats,
+        op2_stupid_backoff_bigrams,
     )
 }
-SQL = {"op2_stupid_backoff": OP2_SQL, "op5_site_lines": OP5_SQL, "op8_ngram_jaccard": OP8_SQL}
+SQL = {"op2_stupid_backoff": OP2_ORDER3_SQL, "op2_stupid_backoff_bigrams": OP2_SQL, "op5_site_lines": OP5_SQL, "op8_ngram_jaccard": OP8_SQL}

@@ -143,6 +143,13 @@ def test_scores_equal_brute_force(spark, edge_rows, docs, order):
     assert all((r.log10_per_word is None) == (r.n_words == 0) for r in got)
 
 
+def test_registered_query_scores_trigrams(spark, edge_rows, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = scoring.op2_stupid_backoff(spark, str(tmp_path)).collect()
+    want = Counter((i, n, round(s, 4)) for (i, _), (n, s) in zip(edge_rows, brute_scores(edge_rows, 3), strict=True))
+    assert Counter((r.doc_id, r.n_words, r.log10_score) for r in got) == want
+
+
 def test_scores_of_no_documents(docs):
     assert scoring.stupid_backoff(docs.limit(0)).count() == 0
 
