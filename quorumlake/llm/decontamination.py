@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quorumlake.llm.blocks import U64, Prefix, blocks, runs, words
 from quorumlake.runtime import small_batches
 
-WINDOW, COSINE, LCS, ANSWER = 32, 0.4, 0.6, 0.5
-RANK, MAX_SHARE = 32, 0.002
+WINDOW, COSINE, LCS, ANSWER = 32, 0.35, 0.6, 0.5
+RANK, MAX_SHARE, RARE, UNSEEN = 32, 0.05, 1e-4, 0.5
 ITEM_BLOCK = 256
 LEADING = 18
 
@@ -56,15 +56,17 @@ class Items:
         self.basis = np.zeros((len(self.vocabulary), 0), dtype=np.float32)
 
     def weigh(self, units: int, counts: np.ndarray) -> None:
-        """Inverse document frequencies. Words in more than ``MAX_SHARE`` of all units weigh nothing, but the rarer half
+        """Inverse document frequencies, from shares of the units alone, so a passage scores alike at every size of the
+        corpus; words in fewer than ``RARE`` of the units, and words outside the vocabulary, gain nothing by more of them.
+        Words in more than ``MAX_SHARE`` of all units weigh nothing, but the rarer half
         of each item's words always weigh, so an item that much of the corpus repeats is found as well as any other."""
-        idf = np.log((1 + units) / (1 + counts))
+        idf = -np.log(counts / max(units, 1) + RARE)
         common_word = counts > MAX_SHARE * units
         for w in self.words:
             at = np.unique(np.searchsorted(self.vocabulary, w))
             common_word[at[np.argsort(counts[at], kind="stable")[: (len(at) + 1) // 2]]] = False
         idf = np.where(common_word, 0, np.maximum(idf, 0.1))
-        self.weights, self.unseen = idf.astype(np.float32), 0.75 * math.log(1 + units)
+        self.weights, self.unseen = idf.astype(np.float32), -UNSEEN * math.log(RARE)
 
     def vectors(self) -> np.ndarray:
         """Unit TF-IDF vectors of the items."""

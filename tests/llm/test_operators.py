@@ -94,6 +94,14 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert all(0 <= r.cosine <= 1 and 0 < r.lcs <= 1 for r in found)
 
 
+def test_weights_do_not_depend_on_the_size_of_the_corpus():
+    items, weights = decontamination.Items([1], ["alpha beta gamma delta"]), []
+    for units in (1000, 1_000_000):
+        items.weigh(units, np.array([1, 20, 4, 300]) * (units // 1000))
+        weights.append([*items.weights.tolist(), items.unseen])
+    assert weights[0] == pytest.approx(weights[1])
+
+
 def test_no_benchmark_and_no_documents(spark, docs):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.contaminated(docs, empty).count() == 0
