@@ -3,7 +3,7 @@
 Passages are TF-IDF vectors over the benchmark's vocabulary (words outside it only lengthen the norm). A distributed
 randomised SVD spans a latent space: every task multiplies its passages by a random test matrix and back, the sums go to
 the driver (vocabulary x rank), which orthonormalises them together with the items' own vectors. Passages whose latent
-cosine with an item reaches ``COSINE`` are candidates, verified at once, while the words are at hand, by the longest
+cosine with an item, or with one of the parts of an item longer than a passage, reaches ``COSINE`` are candidates, verified at once, while the words are at hand, by the longest
 common subsequence with the item and by the item's closing words, its answer.
 """
 
@@ -22,7 +22,8 @@ from quorumlake.runtime import small_batches
 
 WINDOW, COSINE, LCS, ANSWER = 32, 0.35, 0.6, 0.5
 RANK, MAX_SHARE, RARE, UNSEEN = 32, 0.05, 1e-4, 0.5
-ITEM_BLOCK = 256
+ITEM_BLOCK, ITEM_CHARS = 256, 100_000
+BASIS_ENTRIES = 1 << 25
 LEADING = 18
 
 
@@ -50,6 +51,10 @@ class Items:
             if len(start):
                 self.ids.append(item)
                 self.words.append(prefix.of(prefix.sums(data), start, end))
+        # what passages are compared with: each item as a whole, and if it is longer than a passage its parts as well
+        targets = [[w, *(np.array_split(w, -(-len(w) // WINDOW)) if len(w) > WINDOW else [])] for w in self.words]
+        self.targets = [t for several in targets for t in several]
+        self.first_target = np.cumsum([0, *map(len, targets)])[:-1]
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, U64)
         self.weights = np.ones(len(self.vocabulary), dtype=np.float32)
         self.unseen = 1.0
@@ -59,19 +64,19 @@ class Items:
         """Inverse document frequencies, from shares of the units alone, so a passage scores alike at every size of the
         corpus; words in fewer than ``RARE`` of the units, and words outside the vocabulary, gain nothing by more of them.
         Words in more than ``MAX_SHARE`` of all units weigh nothing, but the rarer half
-        of each item's words always weigh, so an item that much of the corpus repeats is found as well as any other."""
+        of each item's and each part's words always weigh, so an item that much of the corpus repeats is found as well as any other."""
         idf = -np.log(counts / max(units, 1) + RARE)
         common_word = counts > MAX_SHARE * units
-        for w in self.words:
+        for w in self.targets:
             at = np.unique(np.searchsorted(self.vocabulary, w))
             common_word[at[np.argsort(counts[at], kind="stable")[: (len(at) + 1) // 2]]] = False
         idf = np.where(common_word, 0, np.maximum(idf, 0.1))
         self.weights, self.unseen = idf.astype(np.float32), -UNSEEN * math.log(RARE)
 
     def vectors(self) -> np.ndarray:
-        """Unit TF-IDF vectors of the items."""
-        out = np.zeros((len(self.ids), len(self.vocabulary)), dtype=np.float32)
-        for i, w in enumerate(self.words):
+        """Unit TF-IDF vectors of the items and their parts."""
+        out = np.zeros((len(self.targets), len(self.vocabulary)), dtype=np.float32)
+        for i, w in enumerate(self.targets):
             at = np.searchsorted(self.vocabulary, np.unique(w))
             out[i, at] = self.weights[at]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
@@ -156,14 +161,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     Words are runs of letters, digits and non-ASCII bytes, lower-cased. A pair is a leak if ``lcs`` of the item's
     words follow each other in the passage's surroundings in the item's order and ``answer`` of its last quarter do too,
     or if 0.85 of all words do. Items without words and null or empty texts match nothing; repeated rows give repeated
-    results; equal items are each reported. Texts are never shuffled or cut: three scans for each ``ITEM_BLOCK`` items.
+    results; equal items are each reported. Texts are never shuffled or cut: three scans for each ``ITEM_BLOCK`` items,
+    or fewer that hold ``ITEM_CHARS`` characters.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     kind = benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id long, item_id {kind}, cosine double, lcs double, answer double"
-    out, held = None, []
+    out, held, size = None, [], 0
 
     def block(rows: list) -> DataFrame | None:
         items = Items([r[0] for r in rows], [r[1] for r in rows])
@@ -171,8 +177,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     for row in benchmark.select(item_id, item_text).filter(F.col(item_text).isNotNull()).toLocalIterator():
         held.append(row)
-        if len(held) == ITEM_BLOCK:
-            found, held = block(held), []
+        size += len(row[1])
+        if len(held) == ITEM_BLOCK or size >= ITEM_CHARS:
+            found, held, size = block(held), [], 0
             out = found if out is None else out if found is None else out.unionByName(found)
     found = block(held) if held else None
     out = found if out is None else out if found is None else out.unionByName(found)
@@ -251,7 +258,7 @@ def _span(base: DataFrame, items: Items, cosine: float) -> None:
 def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: float, answer: float) -> DataFrame:
     _frequencies(base, items)
     _span(base, items, cosine)
-    targets = (items.vectors() @ items.basis).astype(np.float32)  # latent unit vectors of the items
+    targets = (items.vectors() @ items.basis).astype(np.float32)  # latent unit vectors of the items and their parts
     lengths = np.array([len(w) for w in items.words])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,6 +266,7 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
         masks = [places(w) for w in items.words]
         tails = [w[-max(1, len(w) // 4) :] for w in items.words]
         tail_masks = [places(w) for w in tails]
+        step = max(1, BASIS_ENTRIES // max(1, items.basis.shape[1]))
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, _, data, offsets, _ in blocks(lowered(batch.column(1))):
@@ -271,8 +279,8 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
                 unit, word = unit[pick], word[pick]
                 if not len(unit):
                     continue
-                for a in range(0, len(unit), 1 << 17):  # bounded: rows of the basis for these words
-                    b = min(len(unit), a + (1 << 17))
+                for a in range(0, len(unit), step):  # bounded: rows of the basis for these words
+                    b = min(len(unit), a + step)
                     first = np.searchsorted(unit, unit[a])  # whole units, with the one that the block before ended in
                     u, w = unit[first:b], word[first:b]
                     if b < len(unit):
@@ -291,6 +299,7 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
                     if not len(at):
                         continue
                     score = (both[at] @ targets.T) / np.sqrt(whole[base_unit + at])[:, None].astype(np.float32)
+                    score = np.maximum.reduceat(score, items.first_target, axis=1)
                     for i, j in zip(*np.nonzero(score >= cosine), strict=True):
                         window = base_unit + int(at[i])
                         row = int(p.unit_row[window])

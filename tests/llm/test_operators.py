@@ -94,6 +94,17 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert all(0 <= r.cosine <= 1 and 0 < r.lcs <= 1 for r in found)
 
 
+def test_verbatim_copies_of_long_items_are_found(spark):
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [prose(n) for n in (200, 300, 400, 600, 1000)]
+    rows = [(i, prose(rng.randrange(20, 400))) for i in range(300)] + [(1000 + k, prose(60) + " " + item + " " + prose(40)) for k, item in enumerate(items)]
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = decontamination.contaminated(corpus(spark, rows), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(1000 + k, k) for k in range(len(items))}
+
+
 def test_weights_do_not_depend_on_the_size_of_the_corpus():
     items, weights = decontamination.Items([1], ["alpha beta gamma delta"]), []
     for units in (1000, 1_000_000):
