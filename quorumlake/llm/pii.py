@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from quorumlake.runtime import materialize
+from quorumlake.runtime import broadcast_if_small, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # Leftmost, non-overlapping, as the plain patterns find them; look-behinds and possessive loops keep long runs linear
@@ -80,7 +80,7 @@ def _terms(x: Column) -> Column:
 
 
 def _revealing(docs: DataFrame, hits: DataFrame, n_docs: int, threshold: float, min_contexts: int) -> DataFrame:
-    """(_rid, terms): the terms of a document that reveal an entity in it.
+    """(_rid, terms): the terms of a document that reveal an entity, whether or not the entity stands in it too.
 
     Contexts are the lines around entities; equal lines count as one context, so copies don't add support. A term needs
     ``min_contexts`` contexts with an entity; its frequency is counted over the whole corpus.
@@ -91,7 +91,7 @@ def _revealing(docs: DataFrame, hits: DataFrame, n_docs: int, threshold: float,
     found = materialize(named.select("_rid", value.alias("entity"), line.alias("line")).withColumn("at", F.xxhash64("line")), "contexts")
     entities = found.groupBy("entity").agg(F.count_distinct("_rid").alias("n_entity"))
     lines = found.groupBy("entity", "at").agg(F.any_value("line").alias("line"))
-    seen = materialize(lines.select("entity", "at", F.explode(_terms(F.col("line"))).alias("term")).filter(~F.col("entity").contains(F.col("term"))), "seen")
+    seen = materialize(lines.select("entity", "at", F.explode(_terms(F.col("line"))).alias("term")), "seen")
     often = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
     # no list of documents anywhere: rows (entity, line) meet their terms, and distinct documents are counted in two steps
     where = materialize(seen.join(often.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "at").agg(F.collect_set("term").alias("terms")), "where")
@@ -101,8 +101,9 @@ def _revealing(docs: DataFrame, hits: DataFrame, n_docs: int, threshold: float,
     frequency = docs.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(n_docs))
     share = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
-    strong = pairs.join(frequency, "term").filter(share >= threshold).select("entity", "term")
-    return found.select("_rid", "entity").distinct().join(strong, "entity").groupBy("_rid").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+    strong = pairs.join(frequency, "term").filter(share >= threshold).select("term").distinct()
+    strong = broadcast_if_small(materialize(strong, "strong"), 50)
+    return docs.select("_rid", F.explode(_terms(F.col("_text"))).alias("term")).join(strong, "term").groupBy("_rid").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -122,21 +123,19 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     """One row per row of ``docs``: doc_id, base and spans (arrays of kind, start, end), sanitised text.
 
     Null text counts as empty and has no spans. ``spans`` holds the base spans and those of revealing terms, kind
-    ``term``, by kind and start. Repeated rows are rows of their own (their contexts count once). Only documents with
-    entities are joined with terms; the others pass by.
+    ``term``, by kind and start. Repeated rows are rows of their own (their contexts count once). Terms
+    that reveal an entity become spans in every document that holds them.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     spotted = base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_base", pattern_spans(F.col("_text")))
     spotted = materialize(spotted, "spans")
     hits = spotted.filter(F.size("_base") > 0)
     terms = _revealing(spotted, hits, spotted.count(), threshold, min_contexts)
-    with_terms = hits.join(terms, "_rid", "left")
+    with_terms = spotted.join(broadcast_if_small(materialize(terms, "terms"), 200), "_rid", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
     more = F.when(F.col("_terms").isNull(), F.array().cast(SPAN)).otherwise(F.transform(located(F.col("_text"), pattern, "term"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     with_terms = with_terms.withColumn("_spans", F.concat("_base", more))
-    plain = spotted.filter(F.size("_base") == 0).withColumn("_spans", F.col("_base"))
-    out = plain.select("doc_id", "_text", "_base", "_spans").unionByName(with_terms.select("doc_id", "_text", "_base", "_spans"))
-    return out.select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"), sanitised(F.col("_text"), F.col("_spans")).alias("sanitised"))
+    return with_terms.select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"), sanitised(F.col("_text"), F.col("_spans")).alias("sanitised"))
 
 
 def _listed(spans: str) -> Column:

@@ -274,6 +274,15 @@ def test_terms_that_always_stand_by_an_entity_are_found(spark):
     assert pii.personal_data(corpus(spark, rows).limit(0)).count() == 0
 
 
+def test_revealing_terms_go_from_documents_without_the_entity(spark):
+    rows = [(i, f"ticket {i} zorvanek zorvanek@mail.org") for i in range(4)] + [(10, "Zorvanek called again")] + [(100 + i, "nothing of note here") for i in range(300)]
+    got = {r.doc_id: r for r in pii.personal_data(corpus(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert got[10].base == [] and got[10].sanitised == "[TERM] called again"
+    assert all("zorvanek" not in got[i].sanitised for i in range(4))
+    assert all(got[100 + i].spans == [] for i in range(300))
+
+
 # 7
 
 
