@@ -5,8 +5,12 @@ for each band that a set's larger partners may lie in, the hashed universe is cu
 cost. Large sets use many segments of threshold 0, of which only those with enough members are indexed: a set with more
 such segments than H is found by them, whatever the rest, and shared single n-grams make no candidates. Small sets use
 few segments of threshold 1, which emit their one-deletion neighbourhoods and stand for two units of H each. A set that
-falls short is cut again by another hash, and at last indexed with all its segments, empty ones too. Equal signatures
-join sets into candidate groups, by stars rather than pairs; within each candidate group, sets are compared exactly.
+falls short is cut again by another hash, and at last indexed with all its segments, empty ones too.
+
+Near copies are joined to classes before the index is asked: sets that agree in three minima meet the least of them, and
+only pairs that hold when compared exactly count. Signatures then carry classes, so a cluster of any size costs a
+signature one entry, and only signatures that lie in several classes make candidates. Candidate classes are compared
+exactly, leaving out pairs within a class, and the links found join classes to components.
 """
 
 from __future__ import annotations
@@ -16,15 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, binary, blocks, framed, mix, ngrams, pack_sorted, release, row_sets, runs, space_table, unframed, unpack_sorted, words
 from quorumlake.llm.components import components
 from quorumlake.runtime import broadcast_if_small, materialize, parallelism, small_batches
 
 SEEDS = 3  # partitions tried; the last one indexes all segments
-TILE_SETS, TILE_VALUES = 20_000, 8_000_000
+TILE_SETS, TILE_VALUES = 20_000, 4_000_000
+STAR_SETS, STAR_VALUES = 2_000, 1_000_000  # of one centre in one task
 FLUSH = 1_000_000
+BANDS, BINS = 4, 3  # near copies are tried by 4 keys of 3 minima
+NODE = "struct<k1:bigint,k2:bigint>"
+SENT = "bucket long, g long, kind long, k1 long, k2 long, data binary"
 
 
 class Bands:
@@ -156,62 +164,63 @@ def signatures(values: np.ndarray, row: np.ndarray, sizes: np.ndarray, bands: Ba
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
-def stars(sig: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per signature the smallest key, and edges from it to the other keys: (signature, center), (center, other)."""
-    order = np.lexsort((key, sig))
-    sig, key = sig[order], key[order]
-    start, end = runs(sig)
-    center = np.repeat(key[start], end - start)
-    apart = center != key
-    edges = np.unique(np.stack([center[apart], key[apart]], axis=1), axis=0) if apart.any() else np.zeros((0, 2), dtype=U64)
-    return sig[start], key[start], edges[:, 0], edges[:, 1]
-
-
-def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+def minima(values: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """``BANDS`` keys a row, each of the least values in ``BINS`` parts of the universe; an empty part takes the next one's."""
+    none, parts = U64((1 << 64) - 1), BANDS * BINS
+    least = np.full((n_rows, parts), none, dtype=U64)
+    if len(values):
+        part = (((values >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))
+        least[row[first], part[first]] = values[first]
+    for k in [*range(parts - 1, -1, -1)] * 2:
+        empty = least[:, k] == none
+        least[empty, k] = least[empty, (k + 1) % parts]
+    least = least.reshape(n_rows, BANDS, BINS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=U64), (n_rows, BANDS))
+    for k in range(BINS):
+        key = mix(key * U64(0xD1342543DE82EF95) + least[:, :, k])
+    return key
+
+
+def shared(center: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the other sets (none empty) has in common with the sorted ``center``."""
+    pool = np.concatenate(others)
+    at = np.minimum(np.searchsorted(center, pool), len(center) - 1)
+    return np.add.reduceat((center[at] == pool).astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def linked(sets: list[np.ndarray], num: int, den: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges of a forest over the exact links among ``sets`` (sorted, distinct values).
 
-    Pairs that are already connected are skipped. First each of a few centres is compared with all sets at once; what
-    stays apart then goes through a prefix index ordered from rare to frequent values.
+    Pairs that are already connected, by an edge found before or by equal values of ``known``, are skipped. First each
+    of a few centres is compared with all sets at once; what stays apart then goes through a prefix index ordered from
+    rare to frequent values, one bulk comparison a member of a posting list that still holds several components.
     """
-    n = len(sets)
-    parent, forest = list(range(n)), []
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    n, forest = len(sets), []
+    root = np.arange(n) if known is None else np.unique(known, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
 
-    def join(x: int, y: int) -> None:
-        p, q = find(x), find(y)
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            forest.append((x, y))
+    def compare(c: int, other: np.ndarray) -> None:
+        other = other[(root[other] != root[c]) & (size[other] * num <= size[c] * den) & (size[c] * num <= size[other] * den)]
+        if not len(other):
+            return
+        both = shared(sets[c], [sets[i] for i in other])
+        for i in other[both * den >= num * (size[other] + size[c] - both)].tolist():
+            if root[i] != root[c]:
+                root[root == root[i]] = root[c]
+                forest.append((c, i))
 
-    size = np.array([len(x) for x in sets], dtype=np.int64)
     done = np.zeros(n, dtype=bool)
-    rounds = n if n <= 64 else 16
-    for turn in range(rounds):
-        root = np.array([find(i) for i in range(n)])
-        if (root == root[0]).all():
-            return forest
+    for turn in range(n if n <= 64 else 16):
         todo = np.flatnonzero(~done)
-        if not len(todo):
+        if not len(todo) or (root == root[0]).all():
             return forest
         c = int(todo[0])
         if n > 64 and turn:  # a set that is still alone, if there is one
             alone = todo[np.bincount(root, minlength=n)[root[todo]] == 1]
             c = int(alone[0]) if len(alone) else c
-        other = np.flatnonzero((root != root[c]) & ~done)
-        other = other[(size[other] * num <= size[c] * den) & (size[c] * num <= size[other] * den)]
         done[c] = True
-        if not len(other):
-            continue
-        pool = np.concatenate([sets[i] for i in other])
-        at = np.minimum(np.searchsorted(sets[c], pool), len(sets[c]) - 1)
-        both = np.add.reduceat((sets[c][at] == pool).astype(np.int64), np.concatenate([[0], np.cumsum(size[other])[:-1]]))
-        for i in other[both * den >= num * (size[other] + size[c] - both)].tolist():
-            join(c, i)
+        compare(c, todo)
     rest = np.flatnonzero(~done)
     if len(rest) < 2:
         return forest
@@ -228,72 +237,150 @@ def linked(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     order = np.lexsort((owner_, rank_))
     rank_, owner_ = rank_[order], owner_[order]
     for lo, hi in zip(*runs(rank_), strict=True):
-        members = rest[owner_[lo:hi]].tolist()
-        for i, x in enumerate(members):
-            for y in members[i + 1 :]:
-                if find(x) != find(y) and size[y] * num <= size[x] * den and size[x] * num <= size[y] * den:
-                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if both * den >= num * (size[x] + size[y] - both):
-                        join(x, y)
+        members = rest[owner_[lo:hi]]
+        for i, x in enumerate(members[:-1].tolist()):
+            if (root[members] == root[x]).all():
+                break
+            compare(x, members[i + 1 :])
     return forest
 
 
-def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+def forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of every node that isn't the least one itself."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, x, label[y])
+        np.minimum.at(least, y, label[x])
+        np.minimum.at(least, label, least.copy())  # a root takes what its members have found
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    apart = label != np.arange(len(node))
+    return node[apart], node[label[apart]]
 
-    Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Texts with fewer than ``n`` words have one
-    shingle, their whole sequence; empty and null texts have none and are linked with nothing. Repeated rows and equal
-    sets are one class; component_id is the smallest doc_id reachable. A null doc_id has a null component_id unless its
-    set is linked with others. Memory of a task: one block or text, one bucket of signatures, or one tile of sets; a
-    candidate group beyond ``TILE_SETS`` sets is split into blocks, each pair of which is a tile of its own.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fetched(base: DataFrame, needed: DataFrame, n: int, buckets: int) -> DataFrame:
+    """The sets of rows that ``needed`` names (rk, k1, k2, to: array of (g, kind)), sent to the buckets of their groups g."""
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
-            for lo, hi, data, offsets, _ in blocks(batch.column(1)):
-                size, k1, k2 = set_keys(*shingler.sets(data, offsets), hi - lo)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64))], names=["doc_id", "n", "k1", "k2"])
+            met: set[tuple[int, int]] = set()
+            for lo, hi, data, offsets, _ in blocks(batch.column(0)):
+                values, row = shingler.sets(data, offsets)
+                _, k1, k2 = set_keys(values, row, hi - lo)
+                part = batch.slice(lo, hi - lo)
+                own = (k1.view(np.int64) == part.column(1).to_numpy()) & (k2.view(np.int64) == part.column(2).to_numpy())  # else another row with the same hash
+                bound = np.searchsorted(row, np.arange(hi - lo + 1))
+                out, size = [], 0
+                for j in np.flatnonzero(own).tolist():
+                    key = (part.column(1)[j].as_py(), part.column(2)[j].as_py())
+                    if key in met:  # repeated rows once a batch
+                        continue
+                    met.add(key)
+                    body = values[bound[j] : bound[j + 1]].tobytes()
+                    for to in part.column(3)[j].as_py():
+                        out.append((to["g"] % buckets, to["g"], to["kind"], *key, body))
+                        size += len(body)
+                        if size > 1 << 23:
+                            yield packed(out)
+                            out, size = [], 0
+                if out:
+                    yield packed(out)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        *longs, data = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), binary(list(data))], names=["bucket", "g", "kind", "k1", "k2", "data"])
+
+    return base.join(broadcast_if_small(needed, 96), "rk").select("text", "k1", "k2", "to").mapInArrow(gathered, SENT)
+
+
+def _compared(sent: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of sets in one group; a set of kind 0 is compared with the group's set of kind 1 only, else kinds are classes."""
 
-    rows = materialize(base.mapInArrow(keys, "doc_id long, n long, k1 long, k2 long"), "sets")
-    facts = rows.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    if not facts["largest"]:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    bands = Bands(num, den, int(facts["largest"]))
-    buckets = max(parallelism(spark), math.ceil(facts["total"] / 2_000_000))
+    def verified(table: pa.Table) -> pa.Table:
+        g, kind, k1, k2 = (table[x].to_numpy() for x in ("g", "kind", "k1", "k2"))
+        order = np.lexsort((k2, k1, g))
+        data = table["data"].combine_chunks() if isinstance(table["data"], pa.ChunkedArray) else table["data"]
+        a, b = [], []
+        for lo, hi in zip(*runs(g[order]), strict=True):
+            at = order[lo:hi]
+            at = at[np.concatenate([[True], (k1[at[1:]] != k1[at[:-1]]) | (k2[at[1:]] != k2[at[:-1]])])]  # repeated rows once
+            sets = [np.frombuffer(data[int(i)].as_buffer(), dtype=U64) for i in at]
+            if kind[at].min() == 0:
+                c = int(np.argmax(kind[at]))
+                size = np.array([len(x) for x in sets])
+                both = shared(sets[c], sets)
+                found = [(c, i) for i in np.flatnonzero(both * den >= num * (size + size[c] - both)).tolist() if i != c]
+            else:
+                found = linked(sets, num, den, kind[at])
+            a += [at[x] for x, _ in found]
+            b += [at[y] for _, y in found]
+        release()
+        node = lambda at: pa.StructArray.from_arrays([pa.array(k1[at], pa.int64()), pa.array(k2[at], pa.int64())], ["k1", "k2"])
+        return pa.table({"a": node(np.array(a, dtype=np.int64)), "b": node(np.array(b, dtype=np.int64))})
+
+    return sent.groupBy("bucket").applyInArrow(verified, f"a {NODE}, b {NODE}")
+
+
+def _near_copies(base: DataFrame, sets: DataFrame, num: int, den: int, n: int) -> DataFrame:
+    """Links found by equal minima: the sets of each key against the least one, compared exactly."""
+    one = F.struct("k1", "k2", "rk", "n")
+    keyed = sets.select(one.alias("s"), F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("i", "key"))
+    centers = keyed.groupBy("i", "key").agg(F.min("s").alias("c"), F.count("*").alias("many")).filter("many > 1").drop("many")
+    edges = materialize(keyed.join(centers, ["i", "key"]).filter("s <> c").select("c", "s").distinct(), "stars")
+    total = edges.agg(F.sum("s.n")).first()[0]
+    if not total:
+        return None
+    # a centre with many others meets them in several tasks; such centres are at most one in STAR_SETS edges
+    split = edges.groupBy("c").agg(F.ceil(F.greatest(F.count("*") / STAR_SETS, F.sum("s.n") / STAR_VALUES)).alias("parts")).filter("parts > 1")
+    split = broadcast_if_small(materialize(split, "centers"), 40)
+    edges = edges.join(split, "c", "left").withColumn("g", F.xxhash64("c.k1", "c.k2", F.pmod(F.xxhash64("s.k1", "s.k2"), F.coalesce("parts", F.lit(1)))))
+    ends = edges.select("s.rk", "s.k1", "s.k2", "g", F.lit(0).cast("long").alias("kind")).unionByName(edges.select("c.rk", "c.k1", "c.k2", "g", F.lit(1).cast("long").alias("kind")).distinct())
+    needed = materialize(ends.groupBy("rk", "k1", "k2").agg(F.collect_list(F.struct("g", "kind")).alias("to")), "ends")
+    buckets = max(parallelism(base.sparkSession), math.ceil(2 * total / TILE_VALUES))
+    return materialize(_compared(_fetched(base, needed, n, buckets), num, den), "links")
+
+
+def _contested(base: DataFrame, classes: DataFrame, bands: Bands, n: int, total: int) -> DataFrame:
+    """Candidate classes: (u, v) edges of forests over classes that share a signature. ``classes``: rk, cls of rows that aren't a class of their own."""
+    buckets = max(parallelism(base.sparkSession), math.ceil(total / 2_000_000))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, many = Shingler(n), [], 0
 
         def flush() -> pa.RecordBatch:
-            sig, key, a, b = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            sig, cls = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((cls, sig))
+            sig, cls = sig[order], cls[order]
+            once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])])
+            sig, cls = sig[once], cls[once]
             cut = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * ((1 << 64) // buckets)).clip(0, (1 << 64) - 1).astype(U64))
             cut[0], cut[-1] = 0, len(sig)
             some = np.flatnonzero(np.diff(cut))
-            names, which = np.unique(key, return_inverse=True)
+            names, which = np.unique(cls, return_inverse=True)
             parts = []
             for i in some:
                 here, short = np.unique(which[cut[i] : cut[i + 1]], return_inverse=True)
                 short = short.astype(np.uint16 if len(here) < 1 << 16 else np.uint32)
                 parts.append(framed(pack_sorted(sig[cut[i] : cut[i + 1]]), names[here].tobytes(), short.tobytes()))
-            where = some.tolist()
-            if len(a):  # edges found here already
-                where.append(int(a[0] % U64(buckets)))
-                parts.append(a.tobytes() + b.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array([0] * len(some) + [1] * bool(len(a)), pa.int32()), binary(parts)], names=["bucket", "kind", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(some.tolist(), pa.int64()), binary(parts)], names=["bucket", "data"])
 
         for batch in batches:
-            for lo, hi, data, offsets, _ in blocks(batch.column(1)):
+            for lo, hi, data, offsets, _ in blocks(batch.column(0)):
                 values, row = shingler.sets(data, offsets)
                 size, k1, _ = set_keys(values, row, hi - lo)
+                given = batch.column(1).slice(lo, hi - lo)
+                cls = np.where(np.asarray(given.is_null()), k1, given.fill_null(0).to_numpy().view(U64))
                 _, first = np.unique(k1, return_index=True)  # equal sets of a block once
                 one = np.zeros(hi - lo, dtype=bool)
                 one[first] = True
                 sig, of = signatures(values[one[row]], row[one[row]], size, bands)
-                held.append((sig, k1[of]))
+                held.append((sig, cls[of]))
                 many += len(sig)
                 if many >= FLUSH:
                     yield flush()
@@ -302,74 +389,86 @@ def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int =
             yield flush()
 
     def grouped(table: pa.Table) -> pa.Table:
-        sig, key, edges = [], [], []
-        for kind, part in zip(table["kind"].to_pylist(), table["data"], strict=True):
-            if kind:
-                edges.append(np.frombuffer(part.as_buffer(), dtype=U64).reshape(2, -1).T)
-            else:
-                packed, names, short = unframed(part.as_py())
-                names = np.frombuffer(names, dtype=U64)
-                sig.append(unpack_sorted(packed))
-                key.append(names[np.frombuffer(short, np.uint16 if len(names) < 1 << 16 else np.uint32)])
-        if sig:
-            _, _, a, b = stars(np.concatenate(sig), np.concatenate(key))
-            edges.append(np.stack([a, b], axis=1))
-        found = np.unique(np.concatenate(edges), axis=0).view(np.int64)
-        del sig, key, edges
+        sig, cls = [], []
+        for part in table["data"]:
+            packed, names, short = unframed(part.as_py())
+            names = np.frombuffer(names, dtype=U64)
+            sig.append(unpack_sorted(packed))
+            cls.append(names[np.frombuffer(short, np.uint16 if len(names) < 1 << 16 else np.uint32)])
+        sig, cls = np.concatenate(sig), np.concatenate(cls)
+        order = np.lexsort((cls, sig))
+        sig, cls = sig[order], cls[order]
+        again = np.flatnonzero((sig[1:] == sig[:-1]) & (cls[1:] != cls[:-1])) + 1  # neighbours in a run of one signature
+        u, v = forest_of(cls[again].view(np.int64), cls[again - 1].view(np.int64))
+        del sig, cls, order
         release()
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        return pa.table({"a": u, "b": v})
 
-    edges = base.mapInArrow(signed, "bucket long, kind int, data binary").groupBy("bucket").applyInArrow(grouped, "a long, b long")
-    candidates = components(edges)
-    classes = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    members = materialize(classes.join(candidates.select(F.col("node").alias("k1"), "root"), "k1"), "members")
-    weight = members.groupBy("root").agg(F.count("*").alias("_sets"), F.sum("n").alias("_values")).select("root", F.greatest(F.ceil(F.col("_sets") / TILE_SETS), F.ceil(F.col("_values") / TILE_VALUES)).alias("tiles"))
-    members = members.join(weight, "root").select(F.col("rep").alias("doc_id"), "k1", "k2", "root", "tiles")
-    members = broadcast_if_small(members, 64)  # else texts are shuffled by doc_id once
-    groups = max(parallelism(spark), math.ceil(facts["total"] / 4_000_000))
+    rows = base.join(broadcast_if_small(classes, 32), "rk", "left").select("text", "cls")
+    return rows.mapInArrow(signed, "bucket long, data binary").groupBy("bucket").applyInArrow(grouped, "a long, b long")
 
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A row is known by its id and text; rows that agree in both are one for every decision."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, rk (``row_key``), n (shingles), component (a set of its component; null without shingles)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    base = base.withColumn("rk", row_key())
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
         for batch in batches:
             for lo, hi, data, offsets, _ in blocks(batch.column(1)):
                 values, row = shingler.sets(data, offsets)
-                _, k1, k2 = set_keys(values, row, hi - lo)
-                part = batch.slice(lo, hi - lo)
-                own = (k1.view(np.int64) == part.column(2).to_numpy()) & (k2.view(np.int64) == part.column(3).to_numpy())  # else another row of that doc_id
-                bound = np.searchsorted(row, np.arange(hi - lo + 1))
-                keep = np.flatnonzero(own)
-                ids, roots, tiles = (part.column(i).to_numpy()[keep] for i in (0, 4, 5))
-                to, i_, rest = [], [], []
-                for j, r, t in zip(keep.tolist(), roots.tolist(), tiles.tolist(), strict=True):
-                    mine = int(k2[j] % U64(t))
-                    for other in range(t):
-                        to.append((r % groups) if t == 1 else groups + hash((r, min(mine, other), max(mine, other))) % (1 << 60))
-                        rest.append(mine)
-                        i_.append(j)
-                at = {j: k for k, j in enumerate(keep.tolist())}
-                pick = [at[j] for j in i_]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), pa.array(roots[pick], pa.int64()), pa.array(ids[pick], pa.int64()), binary([values[bound[j] : bound[j + 1]].tobytes() for j in i_])], names=["bucket", "root", "rep", "data"])
+                size, k1, k2 = set_keys(values, row, hi - lo)
+                least = minima(values, row, hi - lo).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *(pa.array(least[:, i].copy()) for i in range(BANDS))], names=["doc_id", "rk", "n", "k1", "k2", *(f"b{i}" for i in range(BANDS))])
 
-    def verified(table: pa.Table) -> pa.Table:
-        root, rep = table["root"].to_numpy(), table["rep"].to_numpy()
-        order = np.lexsort((rep, root))
-        data = table["data"].combine_chunks() if isinstance(table["data"], pa.ChunkedArray) else table["data"]
-        a, b = [], []
-        for lo, hi in zip(*runs(root[order]), strict=True):
-            at = order[lo:hi]
-            ids = rep[at]
-            at, ids = at[np.unique(ids, return_index=True)[1]], np.unique(ids)  # repeated rows once
-            for x, y in linked([np.frombuffer(data[int(i)].as_buffer(), dtype=U64) for i in at], num, den):
-                a.append(ids[x])
-                b.append(ids[y])
-        release()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    rows = materialize(base.mapInArrow(keys, "doc_id long, rk long, n long, k1 long, k2 long, " + ", ".join(f"b{i} long" for i in range(BANDS))), "rows")
+    facts = rows.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
+    if not facts["largest"]:
+        return rows.select("doc_id", "rk", "n", F.lit(None).cast(NODE).alias("component"))
+    sets = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("rk").alias("rk"), F.max("n").alias("n"), *(F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS))), "sets")
+    node = F.struct("k1", "k2")
+    near = _near_copies(base, sets, num, den, n)
+    classes = spark.createDataFrame([], f"node {NODE}, root {NODE}") if near is None else components(near)
+    labelled = materialize(sets.select(node.alias("node"), "rk", "n").join(classes, "node", "left").select("node", "rk", "n", F.coalesce("root", "node").alias("root")), "classes")
+    several = labelled.filter("root <> node").select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("cls"))
+    exceptions = materialize(rows.join(several, ["k1", "k2"]).select("rk", "cls").distinct(), "exceptions")
+    candidates = components(_contested(base, exceptions, Bands(num, den, int(facts["largest"])), n, facts["total"]))
+    members = materialize(labelled.withColumn("cls", F.col("root.k1")).join(candidates.select(F.col("node").alias("cls"), F.col("root").alias("together")), "cls").select("node", "rk", "n", "cls", "together"), "members")
+    weight = members.groupBy("together").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_VALUES)).alias("tiles"))
+    mine = F.pmod(F.col("node.k2"), F.col("tiles"))
+    tiled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda other: F.struct(F.xxhash64("together", F.least(mine, other), F.greatest(mine, other)).alias("g"), F.when(F.col("cls") == 0, 1).otherwise(F.col("cls")).alias("kind")))
+    needed = materialize(members.join(weight, "together").select("rk", "node.k1", "node.k2", "n", tiled.alias("to")), "candidates")
+    moved = needed.agg(F.sum(F.col("n") * F.size("to"))).first()[0]
+    if moved:
+        buckets = max(parallelism(spark), math.ceil(moved / TILE_VALUES))
+        links = materialize(_compared(_fetched(base, needed.drop("n"), n, buckets), num, den), "links")
+        found = components(labelled.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(links))
+        labelled = labelled.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    named = labelled.select("node.k1", "node.k2", F.col("root").alias("component"))
+    return rows.join(named, ["k1", "k2"], "left").select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
+
+
+def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
-    sets = base.join(members, "doc_id").select("doc_id", "text", "k1", "k2", "root", "tiles").mapInArrow(gathered, "bucket long, root long, rep long, data binary")
-    links = components(sets.groupBy("bucket").applyInArrow(verified, "a long, b long"))
-    named = classes.select("k1", "k2", "rep").join(links.select(F.col("node").alias("rep"), "root"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
-    out = rows.join(named, ["k1", "k2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+    Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. Texts with fewer than ``n`` words have one
+    shingle, their whole sequence; empty and null texts have none and are linked with nothing. Repeated rows and equal
+    sets are one class, rows that repeat a doc_id with another text are rows of their own; component_id is the smallest
+    doc_id reachable, null where no row of the component has an id. Memory of a task: one block or text, one bucket of
+    signatures, or one tile of sets; candidate classes beyond ``TILE_SETS`` sets are split into blocks, each pair of
+    which is a tile of its own. Sets are told apart by 128-bit hashes.
+    """
+    rows = similar_sets(docs, num, den, n, doc_id, text)
+    least = rows.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -407,6 +407,20 @@ def test_links_inside_a_large_group():
                 assert find(a) == find(b)
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_repeated_and_null_ids_break_no_chain(spark, swap):
+    text = lambda *changed: " ".join(f"u{k}" if k in changed else f"v{k}" for k in range(120))
+    rows = [(5, " ".join(f"x{k}" for k in range(90))), (5, text()), (12, text(3)), (7, text(3, 60)), (None, text(3, 60, 100)), (30, text(3, 60, 100, 20, 40))]
+    rows = [rows[1], rows[0], *rows[2:]] if swap else rows
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_components(corpus(spark, rows)).collect())
+    assert got == brute_components(rows, 4, 85, 100) and got[30, 117, 5] == 1
+
+
+def test_forest_of_edges():
+    a, b = np.array([5, 7, 9, 30, 9, 40]), np.array([7, 9, 1, 31, 5, 40])
+    assert dict(zip(*(x.tolist() for x in jaccard.forest_of(a, b)), strict=True)) == {5: 1, 7: 1, 9: 1, 31: 30}
+
+
 def test_no_shingles_at_all(spark, docs):
     assert jaccard.similar_components(docs.limit(0)).count() == 0
     blank = jaccard.similar_components(corpus(spark, [(1, None), (2, ""), (3, " ")])).collect()
