@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.decontamination import contaminated
-from quorumlake.llm.jaccard import similar_components
+from quorumlake.llm.jaccard import row_key, similar_sets
 from quorumlake.llm.language import UNDETERMINED, fit, predict
 from quorumlake.llm.lines import drop_boilerplate
 from quorumlake.llm.packing import pack, tokenized
-from quorumlake.runtime import broadcast_if_small, materialize, scratch_dir
+from quorumlake.runtime import broadcast_if_small, free_name, materialize, scratch_dir
 
 LEAST_SCORE = 0.5
 
@@ -22,8 +22,9 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labels teach, predicted with a score of 0.5 or more."""
-    out = predict(docs, fit(docs, F.lit(True)), pred="_lang_pred", score="_lang_score")
-    return out.filter((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_score") >= LEAST_SCORE)).select(docs.columns)
+    pred, score = free_name("lang_pred", docs), free_name("lang_score", docs)
+    out = predict(docs, fit(docs, F.lit(True)), pred=pred, score=score)
+    return out.filter((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,19 +34,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group linked by 0.8 of five-word shingles; rows that repeat it go too.
+    """Keep one row of each group linked by 0.8 of five-word shingles: that of the smallest doc_id, null ids last.
 
-    Documents without words, and rows without doc_id, are in no group and stay.
+    Rows are told apart by id and text, so another text under a repeated id is judged for itself; of rows that agree in
+    both one stays. Texts without words, null ones too, are in no group and stay. An empty table stays empty.
     """
-    found = materialize(similar_components(docs, 80, 100, 5), "groups")
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(broadcast_if_small(gone, 16), "doc_id", "left_anti").select(docs.columns)
-    again = found.filter("doc_id = component_id AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    if again.isEmpty():
-        return kept
-    named = kept.join(again.select("doc_id", F.lit(True).alias("_again")), "doc_id", "left")
-    once = named.filter("_again").dropDuplicates(["doc_id"])
-    return named.filter("_again IS NULL").unionByName(once).select(docs.columns)
+    found = materialize(similar_sets(docs, 80, 100, 5).filter("component IS NOT NULL"), "groups")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "rk")
+    best = found.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("many")).filter("many > 1")
+    rows = found.join(best, "component").select("rk", (F.col("rk") == F.col("best.rk")).alias("stays"))
+    rows = materialize(rows.groupBy("rk").agg(F.first("stays").alias("stays"), F.count("*").alias("many")).filter("many > 1 OR NOT stays"), "rows")
+    keyed = docs.withColumn(free_name("rk", docs), row_key())
+    rk = keyed.columns[-1]
+    rows = rows.select(F.col("rk").alias(rk), F.col("stays").alias(free_name("stays", docs)))
+    stays = rows.columns[-1]
+    named = keyed.join(broadcast_if_small(rows, 32), rk, "left")
+    once = named.filter(F.col(stays)).dropDuplicates([rk])  # few: rows with equal id and text
+    return named.filter(F.col(stays).isNull()).unionByName(once).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
