@@ -19,7 +19,8 @@ SEQUENCE, END_ID = 1024, 2
 
 def encoder(path: str, ranks_path: str, pattern: str) -> Callable[[str], np.ndarray]:
     """Text to ids. The rank form of the vocabulary gives the ids of the JSON form several times faster; a text that
-    holds one of the JSON form's special strings goes to the JSON form itself, which treats them in its own way."""
+    holds one of the JSON form's special strings goes to the JSON form itself, which treats them in its own way, as does
+    one that the rank form's pattern can't take (a run of very many spaces or newlines exhausts its stack)."""
     import base64
 
     import tiktoken
@@ -30,11 +31,14 @@ def encoder(path: str, ranks_path: str, pattern: str) -> Callable[[str], np.ndar
     whole: list[Tokenizer] = []
 
     def encode(text: str) -> np.ndarray:
-        if "<|" in text:
-            if not whole:
-                whole.append(Tokenizer.from_file(path))
-            return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        if "<|" not in text:
+            try:
+                return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            except ValueError:  # of the pattern's stack
+                pass
+        if not whole:
+            whole.append(Tokenizer.from_file(path))
+        return np.asarray(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     return encode
 
@@ -134,14 +138,16 @@ def _pack(pieces: DataFrame, kind: str, capacity: int, tag: int) -> DataFrame:
     return pieces.groupBy("_part").applyInPandas(run, PACKED.format(kind))
 
 
-def pack(pieces: DataFrame, capacity: int = SEQUENCE, items: int = 100_000, rounds: int = 4) -> tuple[DataFrame, dict]:
+def pack(pieces: DataFrame, capacity: int = SEQUENCE, items: int = 100_000, least_gain: float = 1e-5) -> tuple[DataFrame, dict]:
     """Pieces with sequence_id and offset, and the certificate {bins, bound, rounds}.
 
     Pieces of full length are sequences of their own. The rest is dealt evenly (by row number, so that no key is hot)
     to partitions of ``items`` pieces. Each is packed by best-fit decreasing and certified by its own lower bound.
     While the total exceeds the bound of the global size histogram (``capacity`` rows), partitions with a gap give up
     their poorly filled sequences and every partition its emptiest one; the pieces given up are dealt anew, so that
-    partitions exchange documents, and packed again. A round that saves nothing is undone and ends the loop.
+    partitions exchange documents, and packed again. A round that saves nothing is undone and ends the loop, as does one
+    that saves less than ``least_gain`` of all sequences (under 1 / ``least_gain`` sequences: only one that saves none).
+    Null ids, repeated rows and equal pieces are pieces like others; an empty table gives an empty one.
     """
     kind = pieces.schema["doc_id"].dataType.simpleString()
     pieces = materialize(pieces.withColumn("_at", F.monotonically_increasing_id()), "pieces")
@@ -163,7 +169,8 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, items: int = 100_000, roun
     packed = materialize(_pack(deal(pieces.filter(F.col("length") < capacity), n), kind, capacity, 1), "packed")
     bins = packed.select("sequence_id").distinct().count()
     done = 1
-    while bins + full > bound and done < rounds:
+    gain = bins
+    while bins + full > bound and gain >= least_gain * (bins + full):
         worst = packed.groupBy("_part").agg(F.min("_fill").alias("_worst"))
         marked = packed.join(worst, "_part").withColumn("_free", (F.col("_fill") == F.col("_worst")) | ((F.col("_bins") > F.col("_bound")) & (F.col("_fill") < F.lit(capacity * 0.98))))
         marked = materialize(marked.drop("_worst"), "marked")
@@ -176,9 +183,12 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, items: int = 100_000, roun
         done += 1
         if made >= freed["b"]:
             break
-        packed, bins = marked.filter("NOT _free").drop("_free").unionByName(again), bins - freed["b"] + made
+        gain = freed["b"] - made
+        packed, bins = materialize(marked.filter("NOT _free").drop("_free").unionByName(again), "packed"), bins - gain
     return whole.unionByName(packed.select(names)), {"bins": bins + full, "bound": bound, "rounds": done}
 
 
 def op7_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet")))[0]
+    """The pieces, and on each row the certificate: the number of sequences and the least that any packing needs."""
+    packed, found = pack(tokenized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return packed.withColumns({"n_sequences": F.lit(found["bins"]).cast("long"), "n_bound": F.lit(found["bound"]).cast("long")})
