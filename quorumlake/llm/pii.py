@@ -1,13 +1,15 @@
 """Personal data: pattern spans, and terms that reveal them by corpus co-occurrence, in DataFrame functions only.
 
-A term's disclosure of an entity is its pointwise mutual information with the entity divided by the entity's information
-content: 1 if the entity always stands where the term does. Terms over the threshold become spans of their own.
+What a term discloses of an entity is measured by the information that the entity still has once the term is known,
+-log2 P(entity | term), with the probability smoothed by one unseen occurrence. Terms that leave ``RESIDUAL`` bits or
+less become spans of their own: in two contexts of two they do, in one of one they leave a whole bit and don't.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from quorumlake.llm.fingerprints import bind
 from quorumlake.runtime import broadcast_if_small, materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -20,7 +22,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-DISCLOSURE, MIN_CONTEXTS, MIN_LETTERS = 0.9, 3, 4
+RESIDUAL, MIN_LETTERS = 0.75, 4
+NEAR = 120  # characters on each side of an entity, across lines, that are its context
+BLOCK = 64
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
@@ -44,23 +48,53 @@ def _holds(kind: str, x: Column) -> Column:
     return F.length(_digits(x)).between(9, 15) if kind == "phone" else F.lit(True)
 
 
+def running(values: Column, op, depth: int = 2) -> Column:  # noqa: ANN001
+    """Sums (or maxima, by ``op``) of each value of an array of longs and all before it. Short blocks are folded and what
+    they amount to is carried on level by level, as a fold over the whole array would copy it for every value."""
+    none = F.array().cast("array<bigint>")
+
+    def fold(x: Column) -> Column:
+        def step(acc: Column, v: Column) -> Column:
+            total = F.when(F.size(acc) == 0, v).otherwise(op(F.element_at(acc, -1), v))
+            return F.concat(acc, F.array(total))
+
+        return F.aggregate(x, none, step)
+
+    if not depth:
+        return fold(values)
+
+    def by_parts(values: Column) -> Column:
+        # taken one by one: a slice would walk the whole array
+        parts = F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK)), lambda i: fold(F.transform(F.sequence(i, F.least(i + BLOCK, F.size(values)) - 1), lambda j: F.get(values, j))))
+        return F.when(F.size(values) == 0, none).otherwise(bind(parts, carried))
+
+    def carried(parts: Column) -> Column:
+        tops = running(F.transform(parts, lambda x: F.element_at(x, -1)), op, depth - 1)
+        return bind(tops, lambda t: F.flatten(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda v: op(v, F.get(t, i - 1)))))))
+
+    return bind(values, by_parts)
+
+
 def located(text: Column, pattern: Column, kind: str) -> Column:
     """Spans of all matches by code points: the lengths of the matches and of what lies between them, summed up."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.transform(between, F.length).alias("b"), found.alias("m"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:bigint,end:bigint,text:string>>").alias("out"))
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.coalesce(p["b"], F.lit(0))
-        stop = begin + F.coalesce(F.length(p["m"]), F.lit(0))
-        one = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), stop.alias("end"), p["m"].alias("text"))
-        return F.struct(stop.cast("long").alias("at"), F.when(p["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+    def placed(between: Column, found: Column) -> Column:
+        steps = F.zip_with(between, found, lambda b, m: (F.coalesce(F.length(b), F.lit(0)) + F.coalesce(F.length(m), F.lit(0))).cast("long"))
+        before = lambda x: F.when(F.length(x) > NEAR, F.regexp_replace(F.right(x, F.lit(NEAR)), r"^\p{L}+", "")).otherwise(x)
+        after = lambda x: F.when(F.length(x) > NEAR, F.regexp_replace(F.left(x, F.lit(NEAR)), r"\p{L}+$", "")).otherwise(x)
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        def span(ends: Column, m: Column, i: Column) -> Column:
+            near = F.concat_ws(" ", before(F.get(between, i)), after(F.get(between, i + 1)))
+            return F.struct(F.lit(kind).alias("kind"), (F.get(ends, i) - F.length(m)).cast("long").alias("start"), F.get(ends, i).alias("end"), m.alias("text"), near.alias("near"))
+
+        return bind(running(steps, lambda x, y: x + y), lambda ends: F.transform(found, lambda m, i: span(ends, m, i)))
+
+    return bind(F.split(text, pattern, -1), lambda between: bind(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: placed(between, found)))
 
 
 def pattern_spans(text: Column) -> Column:
-    """All spans of the four kinds, by kind, then start. Texts without a kind's sign never meet its pattern."""
+    """All spans of the four kinds with their text and context, by kind, then start. Texts without a kind's sign never
+    meet its pattern."""
 
     def valid(kind: str):  # noqa: ANN202
         return lambda s: _holds(kind, s["text"])
@@ -71,71 +105,84 @@ def pattern_spans(text: Column) -> Column:
         may = text.contains(SIGNS[kind]) if SIGNS[kind] else F.lit(True)
         may = may & text.rlike("[0-9]") if kind != "email" else may
         may = may & text.rlike(PATTERNS[kind])
-        parts.append(F.when(may, F.filter(located(text, pattern, kind), valid(kind))).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,text:string>>")))
-    return F.transform(F.concat(*parts), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+        parts.append(F.when(may, F.filter(located(text, pattern, kind), valid(kind))).otherwise(F.array().cast("array<struct<kind:string,start:bigint,end:bigint,text:string,near:string>>")))
+    return F.concat(*parts)
+
+
+def _bare(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def _terms(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}]+"), lambda w: F.length(w) >= MIN_LETTERS))
 
 
-def _revealing(docs: DataFrame, hits: DataFrame, n_docs: int, threshold: float, min_contexts: int) -> DataFrame:
-    """(_rid, terms): the terms of a document that reveal an entity, whether or not the entity stands in it too.
+def revealing(docs: DataFrame, residual: float = RESIDUAL) -> DataFrame | None:
+    """(entity, term, contexts, n_term, left): the terms that leave ``residual`` bits of an entity or less; None without any
+    term near two contexts of an entity.
 
-    Contexts are the lines around entities; equal lines count as one context, so copies don't add support. A term needs
-    ``min_contexts`` contexts with an entity; its frequency is counted over the whole corpus.
+    ``docs`` holds _text and _found, the pattern spans. The context of an entity is what stands within ``NEAR`` characters
+    of it, up to the next match of its kind. Equal contexts count once, so copies add no support. No pair is made of a
+    document's terms and entities, but of an entity and the few terms near it; every count is a partial aggregate
+    before the shuffle, so neither an entity nor a term that a third of all rows hold is collected anywhere.
     """
-    named = hits.select("_rid", "_text", F.explode("_base").alias("s"))
-    value = F.lower(F.substring("_text", F.col("s.start").cast("int") + 1, (F.col("s.end") - F.col("s.start")).cast("int")))
-    line = F.concat(F.substring_index(F.substring("_text", F.lit(1), F.col("s.start").cast("int")), "\n", -1), F.lit(" "), F.substring_index(F.substring(F.col("_text"), F.col("s.end").cast("int") + 1, F.length("_text")), "\n", 1))
-    found = materialize(named.select("_rid", value.alias("entity"), line.alias("line")).withColumn("at", F.xxhash64("line")), "contexts")
-    entities = found.groupBy("entity").agg(F.count_distinct("_rid").alias("n_entity"))
-    lines = found.groupBy("entity", "at").agg(F.any_value("line").alias("line"))
-    seen = materialize(lines.select("entity", "at", F.explode(_terms(F.col("line"))).alias("term")), "seen")
-    often = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= min_contexts)
-    # no list of documents anywhere: rows (entity, line) meet their terms, and distinct documents are counted in two steps
-    where = materialize(seen.join(often.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("entity", "at").agg(F.collect_set("term").alias("terms")), "where")
-    both = found.select("_rid", "entity", "at").distinct().join(where, ["entity", "at"]).select("_rid", "entity", F.explode("terms").alias("term"))
-    pairs = materialize(both.groupBy("entity", "term").agg(F.count_distinct("_rid").alias("n_both")).join(entities, "entity"), "pairs")
-    # every term is counted before the join: one row a term and task, whatever the number of pairs
-    frequency = docs.select(F.explode(_terms(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(n_docs))
-    share = F.log2(n * F.col("n_both") / (F.col("n_term") * F.col("n_entity"))) / F.nullif(F.log2(n / F.col("n_entity")), F.lit(0.0))
-    strong = pairs.join(frequency, "term").filter(share >= threshold).select("term").distinct()
-    strong = broadcast_if_small(materialize(strong, "strong"), 50)
-    return docs.select("_rid", F.explode(_terms(F.col("_text"))).alias("term")).join(strong, "term").groupBy("_rid").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+    spotted = docs.select(F.explode("_found").alias("s")).select(F.lower("s.text").alias("entity"), F.col("s.near").alias("near"))
+    contexts = spotted.groupBy("entity", F.xxhash64("near").alias("at")).agg(F.first("near").alias("near"))
+    seen = contexts.select("entity", F.explode(_terms(F.col("near"))).alias("term"))
+    least = 1 if residual >= 1 else 2  # one context leaves a bit at least
+    often = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= least), "often")
+    if often.isEmpty():
+        return None
+    wanted = broadcast_if_small(often.select("term").distinct(), 60)
+    frequency = docs.select(F.explode(_terms(F.col("_text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    left = -F.log2(F.least("contexts", "n_term") / (F.col("n_term") + 1))
+    return often.join(frequency, "term").withColumn("left", left).filter(F.col("left") <= residual)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """Text with each span generalised to its kind in brackets; of overlapping spans the first stands for all."""
+    """Text with each span generalised to its kind in brackets; of overlapping spans the first stands for all.
+
+    The text is cut into blocks first, so that a piece costs its own length and not its distance from the beginning."""
+    size = 1024
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        new = F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], -s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(new).alias("out"))
+    def put_together(blocks: Column, ordered: Column, reach: Column) -> Column:
+        def piece(at: Column, to: Column) -> Column:
+            first, last = F.floor(at / size).cast("int"), F.floor(to / size).cast("int")
+            return F.when(to <= at, "").otherwise(F.substring(F.array_join(F.transform(F.sequence(first, last), lambda k: F.coalesce(F.get(blocks, k), F.lit(""))), ""), (at % size + 1).cast("int"), (to - at).cast("int")))
+
+        def part(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(reach, i - 1))
+            return F.when(s["start"] < before, F.lit("")).otherwise(F.concat(piece(before, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+
+        return F.concat(F.array_join(F.transform(ordered, part), ""), piece(F.element_at(reach, -1), F.length(text).cast("long")))
 
-    return F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
+    whole = bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda blocks: bind(ordered, lambda o: bind(running(F.transform(o, lambda s: -s["end"]), F.greatest), lambda reach: put_together(blocks, o, reach))))
+    return F.when(F.size(spans) == 0, text).otherwise(whole)
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = DISCLOSURE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", residual: float = RESIDUAL) -> DataFrame:
     """One row per row of ``docs``: doc_id, base and spans (arrays of kind, start, end), sanitised text.
 
     Null text counts as empty and has no spans. ``spans`` holds the base spans and those of revealing terms, kind
-    ``term``, by kind and start. Repeated rows are rows of their own (their contexts count once). Terms
-    that reveal an entity become spans in every document that holds them.
+    ``term``, by kind and start; such a term is a span in every document that holds it. Repeated rows are rows of their
+    own (their contexts count once); an empty table gives an empty one; other columns are left out.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    spotted = base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_base", pattern_spans(F.col("_text")))
-    spotted = materialize(spotted, "spans")
-    hits = spotted.filter(F.size("_base") > 0)
-    terms = _revealing(spotted, hits, spotted.count(), threshold, min_contexts)
-    with_terms = spotted.join(broadcast_if_small(materialize(terms, "terms"), 200), "_rid", "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
-    more = F.when(F.col("_terms").isNull(), F.array().cast(SPAN)).otherwise(F.transform(located(F.col("_text"), pattern, "term"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
-    with_terms = with_terms.withColumn("_spans", F.concat("_base", more))
-    return with_terms.select("doc_id", F.col("_base").alias("base"), F.col("_spans").alias("spans"), sanitised(F.col("_text"), F.col("_spans")).alias("sanitised"))
+    spotted = materialize(base.withColumn("_found", pattern_spans(F.col("_text"))), "spans")
+    strong = revealing(spotted, residual)
+    more = F.array().cast(SPAN)
+    if strong is not None:
+        spotted = spotted.withColumn("_rid", F.monotonically_increasing_id())
+        spotted = materialize(spotted, "spans")
+        strong = broadcast_if_small(materialize(strong.select("term").distinct(), "strong"), 60)
+        terms = spotted.select("_rid", F.explode(_terms(F.col("_text"))).alias("term")).join(strong, "term").groupBy("_rid").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
+        spotted = spotted.join(broadcast_if_small(materialize(terms, "terms"), 200), "_rid", "left")
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
+        more = F.when(F.col("_terms").isNull(), more).otherwise(_bare(located(F.col("_text"), pattern, "term")))
+    out = spotted.select("doc_id", "_text", _bare(F.col("_found")).alias("base"), more.alias("more"))
+    out = out.select("doc_id", "_text", "base", F.concat("base", "more").alias("spans"))
+    return out.select("doc_id", "base", "spans", sanitised(F.col("_text"), F.col("spans")).alias("sanitised"))
 
 
 def _listed(spans: str) -> Column:
@@ -148,4 +195,4 @@ def op6_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+    return found.select("doc_id", *map(count, KINDS), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"), "sanitised")
