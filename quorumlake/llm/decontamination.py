@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages are TF-IDF vectors over the benchmark's vocabulary (words outside it only lengthen the norm). A distributed
-randomised SVD spans a latent space: every task multiplies its passages by a random test matrix and back, the sums go to
-the driver (vocabulary x rank), which orthonormalises them together with the items' own vectors. Passages whose latent
-cosine with an item, or with one of the parts of an item longer than a passage, reaches ``COSINE`` are candidates, verified at once, while the words are at hand, by the longest
-common subsequence with the item and by the item's closing words, its answer.
+Passages are TF-IDF vectors over the benchmark's words and, hashed with a sign, all other words of the corpus. A
+distributed randomised SVD spans a latent space of ``RANK`` dimensions: every task multiplies its passages by a sparse
+random test matrix and back, the sums go to the driver (vocabulary x test columns), and the leading right singular
+vectors of all passages come from them by Nystroem's formula (Halko, Martinsson and Tropp, 2011; Tropp et al., 2017).
+Passages and items are compared in that space alone, scaled by the inverse singular values as queries are folded into
+latent semantic indexes. Passages whose latent cosine with an item, or with a part of an item longer than a passage,
+reaches ``COSINE`` are candidates, verified at once, while the words are at hand, by the longest common subsequence with
+the item and by the item's closing words, its answer.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +19,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quorumlake.llm.blocks import U64, Prefix, blocks, runs, words
+from quorumlake.llm.blocks import U64, Prefix, binary, blocks, runs, words
 from quorumlake.runtime import small_batches
 
-WINDOW, COSINE, LCS, ANSWER = 32, 0.35, 0.6, 0.5
-RANK, MAX_SHARE, RARE, UNSEEN = 32, 0.05, 1e-4, 0.5
-ITEM_BLOCK, ITEM_CHARS = 256, 100_000
-BASIS_ENTRIES = 1 << 25
+WINDOW, COSINE, LCS, ANSWER = 32, 0.3, 0.6, 0.5
+UNIT, SHORT = 8, 12  # words a unit; items up to SHORT words meet windows of two units, others windows of WINDOW words
+RANK, OVERSAMPLE, NONZEROS, REST = 128, 16, 4, 4096
+MAX_SHARE, RARE = 0.05, 1e-4
+ITEM_BLOCK, ITEM_CHARS = 50_000, 20_000_000
+CELLS = 1 << 22
 LEADING = 18
 
 
@@ -54,31 +58,31 @@ class Items:
         # what passages are compared with: each item as a whole, and if it is longer than a passage its parts as well
         targets = [[w, *(np.array_split(w, -(-len(w) // WINDOW)) if len(w) > WINDOW else [])] for w in self.words]
         self.targets = [t for several in targets for t in several]
-        self.first_target = np.cumsum([0, *map(len, targets)])[:-1]
+        self.owner = np.repeat(np.arange(len(targets)), [len(t) for t in targets])
+        self.short = np.array([len(self.words[i]) <= SHORT for i in self.owner], dtype=bool)
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, U64)
-        self.weights = np.ones(len(self.vocabulary), dtype=np.float32)
-        self.unseen = 1.0
-        self.basis = np.zeros((len(self.vocabulary), 0), dtype=np.float32)
+        self.size = len(self.vocabulary) + REST  # dimensions: these words, and all others by hash
+        self.weights = np.ones(self.size, dtype=np.float32)
+        self.basis = np.zeros((self.size, 0), dtype=np.float32)
 
     def weigh(self, units: int, counts: np.ndarray) -> None:
         """Inverse document frequencies, from shares of the units alone, so a passage scores alike at every size of the
-        corpus; words in fewer than ``RARE`` of the units, and words outside the vocabulary, gain nothing by more of them.
-        Words in more than ``MAX_SHARE`` of all units weigh nothing, but the rarer half
-        of each item's and each part's words always weigh, so an item that much of the corpus repeats is found as well as any other."""
+        corpus; words in fewer than ``RARE`` of the units gain nothing by more of them. Words in more than ``MAX_SHARE``
+        of all units weigh nothing, but the rarer half of each item's and each part's words always weigh, so an item
+        that much of the corpus repeats is found as well as any other."""
         idf = -np.log(counts / max(units, 1) + RARE)
         common_word = counts > MAX_SHARE * units
         for w in self.targets:
             at = np.unique(np.searchsorted(self.vocabulary, w))
             common_word[at[np.argsort(counts[at], kind="stable")[: (len(at) + 1) // 2]]] = False
-        idf = np.where(common_word, 0, np.maximum(idf, 0.1))
-        self.weights, self.unseen = idf.astype(np.float32), -UNSEEN * math.log(RARE)
+        self.weights = np.where(common_word, 0, np.maximum(idf, 0.1)).astype(np.float32)
 
-    def vectors(self) -> np.ndarray:
-        """Unit TF-IDF vectors of the items and their parts."""
-        out = np.zeros((len(self.targets), len(self.vocabulary)), dtype=np.float32)
+    def latent(self) -> np.ndarray:
+        """Unit vectors of the items and their parts in the latent space; one that the space doesn't hold is null."""
+        out = np.zeros((len(self.targets), self.basis.shape[1]), dtype=np.float32)
         for i, w in enumerate(self.targets):
-            at = np.searchsorted(self.vocabulary, np.unique(w))
-            out[i, at] = self.weights[at]
+            at = np.searchsorted(self.vocabulary, w)
+            out[i] = self.weights[at] @ self.basis[at]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
@@ -90,7 +94,7 @@ def leading_bits(vocabulary: np.ndarray) -> np.ndarray:
 
 
 class Passages:
-    """Overlapping windows of ``WINDOW`` words, each two neighbouring units of half that length."""
+    """Words of a block's texts as dimensions with signs, in units of ``UNIT`` words of one row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, prefix: Prefix, separator: np.ndarray, vocabulary: np.ndarray, leading: np.ndarray):
         start, end, self.row = words(data, offsets, separator)
@@ -99,40 +103,41 @@ class Passages:
         self.length = np.bincount(self.row, minlength=rows)
         self.first = np.cumsum(self.length) - self.length
         place = np.arange(len(self.row)) - self.first[self.row]
-        half = WINDOW // 2
-        per_row = -(-self.length // half)
+        per_row = -(-self.length // UNIT)
         self.unit_first = np.cumsum(per_row) - per_row
         self.units = int(per_row.sum())
-        self.unit = self.unit_first[self.row] + place // half
         self.unit_row = np.repeat(np.arange(rows), per_row)
+        self.unit_place = np.arange(self.units) - self.unit_first[self.unit_row]
+        self.unit_start = np.flatnonzero(place % UNIT == 0)  # every unit has a word
         # a first look by the leading bits of a hash settles most words that are not in the vocabulary
-        self.known = np.flatnonzero(leading[(self.hashes >> U64(64 - LEADING)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(vocabulary, self.hashes[self.known]), max(0, len(vocabulary) - 1))
-        found = vocabulary[at] == self.hashes[self.known] if len(vocabulary) else np.zeros(0, dtype=bool)
-        self.known, self.word = self.known[found], at[found]
-
-    def distinct(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, vocabulary word) of each known word, once a unit; of the words to keep only."""
-        unit, word = self.unit[self.known], self.word
-        if keep is not None:
-            pick = keep[word]
-            unit, word = unit[pick], word[pick]
-        key = np.unique(unit << 24 | word)
-        return key >> 24, key & ((1 << 24) - 1)
-
-    def masses(self, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(unit, word) pairs with weight, and each window's squared norms: of known words, of all words."""
-        unit, word = self.distinct(items.weights > 0)
-        mass = np.bincount(unit, weights=items.weights[word].astype(np.float64) ** 2, minlength=self.units)
-        plain = np.bincount(self.unit, minlength=self.units) - np.bincount(self.unit[self.known], minlength=self.units)
-        return unit, word, self.windows(mass), self.windows(mass + plain * items.unseen**2)
-
-    def windows(self, values: np.ndarray) -> np.ndarray:
-        """Sums over each unit and the one after it in its row."""
+        maybe = np.flatnonzero(leading[(self.hashes >> U64(64 - LEADING)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(vocabulary, self.hashes[maybe]), max(0, len(vocabulary) - 1))
+        found = vocabulary[at] == self.hashes[maybe] if len(vocabulary) else np.zeros(0, dtype=bool)
+        self.dim = len(vocabulary) + (self.hashes % U64(REST)).astype(np.int64)
+        self.sign = np.where(self.hashes >> U64(63), np.float32(1), np.float32(-1))
+        self.dim[maybe[found]] = at[found]
+        self.sign[maybe[found]] = 1
+
+    def value(self, weights: np.ndarray) -> np.ndarray:
+        return weights[self.dim] * self.sign
+
+    def projected(self, basis: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The units' vectors times ``basis``, some words at a time."""
+        out = np.empty((self.units, basis.shape[1]), dtype=np.float32)
+        value, edge = self.value(weights), np.append(self.unit_start, len(self.dim))
+        step = max(1, CELLS // max(1, basis.shape[1] * UNIT))
+        for lo in range(0, self.units, step):
+            hi = min(self.units, lo + step)
+            a, b = edge[lo], edge[hi]
+            out[lo:hi] = np.add.reduceat(basis[self.dim[a:b]] * value[a:b, None], self.unit_start[lo:hi] - a, axis=0)
+        return out
+
+    def paired(self, values: np.ndarray, gap: int) -> np.ndarray:
+        """Sums over each unit and the one ``gap`` after it, where that is of the same row."""
         out = values.copy()
-        if len(values) > 1:
-            same = self.unit_row[1:] == self.unit_row[:-1]
-            out[:-1][same] += values[1:][same]
+        if len(values) > gap:
+            same = self.unit_row[gap:] == self.unit_row[:-gap]
+            out[:-gap][same] += values[gap:][same]
         return out
 
 
@@ -155,25 +160,29 @@ def places(item: np.ndarray) -> dict[int, int]:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer): each document with each item that it leaks, at its best passage.
 
     Words are runs of letters, digits and non-ASCII bytes, lower-cased. A pair is a leak if ``lcs`` of the item's
     words follow each other in the passage's surroundings in the item's order and ``answer`` of its last quarter do too,
     or if 0.85 of all words do. Items without words and null or empty texts match nothing; repeated rows give repeated
-    results; equal items are each reported. Texts are never shuffled or cut: three scans for each ``ITEM_BLOCK`` items,
-    or fewer that hold ``ITEM_CHARS`` characters.
+    results; equal items are each reported; columns of ``docs`` beyond the two are left out. Texts are never shuffled or
+    cut: three scans for each ``ITEM_BLOCK`` items, or fewer that hold ``ITEM_CHARS`` characters.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    kind = benchmark.schema[item_id].dataType.simpleString()
-    schema = f"doc_id long, item_id {kind}, cosine double, lcs double, answer double"
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind, own = benchmark.schema[item_id].dataType.simpleString(), base.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {own}, item_id {kind}, cosine double, lcs double, answer double"
     out, held, size = None, [], 0
 
     def block(rows: list) -> DataFrame | None:
         items = Items([r[0] for r in rows], [r[1] for r in rows])
-        return _search(base, items, schema, cosine, lcs, answer) if items.ids else None
+        if not items.ids:
+            return None
+        _weigh(base, items)
+        _span(base, items, rank)
+        return _search(base, items, schema, cosine, lcs, answer)
 
     for row in benchmark.select(item_id, item_text).filter(F.col(item_text).isNotNull()).toLocalIterator():
         held.append(row)
@@ -186,132 +195,139 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def _frequencies(base: DataFrame, items: Items) -> None:
-    vocabulary = items.vocabulary
+def _packed_sum(total: np.ndarray, step: int) -> pa.RecordBatch:
+    """Rows of a table as one binary value for each ``step`` of them that aren't all null."""
+    at = [i for i in range(0, len(total), step) if total[i : i + step].any()]
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), binary([np.ascontiguousarray(total[i : i + step]).tobytes() for i in at])], names=["at", "data"])
+
+
+def _summed(parts: DataFrame, kind: type, shape: tuple[int, ...], step: int) -> np.ndarray:
+    """Sum of packed tables, by distributed sums of each packed part."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = None
+        for x in table["data"]:
+            values = np.frombuffer(x.as_buffer(), dtype=kind).astype(np.float64)
+            total = values if total is None else total + values
+        return pa.table({"at": table["at"].slice(0, 1), "data": binary([total.tobytes()])})
+
+    out = np.zeros(shape)
+    for row in parts.groupBy("at").applyInArrow(add, "at long, data binary").toLocalIterator():
+        values = np.frombuffer(row["data"], dtype=np.float64).reshape(-1, *shape[1:])
+        out[row["at"] : row["at"] + len(values)] = values
+    return out
+
+
+def _weigh(base: DataFrame, items: Items) -> None:
+    vocabulary, size = items.vocabulary, items.size
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, separator, leading = Prefix(), punctuation(), leading_bits(vocabulary)
-        total, units = np.zeros(len(vocabulary), dtype=np.int64), 0
+        total = np.zeros(size + 1, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets, _ in blocks(lowered(batch.column(0))):
                 p = Passages(data, offsets, prefix, separator, vocabulary, leading)
-                total += np.bincount(p.distinct()[1], minlength=len(vocabulary))
-                units += p.units
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([units, *total[some].tolist()], pa.int64())], names=["word", "n"])
+                total[:-1] += np.bincount(p.dim, minlength=size)
+                total[-1] += p.units
+        yield _packed_sum(total, 1 << 16)
 
-    found = {r["word"]: r["n"] for r in base.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    counts = np.zeros(len(vocabulary), dtype=np.int64)
-    for w, n in found.items():
-        if w >= 0:
-            counts[w] = n
-    items.weigh(found.get(-1, 0), counts)
+    total = _summed(base.select("text").mapInArrow(counted, "at long, data binary"), np.int64, (size + 1,), 1 << 16)
+    items.weigh(int(total[-1]), total[:-1])
 
 
-def _span(base: DataFrame, items: Items, cosine: float) -> None:
-    """The latent basis: range of passages' Gram matrix times a random matrix, and the items' own vectors.
-
-    Only passages with enough of their norm in the benchmark's words take part: by the Cauchy-Schwarz inequality no
-    other passage can reach the cosine with any item.
-    """
+def sparse_test_matrix(size: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sparse random test matrix: for each dimension ``NONZEROS`` columns and signs."""
     rng = np.random.default_rng(11)
-    test = rng.standard_normal((len(items.vocabulary), RANK)).astype(np.float32)
+    return rng.integers(0, columns, (NONZEROS, size)), rng.choice(np.array([-1, 1], dtype=np.float32), (NONZEROS, size))
+
+
+def _span(base: DataFrame, items: Items, rank: int) -> None:
+    """The latent basis, from the sum over all passages of each passage's vector times its product with the test matrix."""
+    size, columns = items.size, min(items.size, rank + OVERSAMPLE)
+    column, sign = sparse_test_matrix(size, columns)
+    weights, vocabulary = items.weights, items.vocabulary
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prefix, separator, leading = Prefix(), punctuation(), leading_bits(items.vocabulary)
-        total = np.zeros((len(items.vocabulary), RANK), dtype=np.float32)
+        prefix, separator, leading = Prefix(), punctuation(), leading_bits(vocabulary)
+        total = np.zeros((size, columns), dtype=np.float32)
         for batch in batches:
             for _, _, data, offsets, _ in blocks(lowered(batch.column(0))):
-                p = Passages(data, offsets, prefix, separator, items.vocabulary, leading)
-                unit, word, known, whole = p.masses(items)
-                near = known >= cosine**2 * whole
-                near &= known > 0
-                half = near.copy()
-                half[1:] |= near[:-1]
-                pick = half[unit]
-                unit, word = unit[pick], word[pick]
-                if not len(unit):
+                p = Passages(data, offsets, prefix, separator, vocabulary, leading)
+                if not p.units:
                     continue
-                slots, unit = np.unique(unit, return_inverse=True)
-                rows = np.zeros((len(slots), RANK), dtype=np.float32)
-                start, _ = runs(unit)
-                weight = items.weights[word]
-                rows[unit[start]] = np.add.reduceat(test[word] * weight[:, None], start, axis=0)
-                rows /= np.sqrt(whole[slots])[:, None].astype(np.float32)
-                order = np.argsort(word, kind="stable")
-                start, _ = runs(word[order])
-                total[word[order][start]] += np.add.reduceat((rows[unit] * (weight / np.sqrt(whole[slots])[unit].astype(np.float32))[:, None])[order], start, axis=0)
-        some = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *[pa.array(total[some, k].astype(np.float64)) for k in range(RANK)]], names=["word", *[f"z{k}" for k in range(RANK)]])
-
-    names = [f"z{k}" for k in range(RANK)]
-    table = base.select("text").mapInArrow(multiplied, "word long, " + ", ".join(f"{x} double" for x in names)).groupBy("word").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
-    sketch = np.zeros((len(items.vocabulary), RANK))
-    if table.num_rows:
-        sketch[table["word"].to_numpy()] = np.stack([table[x].to_numpy() for x in names], axis=1)
-    own = items.vectors().astype(np.float64)
-    joint = np.concatenate([own.T, sketch / max(1e-9, np.abs(sketch).max())], axis=1)
-    u, s, _ = np.linalg.svd(joint, full_matrices=False)
-    items.basis = u[:, s > 1e-6 * max(s.max(initial=0), 1e-9)].astype(np.float32)
+                first = np.flatnonzero(p.unit_place % (WINDOW // UNIT) == 0)  # passages side by side: each word once
+                passage = np.repeat(np.arange(len(first)), np.diff(np.append(p.unit_start[first], len(p.dim))))
+                value = p.value(weights)
+                norm = np.sqrt(np.bincount(passage, weights=value.astype(np.float64) ** 2, minlength=len(first)))
+                value = value / np.where(norm > 0, norm, 1)[passage].astype(np.float32)
+                product = sum(np.bincount(passage * columns + column[k][p.dim], weights=value * sign[k][p.dim], minlength=len(first) * columns) for k in range(NONZEROS))
+                product = product.reshape(-1, columns).astype(np.float32)
+                order = np.argsort(p.dim, kind="stable")
+                dim, value, passage = p.dim[order], value[order], passage[order]
+                step = CELLS // columns
+                for lo in range(0, len(dim), step):
+                    d = dim[lo : lo + step]
+                    start = runs(d)[0]
+                    total[d[start]] += np.add.reduceat(product[passage[lo : lo + step]] * value[lo : lo + step, None], start, axis=0)
+        yield _packed_sum(total, 256)
+
+    sketch = _summed(base.select("text").mapInArrow(multiplied, "at long, data binary"), np.float32, (size, columns), 256)
+    items.basis = latent_basis(sketch, column, sign, rank)
+
+
+def latent_basis(sketch: np.ndarray, column: np.ndarray, sign: np.ndarray, rank: int) -> np.ndarray:
+    """Leading right singular vectors over their singular values, from the Gram matrix times the test matrix."""
+    core = np.zeros((sketch.shape[1], sketch.shape[1]))
+    for k in range(NONZEROS):
+        np.add.at(core, column[k], sign[k][:, None] * sketch)
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    keep = value > 1e-6 * max(value.max(initial=0), 1e-12)
+    half = sketch @ (vector[:, keep] / np.sqrt(value[keep]))  # half times its transpose is Nystroem's approximation
+    u, s, _ = np.linalg.svd(half, full_matrices=False)
+    u, s = u[:, :rank], s[:rank]
+    keep = s > 1e-3 * max(s.max(initial=0), 1e-12)
+    return (u[:, keep] / s[keep]).astype(np.float32)
 
 
 def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: float, answer: float) -> DataFrame:
-    _frequencies(base, items)
-    _span(base, items, cosine)
-    targets = (items.vectors() @ items.basis).astype(np.float32)  # latent unit vectors of the items and their parts
-    lengths = np.array([len(w) for w in items.words])
+    targets = items.latent()
+    groups = [(at, gap) for at, gap in ((np.flatnonzero(items.short), 1), (np.flatnonzero(~items.short), 2)) if len(at)]
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, separator, leading = Prefix(), punctuation(), leading_bits(items.vocabulary)
         masks = [places(w) for w in items.words]
         tails = [w[-max(1, len(w) // 4) :] for w in items.words]
         tail_masks = [places(w) for w in tails]
-        step = max(1, BASIS_ENTRIES // max(1, items.basis.shape[1]))
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, _, data, offsets, _ in blocks(lowered(batch.column(1))):
                 p = Passages(data, offsets, prefix, separator, items.vocabulary, leading)
-                unit, word, known, whole = p.masses(items)
-                near = (known >= cosine**2 * whole) & (known > 0)
-                half = near.copy()
-                half[1:] |= near[:-1]
-                pick = half[unit]
-                unit, word = unit[pick], word[pick]
-                if not len(unit):
+                if not p.units or not items.basis.shape[1]:
                     continue
-                for a in range(0, len(unit), step):  # bounded: rows of the basis for these words
-                    b = min(len(unit), a + step)
-                    first = np.searchsorted(unit, unit[a])  # whole units, with the one that the block before ended in
-                    u, w = unit[first:b], word[first:b]
-                    if b < len(unit):
-                        stop = np.searchsorted(unit, unit[b] + 2)  # and the next one, for the last window
-                        u, w = unit[first:stop], word[first:stop]
-                    base_unit = int(u[0])
-                    span = int(u[-1]) - base_unit + 1
-                    latent = np.zeros((span, items.basis.shape[1]), dtype=np.float32)
-                    start, _ = runs(u)
-                    latent[u[start] - base_unit] = np.add.reduceat(items.basis[w] * items.weights[w][:, None], start, axis=0)
-                    rows = p.unit_row[base_unit : base_unit + span]
-                    same = rows[1:] == rows[:-1]
-                    both = latent.copy()
-                    both[:-1][same] += latent[1:][same]
-                    at = np.flatnonzero(near[base_unit : base_unit + span])
-                    if not len(at):
-                        continue
-                    score = (both[at] @ targets.T) / np.sqrt(whole[base_unit + at])[:, None].astype(np.float32)
-                    score = np.maximum.reduceat(score, items.first_target, axis=1)
-                    for i, j in zip(*np.nonzero(score >= cosine), strict=True):
-                        window = base_unit + int(at[i])
-                        row = int(p.unit_row[window])
-                        n = int(lengths[j])
-                        begin = int(p.first[row] + (window - p.unit_first[row]) * (WINDOW // 2))
-                        left, right = max(int(p.first[row]), begin - n), min(int(p.first[row] + p.length[row]), begin + WINDOW + n)
-                        region = p.hashes[left:right]
-                        share = common(region, masks[j], n) / n
-                        closing = common(region, tail_masks[j], len(tails[j])) / len(tails[j])
-                        if share >= 0.85 or (share >= lcs and closing >= answer):
-                            best = (share, closing, float(min(1.0, score[i, j])))
-                            found[lo + row, int(j)] = max(found.get((lo + row, int(j)), best), best)
+                short = p.paired(p.projected(items.basis, items.weights), 1)
+                for at, gap in groups:  # two units at every unit, or four at every other one
+                    window = np.flatnonzero(p.unit_place % gap == 0)
+                    vectors = short if gap == 1 else p.paired(short, 2)[window]
+                    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                    step = max(1, CELLS // len(at))
+                    for a in range(0, len(window), step):
+                        score = vectors[a : a + step] @ targets[at].T
+                        near = np.nonzero(score >= cosine)
+                        pairs: dict[tuple[int, int], float] = {}
+                        for i, j, c in zip(window[a + near[0]].tolist(), items.owner[at[near[1]]].tolist(), score[near].tolist(), strict=True):
+                            pairs[i, j] = max(c, pairs.get((i, j), -1.0))
+                        for (i, j), c in pairs.items():
+                            row, n = int(p.unit_row[i]), len(items.words[j])
+                            begin = int(p.first[row] + p.unit_place[i] * UNIT)
+                            left, right = max(int(p.first[row]), begin - n), min(int(p.first[row] + p.length[row]), begin + 2 * gap * UNIT + n)
+                            region = p.hashes[left:right]
+                            share = common(region, masks[j], n) / n
+                            if share < lcs:
+                                continue
+                            closing = common(region, tail_masks[j], len(tails[j])) / len(tails[j])
+                            if share >= 0.85 or closing >= answer:
+                                best = (share, closing, min(1.0, c))
+                                found[lo + row, j] = max(found.get((lo + row, j), best), best)
             rows_, which = [k[0] for k in found], [k[1] for k in found]
             ids = batch.column(0).take(pa.array(rows_, pa.int64()))
             kind = pa.array(items.ids).type

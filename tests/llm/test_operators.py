@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -94,22 +95,89 @@ def test_leaks_are_found_and_clean_documents_left_alone(spark):
     assert all(0 <= r.cosine <= 1 and 0 < r.lcs <= 1 for r in found)
 
 
-def test_verbatim_copies_of_long_items_are_found(spark):
+def invented(rng, n=4000):
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(n)]
+    weights = [1 / (k + 5) for k in range(n)]
+    return vocabulary, lambda m: " ".join(rng.choices(vocabulary, weights, k=m))
+
+
+def test_verbatim_copies_of_short_and_long_items_are_found(spark):
     rng = random.Random(2)
-    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(3000)]
+    vocabulary, _ = invented(rng)
     prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
-    items = [prose(n) for n in (200, 300, 400, 600, 1000)]
-    rows = [(i, prose(rng.randrange(20, 400))) for i in range(300)] + [(1000 + k, prose(60) + " " + item + " " + prose(40)) for k, item in enumerate(items)]
+    items = [prose(n) for n in (5, 6, 8, 10, 12, 14, 20, 40, 60, 100, 150, 200, 300, 400, 600, 800)]
+    rows = [(i, prose(rng.randrange(20, 400))) for i in range(300)] + [(1000 + k, prose(rng.randrange(50, 70)) + " " + item + " " + prose(40)) for k, item in enumerate(items)]
     benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
     found = decontamination.contaminated(corpus(spark, rows), benchmark).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(1000 + k, k) for k in range(len(items))}
 
 
+def leaks(item, text, lcs=decontamination.LCS, answer=decontamination.ANSWER):
+    """The definition, by plain search: the best place of the item in the text."""
+    a, b = (re.findall(r"[a-z0-9]+", x.lower()) for x in (item, text))
+    code = {w: i for i, w in enumerate({*a, *b})}
+    x, y = (np.array([code[w] for w in z], dtype=np.uint64) for z in (a, b))
+    tail = x[-max(1, len(x) // 4) :]
+    for at in range(0, len(y), 8):
+        region = y[max(0, at - len(x)) : at + 32 + len(x)]
+        share = decontamination.common(region, decontamination.places(x), len(x)) / len(x)
+        if share >= 0.85 or (share >= lcs and decontamination.common(region, decontamination.places(tail), len(tail)) / len(tail) >= answer):
+            return True
+    return False
+
+
+def test_paraphrases_of_a_large_benchmark_are_found(spark):
+    """600 items in one search; 200 leaks with a third of the words replaced, against the definition."""
+    rng = random.Random(4)
+    vocabulary, prose = invented(rng)
+    items = [prose(rng.randrange(14, 50)) for _ in range(600)]
+    rows = [(i, prose(rng.randrange(20, 300))) for i in range(400)]
+    planted = {}
+    for k in range(200):
+        ws = items[3 * k].split()
+        for i in rng.sample(range(len(ws) * 3 // 4), int(len(ws) * 0.33)):
+            ws[i] = rng.choice(vocabulary)
+        rows.append((1000 + k, prose(rng.randrange(30, 90)) + " " + " ".join(ws) + " " + prose(40)))
+        if leaks(items[3 * k], rows[-1][1]):
+            planted[1000 + k] = 3 * k
+    benchmark = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(corpus(spark, rows), benchmark).collect()}
+    assert len(planted) > 150 and len(found & set(planted.items())) >= 0.95 * len(planted)
+    assert all(leaks(items[j], dict(rows)[i]) for i, j in found)
+
+
+def test_the_latent_space_finds_what_plain_cosine_misses(spark):
+    """Rare words of an item are replaced by others that stand in the same company in the corpus."""
+    rng = random.Random(6)
+    _, prose = invented(rng, 300)
+    topics = [[f"topic{t}word{'abcdefghij'[k]}" for k in range(10)] for t in range(30)]
+    twins = [(f"{a}physician", f"{a}doctor") for a in (f"t{t}" for t in range(30))]
+    rows = []
+    for i in range(900):
+        t = i % 30
+        rows.append((i, " ".join(rng.sample(topics[t], 9) + [twins[t][rng.randrange(2)]] + prose(20).split())))
+    item_words, common_words = [], prose(14).split()
+    for k in range(8):
+        item_words += [common_words[k], twins[5][0]]
+    item = " ".join(item_words + common_words[8:])
+    replaced = item.replace(twins[5][0], twins[5][1])
+    items = decontamination.Items([1], [item])
+    base = spark.createDataFrame(rows, "doc_id long, text string")
+    decontamination._weigh(base, items)
+    decontamination._span(base, items, 40)
+    assert items.basis.shape[1] == 40 < items.size  # truncated
+    data, offsets, _ = blocks.flat(decontamination.lowered(__import__("pyarrow").array([item, replaced])))
+    p = decontamination.Passages(data, offsets, blocks.Prefix(), decontamination.punctuation(), items.vocabulary, decontamination.leading_bits(items.vocabulary))
+    whole = np.stack([np.bincount(p.dim[p.row == r], weights=p.value(items.weights)[p.row == r], minlength=items.size) for r in (0, 1)])
+    cosine = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y))
+    assert cosine(*whole) < decontamination.COSINE < cosine(*(whole @ items.basis))
+
+
 def test_weights_do_not_depend_on_the_size_of_the_corpus():
     items, weights = decontamination.Items([1], ["alpha beta gamma delta"]), []
     for units in (1000, 1_000_000):
-        items.weigh(units, np.array([1, 20, 4, 300]) * (units // 1000))
-        weights.append([*items.weights.tolist(), items.unseen])
+        items.weigh(units, np.array([1, 20, 4, 300] + [3] * decontamination.REST) * (units // 1000))
+        weights.append(items.weights.tolist())
     assert weights[0] == pytest.approx(weights[1])
 
 
@@ -283,6 +351,67 @@ def test_revealing_terms_go_from_documents_without_the_entity(spark):
     assert all(got[100 + i].spans == [] for i in range(300))
 
 
+def test_running_sums_of_long_arrays(spark):
+    for n in (0, 1, 63, 64, 65, 5000):
+        t = spark.createDataFrame([([(k * 7) % 11 for k in range(n)],)], "a array<bigint>")
+        r = t.select(pii.running(F.col("a"), lambda x, y: x + y).alias("s"), pii.running(F.col("a"), F.greatest).alias("m")).first()
+        values = np.array([(k * 7) % 11 for k in range(n)], dtype=np.int64)
+        assert r.s == np.cumsum(values).tolist() and r.m == np.maximum.accumulate(values).tolist()
+
+
+def test_dense_texts_take_time_in_proportion(spark):
+    """A megabyte of one sign, and a line of very many entities; a fold that copied its list would not end."""
+    texts = ["1." * 500_000, " ".join(f"name{k}@host{k % 50}.org" for k in range(20_000))]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.personal_data(corpus(spark, enumerate(texts))).collect()}
+    assert time.time() - began < 60
+    assert [(s.kind, s.start, s.end) for s in got[0].base] == [("ip", k, k + 7) for k in range(0, 1_000_000, 8)]
+    assert got[0].sanitised == "[IP]." * 125_000
+    assert [(s.kind, s.start, s.end) for s in got[1].base] == brute_spans(texts[1])
+    assert got[1].sanitised.count("[EMAIL]") == 20_000
+
+
+def brute_terms(rows, residual):
+    """(entity, term) by plain Python."""
+    contexts, holders = {}, Counter()
+    letters = lambda x: {w for w in re.split(r"[^a-zé]+", x.lower()) if len(w) >= 4}
+    for _, text in rows:
+        holders.update(letters(text))
+        for kind, pattern in PATTERNS:
+            found = list(re.finditer(pattern, text))
+            valid = {(a, b) for k, a, b in brute_spans(text) if k == kind}
+            edges = [0, *[x for m in found for x in m.span()], len(text)]
+            for k, m in enumerate(found):
+                if m.span() in valid:
+                    before, after = text[edges[2 * k] : m.start()], text[m.end() : edges[2 * k + 3]]
+                    before = before if len(before) <= pii.NEAR else re.sub(r"^[^\W\d_]+", "", before[-pii.NEAR :])
+                    after = after if len(after) <= pii.NEAR else re.sub(r"[^\W\d_]+$", "", after[: pii.NEAR])
+                    contexts.setdefault(m[0].lower(), set()).add(before + " " + after)
+    out = set()
+    for entity, held in contexts.items():
+        for term, c in Counter(t for near in held for t in letters(near)).items():
+            if -np.log2(min(c, holders[term]) / (holders[term] + 1)) <= residual:
+                out.add((entity, term))
+    return out
+
+
+@pytest.mark.parametrize("residual", [0.75, 1.0])
+def test_revealing_terms_equal_brute_force(spark, residual):
+    rng = random.Random(8)
+    common, people = [f"{a}{b}{c}word" for a in "abcd" for b in "efgh" for c in "ijk"], [f"{a}{b}person" for a in "klmn" for b in "opqr"]
+    rows = []
+    for i in range(150):
+        who = rng.randrange(16)
+        mark = [f"mail{who}@host.org", f"10.0.0.{who}", f"+49 30 12345{who:02d}", ""][who % 4]
+        lines_ = [" ".join(rng.choices(common, k=rng.randrange(3, 40))) for _ in range(3)]
+        lines_[1] += f" {people[who]}\n{mark}\n {people[who] if rng.random() < 0.5 else rng.choice(people)} "
+        rows.append((i, "\n".join(lines_)))
+    rows += [(500 + i, t) for i, t in rows[:10]]
+    found = pii.revealing(spark.createDataFrame(rows, "doc_id long, _text string").withColumn("_found", pii.pattern_spans(F.col("_text"))), residual)
+    want = brute_terms(rows, residual)
+    assert {(r.entity, r.term) for r in found.collect()} == want and want
+
+
 # 7
 
 
@@ -315,6 +444,21 @@ def test_packing_round_trip(spark, edge_rows, docs):
     assert packing.pack(packing.tokenized(docs.limit(0)))[0].count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000, "a \n" + " " * 700_000 + "b", "q" * 2_000_000], ids=["spaces", "newlines", "mixed", "letters"])
+def test_long_runs_get_the_ids_of_the_json_form(text):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    encode = packing.encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert encode(text).tolist() == want
+
+
+def test_a_document_of_a_long_run_is_packed(spark):
+    packed, certificate = packing.pack(packing.tokenized(corpus(spark, [(1, " " * 1_000_000), (2, "a b")])))
+    assert packed.agg(F.sum("length")).first()[0] == 1_000_001 + 3 and certificate["bins"] >= certificate["bound"]
+
+
 def test_bounds_and_best_fit():
     h = np.zeros(11, dtype=np.int64)
     h[6] = 5
