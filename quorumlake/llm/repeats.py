@@ -4,8 +4,10 @@ A full suffix array of n bytes moves n suffixes. Here only anchored suffixes are
 ``length`` bytes is its leftmost ``GRAM``-byte substring of least hash, which depends on the string alone, so equal
 strings have equal anchors at equal offsets. Each anchor owns a run of neighbouring strings, and every string has one
 owner. Anchored suffixes are range-partitioned by their leading bytes with sampled splitters and sorted in their buckets
-key by key (leading bytes, whole gram, context). A suffix whose context (all strings it owns) recurs settles them all at
-once; one that shares its gram with other contexts only is opened, and its strings are compared one by one.
+by multikey quicksort on successive words of their bytes; the context (a hash of all strings that the anchor owns) is
+the last key. Neighbours whose common prefix spans the gram form a group, within a bucket or across the boundary of two. A
+suffix whose context recurs settles its strings at once; one that shares its gram with other contexts only is opened, and
+its strings are compared one by one.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ LENGTH, GRAM = 200, 32
 FLUSH = 500_000
 PLACE_BITS, CHUNK = 23, 1 << 22
 ENTRY = "bucket long, kind int, data binary"
-OPEN, SETTLED, SORTED = 0, 1, 2
+OPEN, SETTLED, SORTED, EDGE = 0, 1, 2, 3
+WORDS = GRAM // 8  # sort keys of 8 bytes
+SAMPLE = 20_000  # suffixes at least that the splitters are taken from
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -41,11 +45,12 @@ def pieces(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, prefix: Prefix, length: int) -> tuple[np.ndarray, ...]:
-    """For each anchor its row, the first string it owns, the number of further ones, and its three sort keys."""
+    """For each anchor its row, the first string it owns, the number of further ones, its leading bytes as big-endian
+    words, and its context."""
     gram = min(GRAM, length)
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(U64), none.astype(U64), none.astype(U64)
+        return none, none, none, *[none.astype(U64)] * (WORDS + 1)
     sums = prefix.sums(data)
     at = len(data) - gram + 1
     hashed = mix((sums[gram:] - sums[:-gram]) * prefix.inverse[:at])
@@ -64,11 +69,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, prefix: Prefix, length: int)
     first = np.flatnonzero(change)
     last = np.append(first[1:], len(string)) - 1
     a, lo, hi = owner[first], string[first], string[last]
-    lead = np.zeros(len(a), dtype=U64)
-    for k in range(min(8, gram)):
-        lead = (lead << U64(8)) | data[a + k].astype(U64)
+    lead = []
+    for w in range(WORDS):
+        word = np.zeros(len(a), dtype=U64)
+        for k in range(8 * w, 8 * w + 8):
+            word = (word << U64(8)) | (data[a + k].astype(U64) if k < gram else U64(0))
+        lead.append(word)
     context = mix(prefix.of(sums, lo, hi + length) + ((a - lo) * 1000 + hi - lo).astype(U64))
-    return row[lo], lo, hi - lo, lead, hashed[a], context
+    return row[lo], lo, hi - lo, *lead, context
 
 
 def packed(*columns: np.ndarray) -> bytes:
@@ -87,7 +95,7 @@ def unpacked(parts: list[bytes], kinds: tuple) -> list[np.ndarray]:
 
 
 SPAN = (np.int64, np.uint32, np.uint32)  # row id, first byte, end
-SUFFIX = (np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint16)  # three keys, row id, first string, further strings and if counted twice
+SUFFIX = (*[np.uint64] * (WORDS + 1), np.int64, np.uint32, np.uint16)  # keys, row id, first string, further strings and if counted twice
 STRING = (np.uint64, np.int64, np.uint32)  # hash, row id, first byte; the lowest bit of the hash tells if counted twice
 
 
@@ -125,8 +133,8 @@ def joined(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
 
 
 def multikey_order(*keys: np.ndarray) -> np.ndarray:
-    """Sort order by the first key; only runs of equal keys are sorted by the next one, and so on."""
-    order = np.argsort(keys[0], kind="stable")
+    """Multikey quicksort, all partitions of a level at once: by the first key, then each run of equal keys by the next one."""
+    order = np.argsort(keys[0])
     tied = keys[0][order]
     group = np.cumsum(np.concatenate([[False], tied[1:] != tied[:-1]])) if len(order) else order
     for key in keys[1:]:
@@ -142,12 +150,42 @@ def multikey_order(*keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def common_prefix(words: list[np.ndarray]) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it, ``GRAM`` at most; -1 for the first one."""
+    out = np.zeros(len(words[0]), dtype=np.int64)
+    equal = np.ones(max(0, len(out) - 1), dtype=bool)
+    for word in words:
+        apart = word[1:] ^ word[:-1]
+        same = np.zeros(len(apart), dtype=np.int64)
+        for k in range(1, 9):
+            same += (apart >> U64(64 - 8 * k)) == 0
+        out[1:] += np.where(equal, same, 0)
+        equal &= apart == 0
+    out[:1] = -1
+    return out
+
+
+def part_of(splitters: list[np.ndarray], keys: list[np.ndarray]) -> np.ndarray:
+    """How many splitters (columns of sorted tuples) are not greater than each tuple of keys."""
+    to = np.searchsorted(splitters[0], keys[0], side="left")
+    tied = np.flatnonzero(np.searchsorted(splitters[0], keys[0], side="right") > to)
+    if len(tied):  # equal in the first word: by all keys
+        n = len(splitters[0])
+        last = np.concatenate([np.zeros(n, np.int8), np.ones(len(tied), np.int8)])
+        order = np.lexsort((last, *(np.concatenate([s, k[tied]]) for s, k in zip(splitters[::-1], keys[::-1], strict=True))))
+        passed = np.cumsum(order < n)
+        own = order >= n
+        to[tied[order[own] - n]] = passed[own]
+    return to
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary).
 
     Every byte covered by a ``length``-byte string that also starts anywhere else goes; overlaps count, and all strings
     are judged on the input. Null text counts as empty; texts shorter than ``length`` keep everything; repeated rows and
-    equal texts repeat each other. Strings are compared by 63 and 64-bit hashes of whole strings.
+    equal texts repeat each other. Strings are compared by 63 and 64-bit hashes of whole strings; an empty table gives
+    an empty one and other columns are left out. ``buckets``: of suffixes, by the size of the input if not given.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -155,36 +193,44 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), body).alias("rid"))
     facts = base.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     total = int(facts["bytes"] or 0)
-    n_sorted = max(parallelism(spark), math.ceil(total / 40_000_000))
+    n_sorted = buckets or max(parallelism(spark), math.ceil(total / 40_000_000))
     n_texts = max(parallelism(spark), math.ceil(total / 16_000_000))
 
+    names = [f"w{k}" for k in range(WORDS)] + ["context"]
+
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = Prefix()
         for batch in batches:
             for _, _, data, offsets, _ in blocks(batch.column(0)):
                 for part, cut, _, _ in pieces(data, offsets, length):
-                    lead = anchors(part, cut, prefix, length)[3]
-                    yield pa.RecordBatch.from_arrays([pa.array((lead >> U64(1)).astype(np.int64))], names=["lead"])
+                    keys = anchors(part, cut, prefix, length)[3:]
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)) for k in keys], names=names)
 
-    sampled = base.select("text").sample(min(1.0, 2000 / max(1, facts["n"])), seed=7).mapInArrow(leads, "lead long")
-    splitters = np.array(sampled.agg(F.expr(f"percentile_approx(lead, {'array(' + ','.join(f'{i / n_sorted:.9f}D' for i in range(1, n_sorted)) + ')'}, 10000)").alias("q")).first()["q"] or [], dtype=np.int64) if n_sorted > 1 else np.zeros(0, np.int64)
+    wanted = max(SAMPLE, 8 * n_sorted)
+    sampled = base.select("text").sample(min(1.0, wanted / 10 / max(1, facts["n"])), seed=7).mapInArrow(leads, ", ".join(f"{x} long" for x in names))
+    sampled = sampled.orderBy(F.rand(7)).limit(wanted).toArrow()  # bounded, whatever the length of the sampled texts
+    sampled = [sampled[x].to_numpy().view(U64) for x in names]
+    order = multikey_order(*sampled)
+    order = order[np.arange(1, n_sorted) * len(order) // n_sorted] if len(order) else order
+    splitters = [x[order] for x in sampled]
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, held, many = Prefix(), [], 0
 
         def flush() -> pa.RecordBatch:
-            rid, lo, more, lead, gram, context = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((context, gram))
-            rid, lo, more, lead, gram, context = (x[order] for x in (rid, lo, more, lead, gram, context))
-            start, end = runs(context)  # of one gram: contexts differ if grams do
+            rid, lo, more, *words, context = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(context, kind="stable")
+            rid, lo, more, context = (x[order] for x in (rid, lo, more, context))
+            start, end = runs(context)  # contexts differ if grams do
             twice = end - start > 1
             in_twice = np.repeat(twice, end - start)
             rows = []
             if in_twice.any():
                 r, a, b = joined(rid[in_twice], lo[in_twice], (lo + more + length)[in_twice])
                 rows += spread(_buckets(r.view(U64), n_texts), SETTLED, n_texts, (r, a.astype(np.uint32), b.astype(np.uint32)))
-            columns = (lead[start], gram[start], context[start], rid[start], lo[start].astype(np.uint32), (more[start] | (twice << 15)).astype(np.uint16))
-            to = np.searchsorted(splitters, (columns[0] >> U64(1)).astype(np.int64), side="right")
+            keys = [*(w[order][start] for w in words), context[start]]
+            columns = (*keys, rid[start], lo[start].astype(np.uint32), (more[start] | (twice << 15)).astype(np.uint16))
+            to = part_of(splitters, keys) if len(splitters[0]) else np.zeros(len(start), dtype=np.int64)
             return record(rows + spread(to, SORTED, n_sorted, columns))
 
         for batch in batches:
@@ -204,9 +250,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
         kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
         if kinds[0] == SETTLED:  # the buckets of kinds are apart
             return pa.table({"bucket": table["bucket"], "kind": table["kind"], "data": table["data"]})
-        lead, gram, context, rid, lo, more = unpacked(data, SUFFIX)
-        order = multikey_order(lead, gram, context)
-        gram, context, rid, lo, more = (x[order] for x in (gram, context, rid, lo, more))
+        *words, context, rid, lo, more = unpacked(data, SUFFIX)
+        order = multikey_order(*words, context)
+        words = [x[order] for x in words]
+        context, rid, lo, more = (x[order] for x in (context, rid, lo, more))
         weight, more = 1 + (more >> 15).astype(np.int64), (more & 0x7FFF).astype(np.int64)
         start, end = runs(context)
         total = np.add.reduceat(weight, start) if len(start) else weight
@@ -216,12 +263,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
         if settled.any():
             r, a, b = joined(rid[settled], lo[settled], hi[settled])
             rows += spread(_buckets(r.view(U64), n_texts), SETTLED, n_texts, (r, a, b))
-        g_start, g_end = runs(gram[start])
+        prefix_ = common_prefix([x[start] for x in words])  # of each context's first suffix with the context before
+        group = np.cumsum(prefix_ < GRAM)
+        g_start, g_end = runs(group)
         mates = np.repeat(g_end - g_start, g_end - g_start) > 1  # contexts whose gram has others too
         pick = start[mates]
         if len(pick):
             r = rid[pick]
             rows += spread(_buckets(r.view(U64), n_texts), OPEN, n_texts, (r, lo[pick], hi[pick].astype(np.uint32)))
+        for g in {0, len(g_start) - 1}:  # the groups at both boundaries; a lone context waits for the bucket beside
+            at = start[g_start[g]]
+            gram = b"".join(int(x[at]).to_bytes(8, "big") for x in words)
+            lone = packed(rid[at : at + 1], lo[at : at + 1], hi[at : at + 1].astype(np.uint32)) if g_end[g] - g_start[g] == 1 else b""
+            rows.append((int(_buckets(rid[at : at + 1].view(U64), n_texts)[0]), EDGE, gram + lone))
         return pa.Table.from_batches([record(rows)])
 
     first = base.select("text", "rid").mapInArrow(suffixes, ENTRY).withColumn("key", F.when(F.col("kind") == SORTED, F.col("bucket")).otherwise(-1 - F.col("bucket")))
@@ -285,7 +339,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id
         return pa.Table.from_batches([record(spread(_buckets(r.view(U64), n_texts), SETTLED, n_texts, (r, a, b)))])
 
     by_text = texts.groupBy("bucket")
-    compared = found.filter(F.col("kind") == OPEN).groupBy("bucket").cogroup(by_text).applyInArrow(opened, keep_schema)
+    edges = found.filter(F.col("kind") == EDGE).withColumn("gram", F.substring("data", 1, GRAM))  # two rows a bucket
+    crossing = edges.groupBy("gram").agg(F.count("*").alias("many")).filter("many > 1").select("gram")
+    crossing = edges.filter(F.length("data") > GRAM).join(crossing, "gram").select("bucket", F.lit(OPEN).alias("kind"), F.expr(f"substring(data, {GRAM + 1})").alias("data"))
+    to_open = found.filter(F.col("kind") == OPEN).unionByName(crossing)
+    compared = to_open.groupBy("bucket").cogroup(by_text).applyInArrow(opened, keep_schema)
     compared = compared.withColumn("key", F.when(F.col("kind") == SORTED, F.col("bucket")).otherwise(-1 - F.col("bucket"))).groupBy("key").applyInArrow(strings, keep_schema)
     spans = found.filter(F.col("kind") == SETTLED).unionByName(compared)
 

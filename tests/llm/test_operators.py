@@ -629,6 +629,29 @@ def test_long_texts_go_in_chunks(spark, monkeypatch):
     assert repeats.without_repeats(corpus(spark, rows).limit(0), 80).count() == 0
 
 
+def test_groups_that_cross_boundaries_are_compared(spark):
+    """One gram in very many contexts, over more buckets than contexts of it fit in one."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    core, rows = letters(150), []
+    for i in range(120):
+        text = letters(90) + core + letters(90)
+        rows += [(2 * i, text), (2 * i + 1, letters(60) + (text[30:280] if i % 3 == 0 else core) + letters(50))]
+    for buckets in (1, 40, 400):
+        got = repeats.without_repeats(corpus(spark, rows), 200, buckets=buckets).collect()
+        assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 200)
+
+
+def test_common_prefixes_and_parts():
+    rng = np.random.default_rng(3)
+    texts = sorted(bytes(rng.integers(97, 99, 32).astype(np.uint8)) if k % 4 else b"a" * 31 + bytes([97 + k % 3]) for k in range(200))
+    words = [np.array([int.from_bytes(t[8 * w : 8 * w + 8], "big") for t in texts], dtype=np.uint64) for w in range(4)]
+    same = lambda x, y: next((k for k in range(32) if x[k] != y[k]), 32)
+    assert repeats.common_prefix(words).tolist() == [-1, *map(same, texts[1:], texts)]
+    splitters = [w[::9] for w in words]
+    assert repeats.part_of(splitters, words).tolist() == [sum(s <= t for s in texts[::9]) for t in texts]
+
+
 def test_sort_by_several_keys():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 5, 500).astype(np.uint64) for _ in range(3)]
