@@ -2,8 +2,10 @@
 
 Texts are dealt to chunks; a chunk's distinct n-grams with their counts go, packed by range of hash, to the partitions of
 the count table, which sum them and answer each chunk with what other chunks add; the chunk joins the answers to its
-exploded n-grams and sums per document. Counts leave the scored document out, so that no text vouches for itself. Texts
-are shuffled once: the plan's two uses of them share one exchange.
+exploded n-grams and sums per document. Counts leave the scored document out, so that no text vouches for itself. An
+n-gram of three words or more can stand in another document only if both n-grams of one word less do: only these are sent,
+once the shorter ones are answered. Texts are shuffled once: all uses of them share one exchange. (Rows of single n-grams,
+about 40 bytes each for 6 to 7 bytes of text, would move several times the input an order; packed ranges move a sixth.)
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, binary, blocks, flat, framed, mix, pack_sorted, runs, space_table, unframed, unpack_sorted, words
-from quorumlake.runtime import parallelism, small_batches
+from quorumlake.runtime import materialize, parallelism, small_batches
 
 ALPHA, ORDER = 0.4, 3
 CHUNK_BYTES, TABLE_ENTRIES = 12_000_000, 2_000_000
@@ -37,7 +39,7 @@ def unpack_small(data: bytes) -> np.ndarray:
 
 
 class Chunk:
-    """Words and n-grams of a chunk's texts, in the order of the texts' row ids."""
+    """Words and n-grams of a chunk's texts, in the order of the texts' row hashes (equal ones are equal rows)."""
 
     def __init__(self, texts: pa.Table):
         texts = texts.combine_chunks()
@@ -52,22 +54,25 @@ class Chunk:
         self.length = np.bincount(self.row, minlength=self.rows)
         self.place = np.arange(len(self.row)) - (np.cumsum(self.length) - self.length)[self.row]
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the last words of n-grams, and the n-grams' hashes."""
+    def grams(self, n: int, shorter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the last words of n-grams, and the n-grams' hashes. ``shorter``: counts in other texts by one word
+        less; only n-grams of which both shorter ones stand there are looked at."""
         at = np.flatnonzero(self.place >= n - 1)
+        if shorter is not None:
+            at = at[(shorter[at] > 0) & (shorter[at - 1] > 0)]
         out = np.zeros(len(at), dtype=U64)
         for k in range(n - 1, -1, -1):
             out = out * U64(0xD1342543DE82EF95) + self.words[at - k]
         return at, mix(out + U64(n))
 
-    def distinct(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+    def distinct(self, n: int, shorter: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The n-grams to send, sorted, with their counts in the chunk."""
-        return np.unique(self.grams(n)[1], return_counts=True)
+        return np.unique(self.grams(n, shorter)[1], return_counts=True)
 
-    def others(self, n: int, extra: np.ndarray) -> np.ndarray:
+    def others(self, n: int, extra: np.ndarray, shorter: np.ndarray | None = None) -> np.ndarray:
         """How often the n-gram that ends at each place stands in other texts; ``extra``: what other chunks add to each
         distinct one. 0 where a place has no such n-gram."""
-        at, keys = self.grams(n)
+        at, keys = self.grams(n, shorter)
         out = np.zeros(len(self.words), dtype=np.int64)
         if not len(at):
             return out
@@ -96,11 +101,13 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, do
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lower-cased. A word's score is the relative frequency
     of the longest n-gram that ends in it and stands in another row, times ``alpha`` for each shorter step from the
     longest that its place allows; a word seen nowhere else counts as one in all words of the other rows plus one, after
-    all steps and one more. Null and empty texts have no words and score 0. Repeated rows count as other rows.
+    all steps and one more. Null and empty texts have no words and score 0. Repeated rows count as other rows. An empty
+    table gives an empty one; other columns are left out. Rows are known by a hash of id and text, so a task that runs
+    again after a lost executor deals and orders them as before.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("rid"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         separator, n, size = space_table(), 0, 0
@@ -114,24 +121,41 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, do
     n_words, total = facts["words"] or 0, facts["bytes"] or 0
     n_chunks = max(parallelism(spark), math.ceil(total / CHUNK_BYTES))
     n_tables = max(parallelism(spark), math.ceil(order * total / 6 / TABLE_ENTRIES))
-    by_chunk = base.withColumn("chunk", F.pmod(F.xxhash64("rid"), F.lit(n_chunks))).groupBy("chunk")
+    by_chunk = base.withColumn("chunk", F.pmod("rid", F.lit(n_chunks))).groupBy("chunk")
     edges = np.array([(i << 64) // n_tables for i in range(1, n_tables)], dtype=U64)
 
-    def send(texts: pa.Table) -> pa.Table:
-        chunk, where, orders, data = Chunk(texts), [], [], []
-        for n in range(1, order + 1):
-            keys, counts = chunk.distinct(n)
+    def sent(chunk: Chunk, me: int, orders: range, shorter: np.ndarray | None) -> pa.Table:
+        where, sizes, data = [], [], []
+        for n in orders:
+            keys, counts = chunk.distinct(n, shorter)
             cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
             for i in np.flatnonzero(np.diff(cut)).tolist():
                 where.append(i)
-                orders.append(n)
+                sizes.append(n)
                 data.append(framed(pack_sorted(keys[cut[i] : cut[i + 1]]), pack_small(counts[cut[i] : cut[i + 1]])))
-        me = texts["chunk"][0].as_py()
-        return pa.table({"bucket": pa.array(where, pa.int64()), "chunk": pa.array([me] * len(where), pa.int64()), "n": pa.array(orders, pa.int32()), "data": binary(data)})
+        return pa.table({"bucket": pa.array(where, pa.int64()), "chunk": pa.array([me] * len(where), pa.int64()), "n": pa.array(sizes, pa.int32()), "data": binary(data)})
+
+    def send(texts: pa.Table) -> pa.Table:
+        return sent(Chunk(texts), texts["chunk"][0].as_py(), range(1, min(order, 2) + 1), None)
+
+    def send_longer(n: int):  # noqa: ANN202
+        def send(answers: pa.Table, texts: pa.Table) -> pa.Table:
+            if not texts.num_rows:
+                return sent(Chunk(texts), 0, range(0), None)
+            chunk = Chunk(texts)
+            return sent(chunk, texts["chunk"][0].as_py(), range(n, n + 1), counts_below(chunk, answers, n))
+
+        return send
+
+    def counts_below(chunk: Chunk, answers: pa.Table, n: int) -> np.ndarray:
+        count = None
+        for k in range(2, n):
+            count = chunk.others(k, received(answers, k), count if k > 2 else None)
+        return count
 
     def answer(table: pa.Table) -> pa.Table:
-        sent = [unframed(x) for x in table["data"].to_pylist()]
-        keys, counts = [unpack_sorted(k) for k, _ in sent], [unpack_small(c) for _, c in sent]
+        parts = [unframed(x) for x in table["data"].to_pylist()]
+        keys, counts = [unpack_sorted(k) for k, _ in parts], [unpack_small(c) for _, c in parts]
         joint, own = np.concatenate(keys), np.concatenate(counts)
         by_key = np.argsort(joint, kind="stable")
         start, end = runs(joint[by_key])
@@ -145,9 +169,9 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, do
         rest = (n_words - chunk.length)[chunk.row].astype(np.float64)
         longest = np.minimum(chunk.place + 1, order)
         score = np.log10(alpha) * longest - np.log10(rest + 1)
-        below = rest
+        below, count = rest, None
         for n in range(1, order + 1):
-            count = chunk.others(n, received(answers, n))
+            count = chunk.others(n, received(answers, n), count if n > 2 else None)
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = np.where(count > 0, np.log10(count / below) + np.log10(alpha) * (longest - n), score)
             below = np.concatenate([[0.0], count[:-1]]) if len(count) else rest
@@ -156,7 +180,11 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, do
         return pa.table({"doc_id": chunk.ids, "n_words": pa.array(chunk.length.astype(np.int64)), "log10_score": pa.array(total), "log10_per_word": pa.array(per, mask=chunk.length == 0)})
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    answers = by_chunk.applyInArrow(send, SENT).groupBy("bucket", "n").applyInArrow(answer, SENT)
+    answered = lambda sent: sent.groupBy("bucket", "n").applyInArrow(answer, SENT)
+    answers = answered(by_chunk.applyInArrow(send, SENT))
+    for n in range(3, order + 1):
+        answers = materialize(answers, "answers")
+        answers = answers.unionByName(answered(answers.groupBy("chunk").cogroup(by_chunk).applyInArrow(send_longer(n), SENT)))
     return answers.groupBy("chunk").cogroup(by_chunk).applyInArrow(scored, f"doc_id {kind}, n_words long, log10_score double, log10_per_word double")
 
 

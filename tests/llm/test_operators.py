@@ -222,7 +222,7 @@ def brute_scores(rows, order, alpha=0.4):
     return out
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_equal_brute_force(spark, edge_rows, docs, order):
     got = scoring.stupid_backoff(docs, order).collect()
     want = Counter((i, *s) for (i, _), s in zip(edge_rows, brute_scores(edge_rows, order), strict=True))
