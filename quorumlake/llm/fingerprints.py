@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from quorumlake.runtime import materialize, parallelism
+from quorumlake.runtime import broadcast_if_small, materialize, parallelism
 
 EXACT, LANES = 16, 64
 
@@ -37,23 +37,18 @@ def exact_lanes(lines: Column) -> Column:
 def sketch_lanes(lines: Column) -> Column:
     """64 signed counts of adjacent word pairs.
 
-    Each pair becomes one of 128 characters, and a character is counted by what its removal takes off the string; the
-    string shrinks from step to step. That is byte work inside the JVM and needs no row per word and no shuffle.
+    Each pair becomes one of 128 marks. The marks, and each possible one once more, are sorted; the lengths of the runs
+    then are the counts. That is work on short arrays inside the JVM and needs no row per word and no shuffle.
     """
-
-    def mark(a: Column, b: Column) -> Column:
-        return F.chr(F.pmod(F.xxhash64(a, b), F.lit(2 * LANES)))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(2 * LANES - 1).cast("long"))
 
     def marks(p: Column) -> Column:
-        return bind(F.split(p, " "), lambda ws: F.array_join(F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), mark), ""))
+        return bind(F.split(p, " "), lambda ws: F.zip_with(ws, F.slice(ws, F.lit(2), F.size(ws)), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(2 * LANES))))
 
-    whole = F.array_join(F.transform(lines, marks), "")
-    start = F.struct(whole.alias("s"), F.array().cast("array<int>").alias("n"))
-    step = lambda acc, c: F.struct(F.replace(acc["s"], F.chr(c), F.lit("")).alias("s"), F.concat(acc["n"], F.array(F.octet_length(acc["s"]))).alias("n"))
-    left = F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(2 * LANES - 1).cast("long")), start, step, lambda acc: F.concat(acc["n"], F.array(F.octet_length(acc["s"]))))
-    # octets left after removal of 2i - 2, 2i - 1 and 2i characters: their differences are the two counts of lane i
-    count = lambda left: F.transform(F.sequence(F.lit(1), F.lit(LANES)), lambda i: (F.element_at(left, 2 * i - 1) - 2 * F.element_at(left, 2 * i) + F.element_at(left, 2 * i + 1)).cast("long"))
-    return bind(left, count)
+    ordered = F.sort_array(F.concat(F.flatten(F.transform(lines, marks)), every))
+    found = F.regexp_extract_all(F.array_join(F.transform(ordered, lambda m: F.chr(m)), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    count = lambda runs: F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: (F.length(F.get(runs, 2 * i)) - F.length(F.get(runs, 2 * i + 1))).cast("long"))
+    return bind(found, count)
 
 
 def lanes(text: Column) -> Column:
@@ -90,45 +85,46 @@ def edited_text(text: Column, after: Column) -> Column:
 
 
 def _in_order(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """_id and _text dealt to buckets of neighbouring ids, descending; each bucket also gets, marked _ghost, the first
-    row of the bucket after it, so that every row meets the one that follows it in its own bucket."""
-    shares = ",".join(f"{i / n_buckets:.12f}D" for i in range(1, n_buckets))
-    bounds = docs.agg(F.expr(f"percentile_approx(_id, array({shares}), 100000)").alias("q")).first()["q"] if n_buckets > 1 else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    width = max(1, math.isqrt(len(bounds)))
-    parts = [bounds[i : i + width] for i in range(0, len(bounds), width)]  # two short searches instead of one long one
-    if bounds:
-        outer = F.size(F.filter(F.array(*[F.lit(p[-1]) for p in parts]), lambda x: F.col("_id") < x))
-        nested = F.array(*[F.array(*[F.lit(x) for x in p]) for p in parts])
-        inner = F.size(F.filter(F.coalesce(F.get(nested, outer), F.array().cast("array<bigint>")), lambda x: F.col("_id") < x))
-        bucket = F.when(F.col("_id").isNull(), len(bounds)).otherwise(outer * width + inner)
-    else:
-        bucket = F.lit(0)
-    docs = docs.withColumn("_bucket", bucket.cast("int"))
-    heads = docs.groupBy("_bucket").agg(F.max("_id").alias("_id"))  # one row a bucket
-    order = W.orderBy("_bucket")
-    last = heads.agg(F.max("_bucket").alias("_last"))
-    heads = heads.crossJoin(F.broadcast(last)).withColumn("_to", F.coalesce(F.lag("_bucket").over(order), F.col("_last")))
-    heads = materialize(heads.select("_bucket", "_id", "_to"), "heads")
-    ghosts = docs.alias("d").join(F.broadcast(heads.alias("h")), F.col("d._id").eqNullSafe(F.col("h._id")) & (F.col("d._bucket") == F.col("h._bucket")))
-    ghosts = ghosts.select("d._id", "d._text", F.col("h._to").alias("_bucket"), F.lit(True).alias("_ghost"))
-    return docs.select("_id", "_text", "_bucket", F.lit(False).alias("_ghost")).unionByName(ghosts)
+    """_id, _hash and _text dealt to buckets of neighbours in descending order; each bucket also gets, marked _ghost, the
+    first row of the bucket after it, so that every row meets the one that follows it in its own bucket.
+
+    The buckets are those that a range partitioning of the keys alone samples: one row of bounds a bucket, put together
+    in a table of one row (``n_buckets`` keys of 16 bytes), so none is empty and nothing of them enters the plan.
+    """
+    key = F.struct("_id", "_hash")
+    ranged = docs.select(key.alias("_key")).repartitionByRange(n_buckets, F.col("_key").desc())
+    bounds = materialize(ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.max("_key").alias("_first")), "bounds")
+    width = max(1, math.isqrt(bounds.count()))
+    firsts = bounds.agg(F.sort_array(F.collect_set("_first"), asc=False).alias("f"))
+    # two short searches instead of one long one
+    parts = F.transform(F.sequence(F.lit(0), F.size("f") - 1, F.lit(width)), lambda i: F.slice("f", i + 1, F.lit(width)))
+    firsts = firsts.filter(F.size("f") > 0).select(parts.alias("_parts"), F.transform(parts, lambda x: x[0]).alias("_heads"), F.size("f").alias("_buckets"))
+    docs = docs.join(broadcast_if_small(materialize(firsts, "firsts"), 32 * max(1, width * width + 2 * width)))
+    outer = F.size(F.filter("_heads", lambda x: key <= x)) - 1
+    place = bind(outer, lambda o: o * width + F.size(F.filter(F.get(F.col("_parts"), o), lambda x: key <= x)) - 1)
+    first = lambda b: F.get(F.get(F.col("_parts"), F.floor(b / width).cast("int")), (b % width).cast("int"))
+    docs = docs.withColumn("_bucket", place).withColumn("_head", key == first(F.col("_bucket")))
+    before = F.pmod(F.col("_bucket") - 1, F.col("_buckets"))
+    own = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("g"))
+    to = F.when(F.col("_head"), F.array(own, F.struct(before.alias("b"), F.lit(True).alias("g")))).otherwise(F.array(own))
+    return docs.select("_id", "_hash", "_text", F.explode(to).alias("_to")).select("_id", "_hash", "_text", F.col("_to.b").alias("_bucket"), F.col("_to.g").alias("_ghost"))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null text counts as empty. The next document is the one with the next smaller id, after the last the first; repeated
-    ids follow each other by text; null ids come last. A single document is its own next. Other columns are left out.
+    ids follow each other by a hash of the text; null ids come last. A single document is its own next. Other columns are left out.
 
     Texts are shuffled once, by buckets of neighbouring ids. The edited text's lanes come from the document's own by
     deleting the paragraphs that the edit touches and inserting the new ones.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    base = base.withColumn("_hash", F.xxhash64("_text"))
     n_buckets = max(2 * parallelism(spark), math.ceil(base.count() / 20_000))
     placed = _in_order(base, n_buckets).repartition("_bucket").withColumn("_lanes", lanes(F.col("_text")))
-    follow = W.partitionBy("_bucket").orderBy(F.col("_ghost"), F.col("_id").desc_nulls_last(), F.col("_text").desc())
+    follow = W.partitionBy("_bucket").orderBy(F.col("_ghost"), F.struct("_id", "_hash").desc())
     both = placed.withColumn("_next", F.lead(F.struct("_text", "_lanes")).over(follow)).filter("NOT _ghost")
     both = both.withColumn("_edited", edited_text(F.col("_text"), F.col("_next._text")))
     size, cut = F.length("_text"), F.floor(F.length("_text") / 3).cast("int")

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quorumlake.llm import blocks, components, decontamination, fingerprints, jaccard, language, lines, packing, pii, repeats, scoring, sharding
@@ -287,6 +288,45 @@ def test_fingerprints(spark):
     assert alone.near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """(exact lanes, sketch lanes) without Spark."""
+    exact, sketch = [0] * 16, [0] * 64
+    for p in text.split("\n"):
+        digest = hashlib.sha512(p.encode()).digest()
+        exact = [(x + int.from_bytes(digest[4 * i : 4 * i + 4], "big")) % (1 << 32) for i, x in enumerate(exact)]
+        ws = p.split(" ")
+        for k, w in enumerate(ws):
+            h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            if k + 1 < len(ws):
+                h = xxhash.xxh64_intdigest(ws[k + 1].encode(), seed=h)
+            mark = (h - (1 << 64) if h >> 63 else h) % 128
+            sketch[mark // 2] += 1 - 2 * (mark % 2)
+    return exact, sketch
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(["alpha", "beta", "gämma", "", "delta 😀", "x"]) for _ in range(rng.randrange(0, 30)))
+    rows = [(i * 7 % 101, "\n".join(line() for _ in range(rng.randrange(1, 6)))) for i in range(60)] + [(200, rows_text := "one\ntwo three"), (199, rows_text), (300, None), (None, "no id")]
+    got = {r.doc_id: r for r in fingerprints.fingerprints(corpus(spark, rows)).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    hexed = lambda v: "".join(f"{x:08x}" for x in v[0]) + "".join(f"{x % (1 << 16):04x}" for x in v[1])
+
+    def alike(v, w):
+        a, b = np.array(v[1], dtype=float), np.array(w[1], dtype=float)
+        norm = np.sqrt((a @ a) * (b @ b))
+        return 1.0 if v == w else min(max(a @ b / norm if norm else 0.0, 0.0), 0.999999)
+
+    assert len(got) == len(rows)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        own, changed, following = map(plain_fingerprint, (t, edited, after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (hexed(own), hexed(changed))
+        assert got[i].near_edited == pytest.approx(alike(own, changed)) and got[i].near_next == pytest.approx(alike(own, following))
+
+
 def test_insertion_and_deletion_are_homomorphic(spark):
     t = spark.createDataFrame([("a b\nc d", "c d", "a b")], "w string, x string, y string")
     v = {c: fingerprints.lanes(F.col(c)) for c in t.columns}
