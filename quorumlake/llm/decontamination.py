@@ -5,13 +5,15 @@ distributed randomised SVD spans a latent space of ``RANK`` dimensions: every ta
 random test matrix and back, the sums go to the driver (vocabulary x test columns), and the leading right singular
 vectors of all passages come from them by Nystroem's formula (Halko, Martinsson and Tropp, 2011; Tropp et al., 2017).
 Passages and items are compared in that space alone, scaled by the inverse singular values as queries are folded into
-latent semantic indexes. Passages whose latent cosine with an item, or with a part of an item longer than a passage,
-reaches ``COSINE`` are candidates, verified at once, while the words are at hand, by the longest common subsequence with
-the item and by the item's closing words, its answer.
+latent semantic indexes. Passages are overlapping windows; an item longer than a window is searched for by its parts.
+Where a latent cosine reaches ``COSINE`` and the surroundings hold as many of the item's rarer words as a leak must, the
+pair is verified at once, while the words are at hand, by the longest common subsequence with the item and by the item's
+closing words, its answer.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quorumlake.llm.blocks import U64, Prefix, binary, blocks, runs, words
 from quorumlake.runtime import small_batches
 
-WINDOW, COSINE, LCS, ANSWER = 32, 0.3, 0.6, 0.5
-UNIT, SHORT = 8, 12  # words a unit; items up to SHORT words meet windows of two units, others windows of WINDOW words
-RANK, OVERSAMPLE, NONZEROS, REST = 128, 16, 4, 4096
-MAX_SHARE, RARE = 0.05, 1e-4
+UNIT, WINDOW, PASSAGE = 8, 16, 32  # words: step of the search, its windows, the passages that the latent space is of
+COSINE, LCS, ANSWER = 0.25, 0.6, 0.5
+RANK, OVERSAMPLE, NONZEROS, REST = 64, 8, 4, 4096
+MAX_SHARE, RARE, SELDOM = 0.05, 1e-4, 0.01
 ITEM_BLOCK, ITEM_CHARS = 50_000, 20_000_000
-CELLS = 1 << 22
+CELLS, BLOCK_BYTES, ITEM_STEP = 1 << 21, 1 << 19, 256
 LEADING = 18
 
 
@@ -55,11 +57,10 @@ class Items:
             if len(start):
                 self.ids.append(item)
                 self.words.append(prefix.of(prefix.sums(data), start, end))
-        # what passages are compared with: each item as a whole, and if it is longer than a passage its parts as well
-        targets = [[w, *(np.array_split(w, -(-len(w) // WINDOW)) if len(w) > WINDOW else [])] for w in self.words]
+        # what windows are compared with: each item, or if it is longer than a window its parts
+        targets = [np.array_split(w, -(-len(w) // WINDOW)) for w in self.words]
         self.targets = [t for several in targets for t in several]
         self.owner = np.repeat(np.arange(len(targets)), [len(t) for t in targets])
-        self.short = np.array([len(self.words[i]) <= SHORT for i in self.owner], dtype=bool)
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, U64)
         self.size = len(self.vocabulary) + REST  # dimensions: these words, and all others by hash
         self.weights = np.ones(self.size, dtype=np.float32)
@@ -76,6 +77,17 @@ class Items:
             at = np.unique(np.searchsorted(self.vocabulary, w))
             common_word[at[np.argsort(counts[at], kind="stable")[: (len(at) + 1) // 2]]] = False
         self.weights = np.where(common_word, 0, np.maximum(idf, 0.1)).astype(np.float32)
+        self.seldom = counts[: len(self.vocabulary)] < SELDOM * units
+
+    def postings(self, lcs: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items by seldom word (starts and items), and how many of its seldom words each item's leak must show: ``lcs``
+        of all its words, less those that aren't seldom."""
+        at = [np.searchsorted(self.vocabulary, w) for w in self.words]
+        needed = np.array([math.ceil(lcs * len(x) - 1e-9) - (~self.seldom[x]).sum() for x in at])
+        word = np.concatenate([np.unique(x[self.seldom[x]]) for x in at])
+        item = np.repeat(np.arange(len(at)), [len(np.unique(x[self.seldom[x]])) for x in at])
+        order = np.argsort(word, kind="stable")
+        return np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1)), item[order], needed
 
     def latent(self) -> np.ndarray:
         """Unit vectors of the items and their parts in the latent space; one that the space doesn't hold is null."""
@@ -118,18 +130,44 @@ class Passages:
         self.dim[maybe[found]] = at[found]
         self.sign[maybe[found]] = 1
 
-    def value(self, weights: np.ndarray) -> np.ndarray:
-        return weights[self.dim] * self.sign
+    def weighed(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words that weigh, and their values."""
+        value = weights[self.dim] * self.sign
+        at = np.flatnonzero(value)
+        return at, value[at]
+
+    def unit_of(self, at: np.ndarray) -> np.ndarray:
+        return self.unit_first[self.row[at]] + (at - self.first[self.row[at]]) // UNIT
 
     def projected(self, basis: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """The units' vectors times ``basis``, some words at a time."""
-        out = np.empty((self.units, basis.shape[1]), dtype=np.float32)
-        value, edge = self.value(weights), np.append(self.unit_start, len(self.dim))
-        step = max(1, CELLS // max(1, basis.shape[1] * UNIT))
-        for lo in range(0, self.units, step):
-            hi = min(self.units, lo + step)
-            a, b = edge[lo], edge[hi]
-            out[lo:hi] = np.add.reduceat(basis[self.dim[a:b]] * value[a:b, None], self.unit_start[lo:hi] - a, axis=0)
+        out = np.zeros((self.units, basis.shape[1]), dtype=np.float32)
+        at, value = self.weighed(weights)
+        dim, unit = self.dim[at], self.unit_of(at)
+        step = max(1, CELLS // max(1, basis.shape[1]))
+        lo = 0
+        while lo < len(at):
+            hi = min(len(at), lo + step)
+            if hi < len(at):  # whole units
+                hi = int(np.searchsorted(unit, unit[hi - 1], side="left")) if unit[hi - 1] > unit[lo] else int(np.searchsorted(unit, unit[lo], side="right"))
+            start = runs(unit[lo:hi])[0]
+            out[unit[lo:hi][start]] = np.add.reduceat(basis[dim[lo:hi]] * value[lo:hi, None], start, axis=0)
+            lo = hi
+        return out
+
+    def shared(self, starts: np.ndarray, items: np.ndarray, a: int, b: int) -> np.ndarray:
+        """How many words of the items a to b each unit and all before it hold, seldom words only."""
+        known = np.flatnonzero(self.dim < len(starts) - 1)
+        word = self.dim[known]
+        many = starts[word + 1] - starts[word]
+        pick = many > 0
+        known, word, many = known[pick], word[pick], many[pick]
+        item = items[np.repeat(starts[word] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        unit = np.repeat(self.unit_of(known), many)
+        pick = (item >= a) & (item < b)
+        cell = np.bincount(unit[pick] * (b - a) + item[pick] - a, minlength=self.units * (b - a)).reshape(-1, b - a)
+        out = np.zeros((self.units + 1, b - a), dtype=np.int32)
+        np.cumsum(cell, axis=0, out=out[1:])
         return out
 
     def paired(self, values: np.ndarray, gap: int) -> np.ndarray:
@@ -255,15 +293,16 @@ def _span(base: DataFrame, items: Items, rank: int) -> None:
                 p = Passages(data, offsets, prefix, separator, vocabulary, leading)
                 if not p.units:
                     continue
-                first = np.flatnonzero(p.unit_place % (WINDOW // UNIT) == 0)  # passages side by side: each word once
-                passage = np.repeat(np.arange(len(first)), np.diff(np.append(p.unit_start[first], len(p.dim))))
-                value = p.value(weights)
+                # passages side by side: each word once
+                at, value = p.weighed(weights)
+                dim, passage = p.dim[at], (np.cumsum(p.unit_place % (PASSAGE // UNIT) == 0) - 1)[p.unit_of(at)]
+                first = range(int(passage[-1]) + 1 if len(passage) else 0)
                 norm = np.sqrt(np.bincount(passage, weights=value.astype(np.float64) ** 2, minlength=len(first)))
                 value = value / np.where(norm > 0, norm, 1)[passage].astype(np.float32)
-                product = sum(np.bincount(passage * columns + column[k][p.dim], weights=value * sign[k][p.dim], minlength=len(first) * columns) for k in range(NONZEROS))
+                product = sum(np.bincount(passage * columns + column[k][dim], weights=value * sign[k][dim], minlength=len(first) * columns) for k in range(NONZEROS))
                 product = product.reshape(-1, columns).astype(np.float32)
-                order = np.argsort(p.dim, kind="stable")
-                dim, value, passage = p.dim[order], value[order], passage[order]
+                order = np.argsort(dim, kind="stable")
+                dim, value, passage = dim[order], value[order], passage[order]
                 step = CELLS // columns
                 for lo in range(0, len(dim), step):
                     d = dim[lo : lo + step]
@@ -291,7 +330,9 @@ def latent_basis(sketch: np.ndarray, column: np.ndarray, sign: np.ndarray, rank:
 
 def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: float, answer: float) -> DataFrame:
     targets = items.latent()
-    groups = [(at, gap) for at, gap in ((np.flatnonzero(items.short), 1), (np.flatnonzero(~items.short), 2)) if len(at)]
+    starts, posted, needed = items.postings(lcs)
+    n_words = np.array([len(w) for w in items.words])
+    reach = -(-n_words // UNIT)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix, separator, leading = Prefix(), punctuation(), leading_bits(items.vocabulary)
@@ -300,34 +341,41 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
         tail_masks = [places(w) for w in tails]
         for batch in batches:
             found: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for lo, _, data, offsets, _ in blocks(lowered(batch.column(1))):
+            for lo, _, data, offsets, _ in blocks(lowered(batch.column(1)), BLOCK_BYTES):
                 p = Passages(data, offsets, prefix, separator, items.vocabulary, leading)
                 if not p.units or not items.basis.shape[1]:
                     continue
-                short = p.paired(p.projected(items.basis, items.weights), 1)
-                for at, gap in groups:  # two units at every unit, or four at every other one
-                    window = np.flatnonzero(p.unit_place % gap == 0)
-                    vectors = short if gap == 1 else p.paired(short, 2)[window]
-                    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-                    step = max(1, CELLS // len(at))
-                    for a in range(0, len(window), step):
-                        score = vectors[a : a + step] @ targets[at].T
-                        near = np.nonzero(score >= cosine)
-                        pairs: dict[tuple[int, int], float] = {}
-                        for i, j, c in zip(window[a + near[0]].tolist(), items.owner[at[near[1]]].tolist(), score[near].tolist(), strict=True):
+                vectors = p.paired(p.projected(items.basis, items.weights), 1)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                first_unit = p.unit_first[p.unit_row]
+                end_unit = np.append(p.unit_first[1:], p.units)[p.unit_row]
+                for a in range(0, len(items.words), ITEM_STEP):
+                    b = min(len(items.words), a + ITEM_STEP)
+                    target = np.flatnonzero((items.owner >= a) & (items.owner < b))
+                    shared = p.shared(starts, posted, a, b)
+                    step = max(1, CELLS // len(target))
+                    pairs: dict[tuple[int, int], float] = {}
+                    for u in range(0, p.units, step):
+                        score = vectors[u : u + step] @ targets[target].T
+                        window, t = np.nonzero(score >= cosine)
+                        item, score, window = items.owner[target[t]], score[window, t], window + u
+                        left = np.maximum(first_unit[window], window - reach[item])
+                        right = np.minimum(end_unit[window], window + WINDOW // UNIT + reach[item])
+                        enough = shared[right, item - a] - shared[left, item - a] >= needed[item]
+                        for i, j, c in zip(window[enough].tolist(), item[enough].tolist(), score[enough].tolist(), strict=True):
                             pairs[i, j] = max(c, pairs.get((i, j), -1.0))
-                        for (i, j), c in pairs.items():
-                            row, n = int(p.unit_row[i]), len(items.words[j])
-                            begin = int(p.first[row] + p.unit_place[i] * UNIT)
-                            left, right = max(int(p.first[row]), begin - n), min(int(p.first[row] + p.length[row]), begin + 2 * gap * UNIT + n)
-                            region = p.hashes[left:right]
-                            share = common(region, masks[j], n) / n
-                            if share < lcs:
-                                continue
-                            closing = common(region, tail_masks[j], len(tails[j])) / len(tails[j])
-                            if share >= 0.85 or closing >= answer:
-                                best = (share, closing, min(1.0, c))
-                                found[lo + row, j] = max(found.get((lo + row, j), best), best)
+                    for (i, j), c in pairs.items():
+                        row, n = int(p.unit_row[i]), int(n_words[j])
+                        left = int(p.first[row] + (max(first_unit[i], i - reach[j]) - first_unit[i]) * UNIT)
+                        right = min(int(p.first[row] + p.length[row]), int(p.first[row] + (i + WINDOW // UNIT + reach[j] - first_unit[i]) * UNIT))
+                        region = p.hashes[left:right]
+                        share = common(region, masks[j], n) / n
+                        if share < lcs:
+                            continue
+                        closing = common(region, tail_masks[j], len(tails[j])) / len(tails[j])
+                        if share >= 0.85 or closing >= answer:
+                            best = (share, closing, min(1.0, c))
+                            found[lo + row, j] = max(found.get((lo + row, j), best), best)
             rows_, which = [k[0] for k in found], [k[1] for k in found]
             ids = batch.column(0).take(pa.array(rows_, pa.int64()))
             kind = pa.array(items.ids).type

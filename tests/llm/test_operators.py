@@ -169,7 +169,7 @@ def test_the_latent_space_finds_what_plain_cosine_misses(spark):
     assert items.basis.shape[1] == 40 < items.size  # truncated
     data, offsets, _ = blocks.flat(decontamination.lowered(__import__("pyarrow").array([item, replaced])))
     p = decontamination.Passages(data, offsets, blocks.Prefix(), decontamination.punctuation(), items.vocabulary, decontamination.leading_bits(items.vocabulary))
-    whole = np.stack([np.bincount(p.dim[p.row == r], weights=p.value(items.weights)[p.row == r], minlength=items.size) for r in (0, 1)])
+    whole = np.stack([np.bincount(p.dim[p.row == r], weights=(items.weights[p.dim] * p.sign)[p.row == r], minlength=items.size) for r in (0, 1)])
     cosine = lambda x, y: x @ y / np.sqrt((x @ x) * (y @ y))
     assert cosine(*whole) < decontamination.COSINE < cosine(*(whole @ items.basis))
 
