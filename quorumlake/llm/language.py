@@ -15,7 +15,7 @@ from quorumlake.llm.blocks import U64, Prefix, blocks, mix, runs, words
 from quorumlake.runtime import small_batches
 
 ORDER = 4
-TRAIN_DOCS = 1500  # documents per language, about; the bound on the sample that the classifier is fitted on
+TRAIN_DOCS, TRAIN_CHARS = 1500, 20_000_000  # per language, about; the bounds on the sample that the classifier is fitted on
 UNDETERMINED = "und"
 
 
@@ -72,21 +72,21 @@ def _logs(counts: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.n
     return keys, np.maximum(logs, np.log(1e-7))
 
 
-def fit(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", order: int = ORDER, train_docs: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, usable: Column, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", order: int = ORDER, train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Model:
     """Model of the usable rows' texts and labels.
 
-    About ``train_docs`` rows of each language are taken by a hash of their id, so the sample and the model stay
-    bounded for any corpus; rows without text or label are left out. Words and n-grams are counted per task before
-    they are summed.
+    About ``train_docs`` rows of each language, or fewer that hold ``train_chars`` characters, are taken by a hash of
+    their id, so the sample and the model stay bounded for any corpus; rows without text or label are left out, repeated
+    rows count as often as they stand. Words and n-grams are counted per task before they are summed.
     """
     small_batches(docs.sparkSession)
     labelled = docs.filter(usable & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
+    sizes = {r[0]: max(r[1] / train_docs, (r[2] or 0) / train_chars) for r in labelled.groupBy(lang).agg(F.count("*"), F.sum(F.length(text))).collect()}
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros(0, U64), np.zeros((0, 0), np.float32), [np.zeros(0, U64)] * order, [np.zeros((0, 0), np.float32)] * order)
     part = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("train")), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(1_000_000 * min(1.0, train_docs / sizes[k])) + 1)])
+    share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(1_000_000 / max(1.0, sizes[k])) + 1)])
     sample = labelled.filter(part < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +162,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
 
     Null texts and texts without a letter are ``und`` with score 0, as is all if the model is empty. Ties go to the
     first language by name. Whole texts are read; the model goes to the tasks with the function (its size is bounded
-    by the training sample).
+    by the training sample). Columns of ``docs`` that are named like the two new ones give way to them.
     """
     small_batches(docs.sparkSession)
     languages = model.languages
-    # columns with these names give way: the docs' own are kept, under their positions
+    docs = docs.select([c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -340,13 +340,29 @@ def test_insertion_and_deletion_are_homomorphic(spark):
 def test_boilerplate_lines_go(spark):
     rows = [(i, f"own {i}\n menu \nown too {i}", "en", "a" if i < 40 else "b", 1, "x", 1, "y") for i in range(60)] + [(100, None, "en", "a", 0, "x", 1, "y"), (101, "", "en", None, 0, "x", 1, "y"), (102, "menu\nmenu\nx", "en", None, 0, "x", 1, "y")]
     docs = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: r for r in lines.drop_boilerplate(docs, max_ratio=0.5, min_pages=10).collect()}
+    got = {r.doc_id: r for r in lines.drop_boilerplate(docs, max_ratio=0.4).collect()}
     assert got[3].text == "own 3\nown too 3" and got[3]._n_dropped == 1 and got[45]._n_dropped == 1
     assert got[100].text is None and got[101].text == "" and got[102].text == "menu\nmenu\nx"
-    assert lines.drop_boilerplate(docs, max_ratio=0.5, min_pages=41).agg(F.sum("_n_dropped")).first()[0] == 0
+    assert lines.drop_boilerplate(docs, max_ratio=0.9).agg(F.sum("_n_dropped")).first()[0] == 0
     assert lines.drop_boilerplate(docs.limit(0)).columns == [*docs.columns, "_n_lines", "_n_dropped"]
 
 
+def test_small_hosts_have_boilerplate_too(spark):
+    rows = [(i, f"own {i}\nfooter", "en", f"h{h}", 1, "x", 1, "y") for h, n in ((1, 9), (2, 7), (3, 3)) for i in range(100 * h, 100 * h + n)]
+    got = {r.doc_id: r._n_dropped for r in lines.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {i: n for i, n in got.items() if n} == dict.fromkeys([*range(100, 109), *range(200, 207)], 1)
+
+
+def test_clashing_columns_of_lines_and_languages(spark):
+    names = ["doc_id", "text", "source", "_host", "_drop", "_kept", "_n_lines", "_n_dropped", "lang", "LANG_PRED", "score"]
+    docs = spark.createDataFrame([(i, f"own {i}\nfooter", "s", "a", "b", "c", 7, 8, "en", "q", 0.5) for i in range(12)], names)
+    out = lines.drop_boilerplate(docs)
+    assert out.columns == [*names, "__n_lines", "__n_dropped"]
+    assert {(r._drop, r._n_lines, r.__getitem__("__n_dropped"), r.text) for r in out.collect()} == {("b", 7, 1, f"own {i}") for i in range(12)}
+    out = language.predict(docs, language.fit(docs, F.lit(True)))
+    assert out.columns == [*names[:-2], "lang_pred", "score"] and {r.lang_pred for r in out.collect()} == {"en"}
+
+
 # 6
 
 
