@@ -21,16 +21,24 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the labels teach, predicted with a score of 0.5 or more."""
+    """Keep documents in a language that the labels teach, predicted with a score of 0.5 or more.
+
+    Null and empty texts and texts without a letter are in no language and go; repeated rows are judged alike. An empty
+    table, or one without labels, gives an empty one.
+    """
     pred, score = free_name("lang_pred", docs), free_name("lang_score", docs)
     out = predict(docs, fit(docs, F.lit(True)), pred=pred, score=score)
     return out.filter((F.col(pred) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut each source's boilerplate lines; a document left without a line that isn't blank goes."""
+    """Cut each source's boilerplate lines; a document left without a line that isn't blank goes.
+
+    Null texts and texts that lose no line stay as they are; repeated rows are pages of their own.
+    """
     out = drop_boilerplate(docs)
-    return _with_length(out.filter((F.col("_n_dropped") == 0) | (F.trim("text") != "")).select(docs.columns))
+    dropped = F.col(out.columns[-1])
+    return _with_length(out.filter((dropped == 0) | (F.trim("text") != "")).select(docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +62,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that leak a benchmark item."""
-    found = materialize(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaks")
-    return docs.join(broadcast_if_small(found, 16), "doc_id", "left_anti").select(docs.columns)
+    """Drop rows whose text leaks a benchmark item; another text under the same doc_id is judged for itself.
+
+    Null and empty texts leak nothing; rows that agree in id and text go together.
+    """
+    keyed = docs.withColumn(free_name("rk", docs), row_key())
+    rk = keyed.columns[-1]
+    found = contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=rk)
+    found = materialize(found.select(F.col("doc_id").alias(rk)).distinct(), "leaks")
+    return keyed.join(broadcast_if_small(found, 16), rk, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 tokens; one row per piece."""
+    """Sequences of 1024 tokens; one row per piece. Null and empty texts are one token long; repeated rows are packed each."""
     return pack(tokenized(docs))[0]
 
 
