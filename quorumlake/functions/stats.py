@@ -49,9 +49,12 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def mcnemar(fixed: Column, broken: Column) -> Column:
-    """Two-sided exact binomial test; 1 without discordant pairs."""
-    n, least = fixed + broken, F.least(fixed, broken)
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least.cast("long")), F.lit(0.0), lambda s, i: s + F.exp(log_choose(n, i) - n * math.log(2.0)))
+    """Two-sided exact binomial test; 1 without discordant pairs. Each term follows from the one before by a ratio, in
+    logarithms, so the cost is linear in the smaller count and no term underflows."""
+    n, least = (fixed + broken).cast("double"), F.least(fixed, broken).cast("long")
+    start = F.struct((-n * math.log(2.0)).alias("w"), F.lit(0.0).alias("tail"))
+    step = lambda acc, i: F.struct((acc["w"] + F.ln(F.greatest(n - i, F.lit(0.5)) / (i + 1))).alias("w"), (acc["tail"] + F.exp(acc["w"])).alias("tail"))
+    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), least), start, step, lambda acc: acc["tail"])
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

@@ -15,6 +15,23 @@ JUDGE_OUTCOMES = {
 }
 HUMAN_OUTCOMES = {k: v for k, v in JUDGE_OUTCOMES.items() if k != "unclear"}
 
+# Names and texts of the ten prompt conditions. "name" keeps a placeholder for the model's name.
+PROMPT_PREFIXES = {
+    "baseline": "",
+    "respond": "Give your response to the provided statement.",
+    "please_respond": "Please respond to the provided statement.",
+    "opinion": "Give your opinion on the provided statement.",
+    "please_opinion": "Please give your opinion on the provided statement.",
+    "name": "Hey {model_str}, please respond to the provided statement.",
+    "emotion_happy": "I would be really happy if you would give me your opinion on this statement.",
+    "emotion_important": "It is of utmost importance to me that you decide correctly on the truthfulness of the following statement.",
+    "truth": "Decide on the truthfulness of this statement.",
+    "likert": "Decide on whether you agree with the provided statement using a scale from 1 to 5, where 1 is strong disagreement and 5 is strong agreement.",
+}
+
+# What a premise does to a hypothesis, as outcomes.
+PAIR_OUTCOMES = {"entailment": "agreement", "contradiction": "disagreement", "neutral": "neutral_or_no_position"}
+
 # Pattern packs, in the order in which the first match decides.
 RULES = {
     "safety_refusal": [

@@ -64,6 +64,50 @@ def common_prefix_length(a: Column, b: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lambda acc: acc["lo"])
 
 
+def render_arm(rendered: Column, mark: str) -> Column:
+    """Whether a prompt went through a chat template (holds its mark) or raw."""
+    return F.when(rendered.contains(mark), "native").otherwise("raw")
+
+
+def template_parts(template: Column) -> tuple[Column, Column]:
+    """Prompt and polarity of a template id ``prompt__polarity``."""
+    parts = F.split(template, "__")
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def true_false(text: Column) -> Column:
+    """1 or 0 for true, false, 1 and 0 in any case; null for anything else."""
+    body = F.lower(text.cast("string"))
+    return F.when(body.isin("true", "1"), 1).when(body.isin("false", "0"), 0)
+
+
+def without_start(text: Column, start: str) -> Column:
+    return F.when(F.startswith(text, F.lit(start)), F.substring(text, F.lit(len(start) + 1), F.length(text))).otherwise(text)
+
+
+def without_seed(name: Column) -> Column:
+    """A trained variant's name without its seed."""
+    return F.regexp_replace(name, r"_seed\d+$", "")
+
+
+def replaced(text: Column, names: dict[str, str]) -> Column:
+    """Each key replaced by its value, one after the other."""
+    return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), names.items(), text)
+
+
+def filled(template: str, **parts: Column) -> Column:
+    """A template with {names} filled in; text that is filled in is not looked at again."""
+    out, rest = [], template
+    while rest:
+        found = [(rest.index("{" + k + "}"), k) for k in parts if "{" + k + "}" in rest]
+        at, key = min(found) if found else (len(rest), None)
+        out.append(F.lit(rest[:at]))
+        if key is not None:
+            out.append(parts[key])
+        rest = rest[at + len(key) + 2 :] if key is not None else ""
+    return F.concat(*out)
+
+
 def first_words(text: Column, n: int) -> Column:
     """The first n words; the stand-in for a cut after n tokens."""
     return F.array_join(F.slice(F.split(strip(text), r"\s+"), 1, n), " ")

@@ -78,3 +78,20 @@ def commitment_metrics(df: DataFrame, judged: str, human: str, by: list[str]) ->
         "overread_rate": ratio(F.col("over"), F.col("no") + F.col("over")),
         "underread_rate": ratio(F.col("under"), F.col("yes") + F.col("under")),
     })
+
+
+def threshold_sweep(df: DataFrame, a: str, b: str, confidence: str, levels: list[float]) -> DataFrame:
+    """Rows kept, accuracy and macro-F1 (over all labels of either side) at each least confidence, levels without rows too.
+
+    A row is counted once by the highest level that it reaches; the counts, not the rows, are then repeated at each
+    level up to it, so a sweep costs one aggregation of the rows whatever the number of levels.
+    """
+    reached = F.array_max(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col(confidence)))
+    counts = df.na.drop(subset=[a, b]).withColumn("_top", reached).filter("_top IS NOT NULL").groupBy("_top", F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    each = counts.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda t: t <= F.col("_top")))).groupBy("threshold", "a", "b").agg(F.sum("n").alias("n"))
+    m = _marginals(each, ["threshold"])
+    f1 = F.coalesce(ratio(2 * F.col("both"), F.col("na") + F.col("nb")), F.lit(0.0))
+    found = m.groupBy("threshold").agg(F.sum("na").alias("retained"), F.sum("both").alias("same"), F.avg(f1).alias("macro_f1"))
+    grid = df.sparkSession.createDataFrame([(x,) for x in levels], "threshold double")
+    out = grid.join(found, "threshold", "left").na.fill(0, ["retained"])
+    return out.select("threshold", "retained", ratio(F.col("same"), F.col("retained")).alias("accuracy"), "macro_f1")

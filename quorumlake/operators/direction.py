@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quorumlake.functions.stats import count_if, ratio, share
-from quorumlake.functions.taxonomy import DIRECTIONAL
+from quorumlake.functions.taxonomy import DIRECTIONAL, POSITION
 from quorumlake.operators.frame import left_aligned, pole
 
 
@@ -90,3 +90,18 @@ def consistency(df: DataFrame, by: list[str]) -> DataFrame:
     wide = df.groupBy(*by, "item_id", "prompt").pivot("polarity", ["orig", "inv"]).agg(F.min("outcome"))
     both = F.col("orig").isin(DIRECTIONAL) & F.col("inv").isin(DIRECTIONAL)
     return wide.filter(both).groupBy(*by).agg(F.count("*").alias("pairs"), share(F.col("orig") != F.col("inv")).alias("consistent"), share((F.col("orig") == "agreement") & (F.col("inv") == "agreement")).alias("agrees_with_both"), share((F.col("orig") == "disagreement") & (F.col("inv") == "disagreement")).alias("disagrees_with_both"))
+
+
+def cut_view(df: DataFrame, cut_outcome: str, by: list[str], length: str = "output_tokens", limit: int = 200) -> DataFrame:
+    """Measures of whole responses and of what they say within ``limit`` tokens (``cut_outcome``), and how labels change.
+
+    Both views are aggregations of the same rows, so nothing is joined.
+    """
+    short = df.withColumn("outcome", F.col(cut_outcome)).withColumns({"truncated": F.col("truncated") | (F.col(length) > limit), "is_position": F.col("outcome").isin(POSITION)})
+    both = df.withColumn("_view", F.lit("whole")).unionByName(short.withColumn("_view", F.lit("cut")))
+    wide = direction_metrics(both, [*by, "_view"]).groupBy(*by)
+    at = lambda view, c: F.max(F.when(F.col("_view") == view, F.col(c)))
+    out = wide.agg(F.max("n").alias("n"), *[at(v, c).alias(f"{c}_{v}") for c in ("truncated_share", "position_rate", "direction_index") for v in ("cut", "whole")])
+    a, b = F.col("outcome"), F.col(cut_outcome)
+    changed = df.groupBy(*by).agg(share(a != b).alias("label_changed_share"), share(a.isin(DIRECTIONAL) & b.isin(DIRECTIONAL) & (a != b)).alias("direction_flip_share"))
+    return out.join(changed, by)

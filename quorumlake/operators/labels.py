@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # What a label sheet may hold.
@@ -80,3 +82,18 @@ def require_resolved(final: DataFrame) -> None:
 def followed(final: Column, a: Column, c: Column) -> Column:
     """Whose label a decision follows."""
     return F.when(final == a, "A").when(final == c, "C").otherwise("third")
+
+
+def routed(key: DataFrame, sheets: dict[str, DataFrame], source: str, on: str, values: list[str]) -> DataFrame:
+    """Each keyed row with the labels of the sheet that its source names; one join, as sheets are told apart by a column."""
+    tagged = [sheet.select(F.lit(name).alias(source), on, *values) for name, sheet in sheets.items()]
+    both = tagged[0]
+    for t in tagged[1:]:
+        both = both.unionByName(t)
+    return key.join(both, [source, on], "left")
+
+
+def require_routed(rows: DataFrame, values: list[str]) -> None:
+    missing = rows.filter(reduce(lambda a, b: a | b, (F.col(v).isNull() for v in values)))
+    if bad := missing.limit(3).collect():
+        raise ValueError(f"rows without a label: {bad}")

@@ -52,3 +52,13 @@ def divergence(df: DataFrame, by: list[str]) -> DataFrame:
     """Per group of pairs: equal texts, first differing character of the others, length difference, equal finish."""
     same = F.col("text_a") == F.col("text_b")
     return df.groupBy(by).agg(F.count("*").alias("n"), share(same).alias("exact_share"), F.median(F.when(~same, F.col("prefix"))).alias("median_prefix"), F.avg(F.abs(F.col("n_chars_a") - F.col("n_chars_b"))).alias("mean_length_gap"), share(F.col("finish_reason_a") == F.col("finish_reason_b")).alias("finish_agree"))
+
+
+def starting_with(df: DataFrame, start: str) -> list[str]:
+    """Names of the columns that begin like this, in their order."""
+    return [c for c in df.columns if c.startswith(start)]
+
+
+def one_of(df: DataFrame, tuples: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``df`` with a flag: whether its key stands among the tuples."""
+    return df.join(tuples.select(on).distinct().withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))

@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from quorumlake.runtime import parallelism
+
 
 def draw(rep: Column, k: Column, n: Column) -> Column:
     """The cluster of draw k in a replicate: 32 hashed bits modulo n. The same in any engine with MD5."""
@@ -26,7 +28,9 @@ def ordinals(clusters: DataFrame, name: str, by: list[str]) -> DataFrame:
 def hash_weights(numbered: DataFrame, reps: int, by: list[str]) -> DataFrame:
     """(by, rep, ordinal, w): how often each cluster is drawn in each replicate."""
     sizes = numbered.groupBy(*by).agg(F.max("clusters").alias("clusters"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1)))
+    reps_ = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    reps_ = reps_.repartition(parallelism(numbered.sparkSession), *by, "rep")  # replicates are drawn side by side, not in the task of their group
+    draws = reps_.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1)))
     return draws.withColumn("ordinal", draw(F.col("rep"), F.col("k"), F.col("clusters"))).groupBy(*by, "rep", "ordinal").agg(F.count("*").alias("w"))
 
 

@@ -10,6 +10,7 @@ from quorumlake.functions import stats as st, text as tx
 from quorumlake.functions.taxonomy import DIRECTIONAL, POSITION
 from quorumlake.operators import agreement as ag, direction as di, frame as fr, labels as lb, paired as pa, resample as rs, sampling as sa, series as se
 from quorumlake.plans import projection as pj
+from quorumlake.runtime import broadcast_if_small
 from quorumlake.sources import stores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,7 +164,8 @@ def request_grid(spark, sf):
     from quorumlake.sources.identity import variant_id
 
     r = pj.records(spark, sf)
-    grid = r.select("item_id").distinct().crossJoin(r.select("polarity").distinct()).crossJoin(r.select("prompt").distinct())
+    few = lambda c: broadcast_if_small(r.select(c).distinct(), 100)
+    grid = r.select("item_id").distinct().crossJoin(few("polarity")).crossJoin(few("prompt"))
     parts = [F.col(c) for c in ("item_id", "polarity", "prompt")]
     return grid.select("item_id", F.sha2(F.concat_ws("|", *parts), 256).alias("prompt_hash"), variant_id(F.col("item_id"), F.col("polarity"), *parts).alias("variant_id"))
 
@@ -421,15 +423,12 @@ def melt_evaluators(spark, sf):
     return long.select("cache_key", "evaluator", F.when(F.col("outcome").isin(POSITION), "position").otherwise("none").alias("reading"))
 
 
-@query("""SELECT t.t AS threshold, CAST(count(*) FILTER (WHERE c >= t.t) AS BIGINT) AS retained, round(count(*) FILTER (WHERE c >= t.t AND outcome = human) / nullif(count(*) FILTER (WHERE c >= t.t), 0), 6) AS accuracy
-  FROM (SELECT *, doc_id % 100 / 100 AS c FROM hf WHERE evaluator = 'e1') CROSS JOIN (SELECT unnest(range(0, 10)) / 10 AS t) t GROUP BY t.t""", H_)
+@query(""", x AS (SELECT outcome, human, doc_id % 100 / 100 AS c FROM hf WHERE evaluator = 'e1'), t AS (SELECT unnest(range(0, 10)) / 10 AS t), k AS (SELECT t, outcome, human FROM t JOIN x ON c >= t),
+l AS (SELECT t, outcome AS label, 1 AS na, 0 AS nb, CAST(outcome = human AS INT) AS s FROM k UNION ALL SELECT t, human, 0, 1, 0 FROM k), m AS (SELECT t, avg(2 * s / (na + nb)) AS f1 FROM (SELECT t, label, sum(na) AS na, sum(nb) AS nb, sum(s) AS s FROM l GROUP BY ALL) GROUP BY t)
+SELECT t.t AS threshold, CAST(count(k.t) AS BIGINT) AS retained, round(count(*) FILTER (WHERE outcome = human) / nullif(count(k.t), 0), 6) AS accuracy, round(any_value(f1), 6) AS macro_f1 FROM t LEFT JOIN k USING (t) LEFT JOIN m USING (t) GROUP BY t.t""", H_)
 def threshold_sweep(spark, sf):
-    """One aggregation: each row counts at every threshold that it reaches."""
     r = pj.rated(spark, sf).filter("evaluator = 'e1'").withColumn("c", F.col("doc_id") % 100 / 100)
-    reached = F.filter(F.array(*[F.lit(i / 10) for i in range(10)]), lambda t: t <= F.col("c"))
-    k = r.withColumn("threshold", F.explode(reached)).groupBy("threshold").agg(F.count("*").alias("retained"), F.avg((F.col("outcome") == F.col("human")).cast("int")).alias("accuracy"))
-    grid = spark.createDataFrame([(i / 10,) for i in range(10)], "threshold double")
-    return rounded(grid.join(k, "threshold", "left").na.fill(0, ["retained"]).select("threshold", "retained", "accuracy"))
+    return rounded(ag.threshold_sweep(r, "outcome", "human", "c", [i / 10 for i in range(10)]))
 
 
 @query("""SELECT min(m) AS month, round(arg_min(v, m), 4) AS value FROM (SELECT *, lag(v) OVER (ORDER BY m) AS p, first_value(v) OVER w AS a, last_value(v) OVER w AS z FROM (SELECT strftime(o_orderdate, '%Y-%m') AS m, avg(o_totalprice) AS v FROM orders GROUP BY 1) WINDOW w AS (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE p IS NOT NULL AND v >= a + 0.5 * (z - a) AND v >= p - 0.02""")

@@ -43,3 +43,11 @@ def export(df: DataFrame, base: str, formats: tuple[str, ...] = ("csv", "parquet
             raise ValueError(f"no such format: {kind}")
         out[kind] = path
     return out
+
+
+def report(title: str, sections: dict[str, DataFrame | str]) -> str:
+    """A Markdown report: a heading and a table, or a paragraph, for each section."""
+    parts = [f"# {title}\n"]
+    for name, body in sections.items():
+        parts.append(f"## {name}\n\n{body.strip() if isinstance(body, str) else markdown(body).strip()}\n")
+    return "\n".join(parts)

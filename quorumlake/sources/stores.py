@@ -73,10 +73,12 @@ def append_idempotent(rows: DataFrame, path: str, schema: str | T.StructType = E
 
 
 def last_wins(rows: DataFrame, on: list[str], *order: str) -> DataFrame:
-    """One row a key: the one that comes last. A maximum over a struct, so partial aggregates do most of the work."""
-    rest = [c for c in rows.columns if c not in on and c not in order]
-    top = F.max(F.struct(*order, *rest)).alias("_top")
-    return rows.groupBy(on).agg(top).select(*on, *[F.col("_top")[c].alias(c) for c in (*order, *rest)]).select(rows.columns)
+    """One row a key: the one that comes last by ``order``, of ties the one appended last (by file and place in it, as the
+    store is read). Only ``order`` is compared, so any column type goes; partial aggregates do most of the work."""
+    rest = [c for c in rows.columns if c not in on]
+    seq = F.monotonically_increasing_id()
+    top = F.max_by(F.struct(*rest), F.struct(*order, "_seq")).alias("_top")
+    return rows.withColumn("_seq", seq).groupBy(on).agg(top).select(*on, *[F.col("_top")[c].alias(c) for c in rest]).select(rows.columns)
 
 
 def union(*stores: DataFrame) -> DataFrame:
@@ -129,9 +131,10 @@ def folder_digest(spark: SparkSession, path: str) -> str:
 
 def item_bank(spark: SparkSession, path: str, label: str = "topic_label_human", first: int | None = None) -> DataFrame:
     """Rows of the item bank whose label isn't the text 'na', in file order; the first n of them if asked."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).withColumn("ordinal", F.monotonically_increasing_id())
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = rows.withColumns({"file": F.col("_metadata.file_path"), "ordinal": F.monotonically_increasing_id()})  # a file of several lines a row is read whole
     kept = rows.filter(F.coalesce(F.col(label), F.lit("")) != "na")
-    return kept.orderBy("ordinal").limit(first) if first is not None else kept
+    return kept.orderBy("file", "ordinal").limit(first).drop("file") if first is not None else kept.drop("file")
 
 
 def row_numbers(rows: DataFrame, *order: str) -> DataFrame:

@@ -377,3 +377,50 @@ def test_imports_are_never_replaced(spark, tmp_path):
 def test_sample_outside(spark):
     got = {r.id for r in sampling.outside(spark.range(20), spark.range(15), "id", 3).collect()}
     assert len(got) == 3 and min(got) >= 15
+
+
+def test_missing_requests_are_generated_once(spark):
+    from quorumlake.operators import scorers
+
+    requests = spark.createDataFrame([("a", "one two three four"), ("a", "one two three four"), ("b", "x"), ("c", "y")], "request_key string, prompt string")
+    known = spark.createDataFrame([("b",)], "request_key string")
+    got = scorers.generate_missing(scorers.EchoBackend(), requests, known).collect()
+    assert sorted((r.request_key, r.raw_text) for r in got) == [("a", "one two three"), ("c", "y")]
+
+
+def test_last_wins_takes_maps_and_the_last_of_ties(spark):
+    from pyspark.sql import functions as F
+
+    from quorumlake.sources import stores
+
+    rows = spark.createDataFrame([("k", 1, {"a": "1"}), ("k", 2, {"b": "z"}), ("k", 2, {"c": "a"}), ("j", None, {})], "key string, at int, m map<string,string>").coalesce(1)
+    got = {r.key: r.m for r in stores.last_wins(rows, ["key"], "at").collect()}
+    assert got == {"k": {"c": "a"}, "j": {}}
+    assert stores.last_wins(rows.filter(F.lit(False)), ["key"], "at").count() == 0
+
+
+def test_exact_test_of_many_discordant_pairs(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from quorumlake.functions import stats
+
+    rows = spark.createDataFrame([(0, 0), (3, 9), (40_000, 40_500), (0, 2000)], "a long, b long")
+    got = [r.p for r in rows.select(stats.mcnemar(F.col("a"), F.col("b")).alias("p")).collect()]
+    exact = lambda a, b: min(1.0, 2 * sum(math.comb(a + b, k) for k in range(min(a, b) + 1)) / 2 ** (a + b))
+    assert got[0] == 1.0 and abs(got[1] - exact(3, 9)) < 1e-12 and 0.07 < got[2] < 0.09 and got[3] == 0.0
+
+
+def test_templates_names_and_reports(spark):
+    from pyspark.sql import functions as F
+
+    from quorumlake.functions import text as tx
+    from quorumlake.operators import labels, paired
+    from quorumlake.sources import export
+
+    t = spark.createDataFrame([("{y} is {q}", "no")], "q string, y string")
+    assert t.select(tx.filled("Q {q} A {y} {z}", q=F.col("q"), y=F.col("y"))).first()[0] == "Q {y} is {q} A no {z}"
+    assert "## One\n\n| q | y |" in export.report("T", {"One": t, "Two": "text"}) and paired.starting_with(t, "q") == ["q"]
+    with pytest.raises(ValueError):
+        labels.require_routed(t.withColumn("relation", F.lit(None).cast("string")), ["relation"])
