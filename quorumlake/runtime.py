@@ -29,7 +29,19 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing will read again; other tables are left alone."""
+    for table in tables:
+        path = getattr(table, "__dict__", {}).get("_scratch_path")
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def free_name(name: str, df: DataFrame) -> str:
@@ -51,8 +63,10 @@ def broadcast_if_small(df: DataFrame, width: int, max_mb: int = 48) -> DataFrame
     return F.broadcast(df) if few else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small; a batch is held several times over by the JVM and by Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 26) -> None:
+    """Keep Arrow batches of whole texts small, by rows and by bytes; a batch is held several times over by the JVM and by
+    Python. The session's settings are lowered for good, as plans are lazy and read them when they run."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
