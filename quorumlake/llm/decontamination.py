@@ -29,7 +29,7 @@ COSINE, LCS, ANSWER = 0.25, 0.6, 0.5
 RANK, OVERSAMPLE, NONZEROS, REST = 64, 8, 4, 4096
 MAX_SHARE, RARE, SELDOM = 0.05, 1e-4, 0.01
 ITEM_BLOCK, ITEM_CHARS = 50_000, 20_000_000
-CELLS, BLOCK_BYTES, ITEM_STEP = 1 << 21, 1 << 19, 256
+CELLS, BLOCK_BYTES, TARGET_STEP = 1 << 17, 1 << 19, 1024
 LEADING = 18
 
 
@@ -155,20 +155,15 @@ class Passages:
             lo = hi
         return out
 
-    def shared(self, starts: np.ndarray, items: np.ndarray, a: int, b: int) -> np.ndarray:
-        """How many words of the items a to b each unit and all before it hold, seldom words only."""
+    def shared(self, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Where the items' seldom words stand: item times number of units plus unit, sorted."""
         known = np.flatnonzero(self.dim < len(starts) - 1)
         word = self.dim[known]
         many = starts[word + 1] - starts[word]
         pick = many > 0
         known, word, many = known[pick], word[pick], many[pick]
         item = items[np.repeat(starts[word] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        unit = np.repeat(self.unit_of(known), many)
-        pick = (item >= a) & (item < b)
-        cell = np.bincount(unit[pick] * (b - a) + item[pick] - a, minlength=self.units * (b - a)).reshape(-1, b - a)
-        out = np.zeros((self.units + 1, b - a), dtype=np.int32)
-        np.cumsum(cell, axis=0, out=out[1:])
-        return out
+        return np.sort(item * self.units + np.repeat(self.unit_of(known), many))
 
     def paired(self, values: np.ndarray, gap: int) -> np.ndarray:
         """Sums over each unit and the one ``gap`` after it, where that is of the same row."""
@@ -349,19 +344,25 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
                 first_unit = p.unit_first[p.unit_row]
                 end_unit = np.append(p.unit_first[1:], p.units)[p.unit_row]
-                for a in range(0, len(items.words), ITEM_STEP):
-                    b = min(len(items.words), a + ITEM_STEP)
-                    target = np.flatnonzero((items.owner >= a) & (items.owner < b))
-                    shared = p.shared(starts, posted, a, b)
-                    step = max(1, CELLS // len(target))
+                seen = p.shared(starts, posted)
+                for a in range(0, len(targets), TARGET_STEP):
+                    block = targets[a : a + TARGET_STEP]
+                    i0, i1 = int(items.owner[a]), int(items.owner[a + len(block) - 1]) + 1
+                    own = seen[slice(*np.searchsorted(seen, [i0 * p.units, i1 * p.units]))]
+                    cells = (p.units >> 3) + 1  # of 8 units: a first bound without a search
+                    coarse = np.bincount((own // p.units - i0) * cells + (own % p.units >> 3), minlength=(i1 - i0) * cells).reshape(-1, cells)
+                    coarse = np.concatenate([np.zeros((i1 - i0, 1), dtype=np.int64), np.cumsum(coarse, axis=1)], axis=1)
+                    step = max(1, CELLS // len(block))
                     pairs: dict[tuple[int, int], float] = {}
                     for u in range(0, p.units, step):
-                        score = vectors[u : u + step] @ targets[target].T
-                        window, t = np.nonzero(score >= cosine)
-                        item, score, window = items.owner[target[t]], score[window, t], window + u
+                        score = vectors[u : u + step] @ block.T
+                        window, t = np.divmod(np.flatnonzero(score >= cosine), len(block))
+                        item, score, window = items.owner[a + t], score[window, t], window + u
                         left = np.maximum(first_unit[window], window - reach[item])
                         right = np.minimum(end_unit[window], window + WINDOW // UNIT + reach[item])
-                        enough = shared[right, item - a] - shared[left, item - a] >= needed[item]
+                        may = np.flatnonzero(coarse[item - i0, (right + 7) >> 3] - coarse[item - i0, left >> 3] >= needed[item])
+                        item, score, window, left, right = (x[may] for x in (item, score, window, left, right))
+                        enough = np.searchsorted(seen, item * p.units + right) - np.searchsorted(seen, item * p.units + left) >= needed[item]
                         for i, j, c in zip(window[enough].tolist(), item[enough].tolist(), score[enough].tolist(), strict=True):
                             pairs[i, j] = max(c, pairs.get((i, j), -1.0))
                     for (i, j), c in pairs.items():
