@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import U64, Prefix, binary, blocks, framed, mix, ngrams, pack_sorted, release, row_sets, runs, space_table, unframed, unpack_sorted, words
 from quorumlake.llm.components import components
-from quorumlake.runtime import broadcast_if_small, materialize, parallelism, small_batches
+from quorumlake.runtime import broadcast_if_small, discard, materialize, parallelism, small_batches
 
 SEEDS = 3  # partitions tried; the last one indexes all segments
 TILE_SETS, TILE_VALUES = 20_000, 4_000_000
 STAR_SETS, STAR_VALUES = 2_000, 1_000_000  # of one centre in one task
 FLUSH = 1_000_000
+LEAST_BUCKETS = 64
 BANDS, BINS = 4, 3  # near copies are tried by 4 keys of 3 minima
 NODE = "struct<k1:bigint,k2:bigint>"
 SENT = "bucket long, g long, kind long, k1 long, k2 long, data binary"
@@ -332,7 +333,7 @@ def _near_copies(base: DataFrame, sets: DataFrame, num: int, den: int, n: int) -
     one = F.struct("k1", "k2", "rk", "n")
     keyed = sets.select(one.alias("s"), F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("i", "key"))
     centers = keyed.groupBy("i", "key").agg(F.min("s").alias("c"), F.count("*").alias("many")).filter("many > 1").drop("many")
-    edges = materialize(keyed.join(centers, ["i", "key"]).filter("s <> c").select("c", "s").distinct(), "stars")
+    edges = stars = materialize(keyed.join(centers, ["i", "key"]).filter("s <> c").select("c", "s").distinct(), "stars")
     total = edges.agg(F.sum("s.n")).first()[0]
     if not total:
         return None
@@ -343,12 +344,15 @@ def _near_copies(base: DataFrame, sets: DataFrame, num: int, den: int, n: int) -
     ends = edges.select("s.rk", "s.k1", "s.k2", "g", F.lit(0).cast("long").alias("kind")).unionByName(edges.select("c.rk", "c.k1", "c.k2", "g", F.lit(1).cast("long").alias("kind")).distinct())
     needed = materialize(ends.groupBy("rk", "k1", "k2").agg(F.collect_list(F.struct("g", "kind")).alias("to")), "ends")
     buckets = max(parallelism(base.sparkSession), math.ceil(2 * total / TILE_VALUES))
-    return materialize(_compared(_fetched(base, needed, n, buckets), num, den), "links")
+    links = materialize(_compared(_fetched(base, needed, n, buckets), num, den), "links")
+    discard(stars, needed)
+    return links
 
 
 def _contested(base: DataFrame, classes: DataFrame, bands: Bands, n: int, total: int) -> DataFrame:
     """Candidate classes: (u, v) edges of forests over classes that share a signature. ``classes``: rk, cls of rows that aren't a class of their own."""
-    buckets = max(parallelism(base.sparkSession), math.ceil(total / 2_000_000))
+    # from the data alone: a class that meets others by many signatures is named once a bucket, on any cluster alike
+    buckets = max(LEAST_BUCKETS, math.ceil(total / 2_000_000))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held, many = Shingler(n), [], 0
@@ -441,6 +445,7 @@ def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc
     several = labelled.filter("root <> node").select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), F.col("root.k1").alias("cls"))
     exceptions = materialize(rows.join(several, ["k1", "k2"]).select("rk", "cls").distinct(), "exceptions")
     candidates = components(_contested(base, exceptions, Bands(num, den, int(facts["largest"])), n, facts["total"]))
+    discard(exceptions)
     members = materialize(labelled.withColumn("cls", F.col("root.k1")).join(candidates.select(F.col("node").alias("cls"), F.col("root").alias("together")), "cls").select("node", "rk", "n", "cls", "together"), "members")
     weight = members.groupBy("together").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_VALUES)).alias("tiles"))
     mine = F.pmod(F.col("node.k2"), F.col("tiles"))
@@ -450,6 +455,7 @@ def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc
     if moved:
         buckets = max(parallelism(spark), math.ceil(moved / TILE_VALUES))
         links = materialize(_compared(_fetched(base, needed.drop("n"), n, buckets), num, den), "links")
+        discard(members, needed)
         found = components(labelled.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(links))
         labelled = labelled.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     named = labelled.select("node.k1", "node.k2", F.col("root").alias("component"))
