@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.blocks import flat
-from quorumlake.runtime import materialize, small_batches
+from quorumlake.runtime import discard, materialize, small_batches
 
 SEQUENCE, END_ID = 1024, 2
 
@@ -182,9 +182,12 @@ def pack(pieces: DataFrame, capacity: int = SEQUENCE, items: int = 100_000, leas
         made = again.select("sequence_id").distinct().count()
         done += 1
         if made >= freed["b"]:
+            discard(marked, again)
             break
         gain = freed["b"] - made
+        before = packed
         packed, bins = materialize(marked.filter("NOT _free").drop("_free").unionByName(again), "packed"), bins - gain
+        discard(before, marked, again)
     return whole.unionByName(packed.select(names)), {"bins": bins + full, "bound": bound, "rounds": done}
 
 

@@ -196,33 +196,8 @@ def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
-def op2_stupid_backoff_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same at order 2; a query of its own, which says nothing about the limits of order 3."""
-    return _rounded(stupid_backoff(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2))
-
-
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-t AS (SELECT doc_id, i, ws[i] AS a, ws[i - 1] AS b FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
-n AS (SELECT count(*) AS n FROM t),
-l AS (SELECT doc_id, count(*) AS n_words FROM t GROUP BY 1),
-o1 AS (SELECT doc_id, a, count(*) AS k FROM t GROUP BY ALL), c1 AS (SELECT a, sum(k) AS k FROM o1 GROUP BY ALL),
-o2 AS (SELECT doc_id, b, a, count(*) AS k FROM t WHERE i > 1 GROUP BY ALL), c2 AS (SELECT b, a, sum(k) AS k FROM o2 GROUP BY ALL),
-x1 AS (SELECT o1.doc_id, o1.a, c1.k - o1.k AS k FROM o1 JOIN c1 USING (a)),
-x2 AS (SELECT o2.doc_id, o2.b, o2.a, c2.k - o2.k AS k FROM o2 JOIN c2 USING (b, a)),
-s AS (SELECT t.doc_id, least(t.i, 2) AS longest, x2.k AS k2, h1.k AS h1, x1.k AS k1, n.n - l.n_words AS rest
-  FROM t CROSS JOIN n JOIN l ON l.doc_id = t.doc_id
-  LEFT JOIN x2 ON t.i > 1 AND x2.doc_id = t.doc_id AND x2.b = t.b AND x2.a = t.a
-  LEFT JOIN x1 h1 ON t.i > 1 AND h1.doc_id = t.doc_id AND h1.a = t.b
-  JOIN x1 ON x1.doc_id = t.doc_id AND x1.a = t.a),
-g AS (SELECT doc_id, CASE WHEN k2 > 0 THEN log10(k2 / h1) + log10(0.4) * (longest - 2)
-  WHEN k1 > 0 THEN log10(k1 / rest) + log10(0.4) * (longest - 1) ELSE log10(0.4) * longest - log10(rest + 1) END AS s FROM s),
-r AS (SELECT doc_id, sum(s) AS s, count(*) AS n FROM g GROUP BY 1)
-SELECT d.doc_id, CAST(coalesce(r.n, 0) AS BIGINT) AS n_words, round(coalesce(r.s, 0.0), 4) AS log10_score, round(r.s / r.n, 6) AS log10_per_word FROM d LEFT JOIN r ON r.doc_id = d.doc_id
-"""
-
-OP2_ORDER3_SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 t AS (SELECT doc_id, i, ws[i] AS a, ws[i - 1] AS b, ws[i - 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
 n AS (SELECT count(*) AS n FROM t),
 l AS (SELECT doc_id, count(*) AS n_words FROM t GROUP BY 1),

@@ -648,6 +648,23 @@ def test_jump_hash_moves_only_into_the_new_shard():
     assert np.bincount(a).min() > 1000
 
 
+def plain_jump(key, n):
+    """The published loop, on Python's integers."""
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_shards_equal_the_published_loop(spark):
+    docs = corpus(spark, [(i * 13 - 500, "x") for i in range(400)] + [(None, "y")])
+    for r in sharding.assign(docs, 16).collect():
+        key = 42 if r.doc_id is None else xxhash.xxh64_intdigest(str(r.doc_id).encode(), seed=42)
+        assert (r.shard, r.grown_shard) == (plain_jump(key, 16), plain_jump(key, 17))
+
+
 # 10
 
 
