@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.decontamination import contaminated
@@ -11,7 +9,7 @@ from quorumlake.llm.jaccard import row_key, similar_sets
 from quorumlake.llm.language import UNDETERMINED, fit, predict
 from quorumlake.llm.lines import drop_boilerplate
 from quorumlake.llm.packing import pack, tokenized
-from quorumlake.runtime import broadcast_if_small, free_name, materialize, scratch_dir
+from quorumlake.runtime import broadcast_if_small, discard, free_name, materialize
 
 LEAST_SCORE = 0.5
 
@@ -84,8 +82,8 @@ ORACLE_SQL = None  # language ID, latent search and packing can't be written in
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        path = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        out = materialize(stage(spark, docs, sf_dir), "stage")
+        discard(docs)  # a later stage reads the last table only
+        docs = out
     return docs
