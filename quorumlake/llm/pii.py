@@ -169,12 +169,11 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     own (their contexts count once); an empty table gives an empty one; other columns are left out.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    spotted = materialize(base.withColumn("_found", pattern_spans(F.col("_text"))), "spans")
+    spotted = base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_found", pattern_spans(F.col("_text")))
+    spotted = materialize(spotted, "spans")  # once, ids and all
     strong = revealing(spotted, residual)
     more = F.array().cast(SPAN)
     if strong is not None:
-        spotted = spotted.withColumn("_rid", F.monotonically_increasing_id())
-        spotted = materialize(spotted, "spans")
         strong = broadcast_if_small(materialize(strong.select("term").distinct(), "strong"), 60)
         terms = spotted.select("_rid", F.explode(_terms(F.col("_text"))).alias("term")).join(strong, "term").groupBy("_rid").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
         spotted = spotted.join(broadcast_if_small(materialize(terms, "terms"), 200), "_rid", "left")
