@@ -120,15 +120,16 @@ class Passages:
         self.units = int(per_row.sum())
         self.unit_row = np.repeat(np.arange(rows), per_row)
         self.unit_place = np.arange(self.units) - self.unit_first[self.unit_row]
-        self.unit_start = np.flatnonzero(place % UNIT == 0)  # every unit has a word
+        self.unit = np.cumsum(place & (UNIT - 1) == 0) - 1  # every unit has a word
         # a first look by the leading bits of a hash settles most words that are not in the vocabulary
         maybe = np.flatnonzero(leading[(self.hashes >> U64(64 - LEADING)).astype(np.int64)])
         at = np.minimum(np.searchsorted(vocabulary, self.hashes[maybe]), max(0, len(vocabulary) - 1))
         found = vocabulary[at] == self.hashes[maybe] if len(vocabulary) else np.zeros(0, dtype=bool)
-        self.dim = len(vocabulary) + (self.hashes % U64(REST)).astype(np.int64)
+        self.dim = len(vocabulary) + (self.hashes & U64(REST - 1)).astype(np.int64)
         self.sign = np.where(self.hashes >> U64(63), np.float32(1), np.float32(-1))
         self.dim[maybe[found]] = at[found]
         self.sign[maybe[found]] = 1
+        self.known = self.dim < len(vocabulary)
 
     def weighed(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words that weigh, and their values."""
@@ -136,14 +137,13 @@ class Passages:
         at = np.flatnonzero(value)
         return at, value[at]
 
-    def unit_of(self, at: np.ndarray) -> np.ndarray:
-        return self.unit_first[self.row[at]] + (at - self.first[self.row[at]]) // UNIT
-
-    def projected(self, basis: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """The units' vectors times ``basis``, some words at a time."""
+    def projected(self, basis: np.ndarray, weights: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """The vectors of the units that are alive times ``basis``, some words at a time."""
         out = np.zeros((self.units, basis.shape[1]), dtype=np.float32)
         at, value = self.weighed(weights)
-        dim, unit = self.dim[at], self.unit_of(at)
+        pick = alive[self.unit[at]]
+        at, value = at[pick], value[pick]
+        dim, unit = self.dim[at], self.unit[at]
         step = max(1, CELLS // max(1, basis.shape[1]))
         lo = 0
         while lo < len(at):
@@ -155,23 +155,32 @@ class Passages:
             lo = hi
         return out
 
+    def alive(self, seen: np.ndarray, needed: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Windows whose surroundings may hold as many seldom words as some item needs, by counts of cells of 8 units: from
+        the first cell of a window's surroundings that has a word on, the cells of that width must hold enough."""
+        if (needed <= 0).any():
+            return np.ones(self.units, dtype=bool)
+        cells = (self.units >> 3) + 1
+        key, many = np.unique(seen // self.units * cells + (seen % self.units >> 3), return_counts=True)
+        total = np.concatenate([[0], np.cumsum(many)])
+        item, cell = np.divmod(key, cells)
+        last = np.minimum(cell + (2 + 2 * reach[item] + 7) // 8 + 1, cells - 1)
+        enough = total[np.searchsorted(key, item * cells + last, side="right")] - total[:-1] >= needed[item]
+        first, width = 8 * cell[enough], reach[item[enough]] + 2
+        mark = np.zeros(self.units + 1, dtype=np.int64)
+        np.add.at(mark, np.clip(first - width, 0, self.units), 1)
+        np.add.at(mark, np.clip(first + 8 + width, 0, self.units), -1)
+        return np.cumsum(mark[:-1]) > 0
+
     def shared(self, starts: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Where the items' seldom words stand: item times number of units plus unit, sorted."""
-        known = np.flatnonzero(self.dim < len(starts) - 1)
+        known = np.flatnonzero(self.known)
         word = self.dim[known]
         many = starts[word + 1] - starts[word]
         pick = many > 0
         known, word, many = known[pick], word[pick], many[pick]
         item = items[np.repeat(starts[word] - np.cumsum(many) + many, many) + np.arange(many.sum())]
-        return np.sort(item * self.units + np.repeat(self.unit_of(known), many))
-
-    def paired(self, values: np.ndarray, gap: int) -> np.ndarray:
-        """Sums over each unit and the one ``gap`` after it, where that is of the same row."""
-        out = values.copy()
-        if len(values) > gap:
-            same = self.unit_row[gap:] == self.unit_row[:-gap]
-            out[:-gap][same] += values[gap:][same]
-        return out
+        return np.sort(item * self.units + np.repeat(self.unit[known], many))
 
 
 def common(region: np.ndarray, masks: dict[int, int], n: int) -> int:
@@ -290,13 +299,13 @@ def _span(base: DataFrame, items: Items, rank: int) -> None:
                     continue
                 # passages side by side: each word once
                 at, value = p.weighed(weights)
-                dim, passage = p.dim[at], (np.cumsum(p.unit_place % (PASSAGE // UNIT) == 0) - 1)[p.unit_of(at)]
+                dim, passage = p.dim[at], (np.cumsum(p.unit_place % (PASSAGE // UNIT) == 0) - 1)[p.unit[at]]
                 first = range(int(passage[-1]) + 1 if len(passage) else 0)
                 norm = np.sqrt(np.bincount(passage, weights=value.astype(np.float64) ** 2, minlength=len(first)))
                 value = value / np.where(norm > 0, norm, 1)[passage].astype(np.float32)
                 product = sum(np.bincount(passage * columns + column[k][dim], weights=value * sign[k][dim], minlength=len(first) * columns) for k in range(NONZEROS))
                 product = product.reshape(-1, columns).astype(np.float32)
-                order = np.argsort(dim, kind="stable")
+                order = np.argsort(dim.astype(np.uint16) if size < 1 << 16 else dim, kind="stable")  # short keys sort in linear time
                 dim, value, passage = dim[order], value[order], passage[order]
                 step = CELLS // columns
                 for lo in range(0, len(dim), step):
@@ -340,11 +349,20 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
                 p = Passages(data, offsets, prefix, separator, items.vocabulary, leading)
                 if not p.units or not items.basis.shape[1]:
                     continue
-                vectors = p.paired(p.projected(items.basis, items.weights), 1)
+                seen = p.shared(starts, posted)
+                alive = p.alive(seen, needed, reach)
+                at = np.flatnonzero(alive)
+                if not len(at):
+                    continue
+                alive[1:] |= alive[:-1].copy()  # a window is a unit and the one after it
+                units = p.projected(items.basis, items.weights, alive)
+                after = at[:-1] if at[-1] == p.units - 1 else at
+                after = after[p.unit_row[after + 1] == p.unit_row[after]]
+                vectors = units[at]
+                vectors[np.searchsorted(at, after)] += units[after + 1]
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
                 first_unit = p.unit_first[p.unit_row]
                 end_unit = np.append(p.unit_first[1:], p.units)[p.unit_row]
-                seen = p.shared(starts, posted)
                 for a in range(0, len(targets), TARGET_STEP):
                     block = targets[a : a + TARGET_STEP]
                     i0, i1 = int(items.owner[a]), int(items.owner[a + len(block) - 1]) + 1
@@ -354,10 +372,10 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
                     coarse = np.concatenate([np.zeros((i1 - i0, 1), dtype=np.int64), np.cumsum(coarse, axis=1)], axis=1)
                     step = max(1, CELLS // len(block))
                     pairs: dict[tuple[int, int], float] = {}
-                    for u in range(0, p.units, step):
+                    for u in range(0, len(at), step):
                         score = vectors[u : u + step] @ block.T
                         window, t = np.divmod(np.flatnonzero(score >= cosine), len(block))
-                        item, score, window = items.owner[a + t], score[window, t], window + u
+                        item, score, window = items.owner[a + t], score[window, t], at[window + u]
                         left = np.maximum(first_unit[window], window - reach[item])
                         right = np.minimum(end_unit[window], window + WINDOW // UNIT + reach[item])
                         may = np.flatnonzero(coarse[item - i0, (right + 7) >> 3] - coarse[item - i0, left >> 3] >= needed[item])
@@ -369,7 +387,7 @@ def _search(base: DataFrame, items: Items, schema: str, cosine: float, lcs: floa
                         row, n = int(p.unit_row[i]), int(n_words[j])
                         left = int(p.first[row] + (max(first_unit[i], i - reach[j]) - first_unit[i]) * UNIT)
                         right = min(int(p.first[row] + p.length[row]), int(p.first[row] + (i + WINDOW // UNIT + reach[j] - first_unit[i]) * UNIT))
-                        region = p.hashes[left:right]
+                        region = p.hashes[left:right][p.known[left:right]]  # other words are in no item
                         share = common(region, masks[j], n) / n
                         if share < lcs:
                             continue
