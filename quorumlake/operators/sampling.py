@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quorumlake.operators.ordering import numbered
+from quorumlake.runtime import free_name, materialize
+
 
 def hash_order(key: Column, seed: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), key.cast("string")), 256)
@@ -25,14 +28,25 @@ def by_stratum(df: DataFrame, stratum: str, census: list[str], cluster: str, n:
 
 
 def quotas(df: DataFrame, strata: list[tuple[str, Column, int]], spread: list[str], key: str, seed: str = "0") -> DataFrame:
-    """Strata filled in order, without replacement, each spread evenly over cells. One small step per stratum."""
-    taken, left = None, df
-    for name, condition, n in strata:
+    """Strata filled in order, without replacement, each spread evenly over cells.
+
+    One scan of ``df``, whatever the number of strata: no more keys are ever taken than all quotas together, so of the rows of
+    a cell that meet the same conditions, those of so many first keys in hash order are enough. Each task keeps no more of them
+    either. The strata are then filled from this table, whose size follows the quotas and cells, not ``df``.
+    """
+    total = sum(n for _, _, n in strata)
+    met, first = free_name("_met", df), free_name("_first", df)
+    marks = F.concat(*[F.when(F.coalesce(c, F.lit(False)), "1").otherwise("0") for _, c, _ in strata])
+    alike = W.partitionBy(*spread, met).orderBy(hash_order(F.col(key), seed))
+    ranked = df.withColumn(met, marks).filter(F.col(met).contains("1")).withColumn(first, F.dense_rank().over(alike))
+    left = candidates = materialize(ranked.filter(F.col(first) <= total).drop(first), "candidates")
+    taken = None
+    for k, (name, _, n) in enumerate(strata):
         cell = W.partitionBy(*spread).orderBy(hash_order(F.col(key), seed))
-        ranked = left.filter(condition).withColumn("_rank", F.row_number().over(cell))
-        got = ranked.orderBy("_rank", hash_order(F.col(key), seed)).limit(n).drop("_rank").withColumn("stratum", F.lit(name))
+        place = left.filter(F.substring(met, k + 1, 1) == "1").withColumn("_rank", F.row_number().over(cell))
+        got = materialize(place.orderBy("_rank", hash_order(F.col(key), seed)).limit(n).drop("_rank", met).withColumn("stratum", F.lit(name)), "stratum")
         taken = got if taken is None else taken.unionByName(got)
-        left = left.join(got.select(key), key, "left_anti")
+        left = candidates.join(taken.select(key), key, "left_anti")
     return taken
 
 
@@ -43,9 +57,9 @@ def outside(df: DataFrame, taken: DataFrame, key: str, n: int, seed: str = "0")
 
 
 def shuffled(df: DataFrame, key: str, seed: str = "0", prefix: str = "L") -> DataFrame:
-    """Rows with ids in shuffled order (``L001`` and on); for drawn samples, not for whole corpora."""
-    w = W.orderBy(hash_order(F.col(key), seed))
-    return df.withColumn("sample_id", F.format_string(f"{prefix}%03d", F.row_number().over(w)))
+    """Rows with ids in shuffled order (``L001`` and on); numbers go by ranges of the order, so any number of rows will do."""
+    ids = numbered(df, hash_order(F.col(key), seed), key, name=(n := free_name("_n", df)))
+    return ids.withColumn("sample_id", F.format_string(f"{prefix}%03d", F.col(n))).drop(n)
 
 
 def wrong_label(label: Column, labels: list[str], key: Column, seed: str = "0") -> Column:

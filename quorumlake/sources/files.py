@@ -53,7 +53,7 @@ def eval_curves(spark: SparkSession, folder: str, tasks: dict[str, dict[str, str
 
 def digest(spark: SparkSession, path: str) -> str | None:
     """The file's SHA-256, or null if there is none."""
-    fs, at = _file(spark, path)
+    fs, at = at_path(spark, path)
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0] if fs.exists(at) else None
 
 
@@ -66,7 +66,7 @@ def import_once(spark: SparkSession, artifact: str, source: str, target: str, lo
         if old != new:
             raise FrozenFile(f"{target} has other content; imported files are never replaced")
         return False
-    (fs_a, a), (fs_b, b) = _file(spark, source), _file(spark, target)
+    (fs_a, a), (fs_b, b) = at_path(spark, source), at_path(spark, target)
     spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs_a, a, fs_b, b, False, False, spark._jsc.hadoopConfiguration())
     stem = lambda p: p.rsplit("/", 1)[-1]
     row = spark.range(1).select(F.lit(artifact).alias("artifact"), F.lit(stem(source)).alias("source_filename"), F.lit(stem(target)).alias("stored_as"), F.lit(new).alias("sha256"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("imported_utc"))
@@ -79,6 +79,7 @@ def append_run(rows: DataFrame, log: str) -> None:
     rows.coalesce(1).write.mode("append").json(log)
 
 
-def _file(spark: SparkSession, path: str):  # noqa: ANN202
+def at_path(spark: SparkSession, path: str):  # noqa: ANN201
+    """(file system, path) of the session, for any store that Spark can open."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at

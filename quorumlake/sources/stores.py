@@ -6,9 +6,10 @@ half-written record; a store has one writer at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
+from quorumlake.operators.ordering import numbered
 from quorumlake.sources.schemas import EVALUATION, GENERATION, struct
 
 EVALUATION_KEY = ["generation_cache_key", "evaluator_id", "evaluator_version"]
@@ -18,16 +19,68 @@ class DuplicateKeys(ValueError):
     """An append would add a second record under a key."""
 
 
-def scan(spark: SparkSession, path: str, schema: str | T.StructType, kind: str = "json") -> DataFrame:
-    """All records; a missing path is an empty store. Absent optional fields are null; blank lines are skipped."""
+class BrokenRecords(ValueError):
+    """A log holds lines that are no records, more of them than allowed."""
+
+
+PLACE = ["_file", "_block", "_row"]  # of a line: file, start of the part of the file that a task reads, number in it
+
+
+def lines(spark: SparkSession, path: str, schema: str | T.StructType, required: list[str] | None = None) -> DataFrame:
+    """Every line of a JSON log that isn't blank, with its place, and what is wrong with it in ``_problem`` (null: nothing).
+
+    A line is 'unreadable' if it is no JSON object or a field has a value of another type, and has 'no key' if a required field
+    (the schema's first, if none are named) is absent or null. ``_text`` holds the line where there is a problem. A missing
+    path is an empty log. ``PLACE`` orders lines as they stand in their files.
+    """
     schema = struct(schema)
+    required = schema.names[:1] if required is None else required
+    whole = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     try:
-        found = spark.read.schema(schema).format(kind).load(path)
+        text = spark.read.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], T.StructType([*schema.fields, *[T.StructField(n, k) for n, k in (("_file", T.StringType()), ("_block", T.LongType()), ("_row", T.LongType()), ("_problem", T.StringType()), ("_text", T.StringType()))]]))
+    placed = text.select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row")).filter(F.col("value").rlike(r"\S"))
+    parsed = placed.withColumn("_r", F.from_json("value", whole, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    missing = F.exists(F.array(*[F.col("_r")[k].isNull() for k in required]), lambda x: x) if required else F.lit(False)
+    problem = F.when(F.col("_r").isNull() | F.col("_r._corrupt").isNotNull(), "unreadable").when(missing, "no key")
+    return parsed.withColumn("_problem", problem).select(*[F.col("_r")[f.name].alias(f.name) for f in schema.fields], *PLACE, "_problem", F.when(F.col("_problem").isNotNull(), F.col("value")).alias("_text"))
+
+
+def quarantine(found: DataFrame) -> DataFrame:
+    """Problems of ``lines``: file, block, row, problem and text of each."""
+    return found.filter("_problem IS NOT NULL").select(*PLACE, "_problem", "_text")
+
+
+def sound(found: DataFrame, most: int = 0) -> DataFrame:
+    """The records of ``lines``, after a look at all of them: more than ``most`` problems are an error that tells where the first are."""
+    bad = quarantine(found)
+    if (n := bad.count()) > most:
+        where = "; ".join(f"{r['_file']} from byte {r['_block']}: {r['_problem']}: {r['_text'][:80]!r}" for r in bad.orderBy(*PLACE).limit(3).collect())
+        raise BrokenRecords(f"{n} broken lines, {most} allowed: {where}")
+    return found.filter("_problem IS NULL").drop(*PLACE, "_problem", "_text")
+
+
+def scan(spark: SparkSession, path: str, schema: str | T.StructType, kind: str = "json", strict: bool = True) -> DataFrame:
+    """All records; a missing path is an empty store. Absent optional fields are null; blank lines are skipped.
+
+    A JSON line that is broken, or whose first field is absent, stops the job that reads it; if not ``strict`` such lines are
+    left out: see ``lines`` and ``sound`` for what they are and how many.
+    """
+    schema = struct(schema)
+    if kind == "json":
+        found = lines(spark, path, schema)
+        fault = F.raise_error(F.concat(F.lit("broken line in "), "_file", F.lit(": "), "_problem", F.lit(": "), F.substring("_text", 1, 80)))
+        fine = F.when(F.col("_problem").isNull(), True).otherwise(fault.cast("boolean") if strict else F.lit(False))
+        return found.filter(fine).select(schema.names)
+    try:
+        return spark.read.schema(schema).format(kind).load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
-    return found.filter(F.coalesce(*[F.col(f.name).isNotNull() for f in schema.fields[:1]], F.lit(False))) if kind == "json" else found
 
 
 def generations(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:
@@ -73,14 +126,24 @@ def append_idempotent(rows: DataFrame, path: str, schema: str | T.StructType = E
 
 
 def last_wins(rows: DataFrame, on: list[str], *order: str) -> DataFrame:
-    """One row a key: the one that comes last by ``order``, of ties the one appended last (by file and place in it, as the
-    store is read). Only ``order`` is compared, so any column type goes; partial aggregates do most of the work."""
+    """One row a key: the one that comes last by ``order``, of ties the one read last. Spark reads the largest file first, so
+    where the order of appends decides, it has to be a column: see ``last_lines`` and ``sources.logs``. Only ``order`` is
+    compared, so any column type goes; partial aggregates do most of the work."""
     rest = [c for c in rows.columns if c not in on]
     seq = F.monotonically_increasing_id()
     top = F.max_by(F.struct(*rest), F.struct(*order, "_seq")).alias("_top")
     return rows.withColumn("_seq", seq).groupBy(on).agg(top).select(*on, *[F.col("_top")[c].alias(c) for c in rest]).select(rows.columns)
 
 
+def last_lines(*logs: DataFrame, on: list[str]) -> DataFrame:
+    """One record a key of several logs read by ``lines``: of the last log that has it, the last line. A log of several files goes by their names."""
+    out = None
+    for k, log in enumerate(logs):
+        rows = log.filter("_problem IS NULL").withColumn("_log", F.lit(k))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return last_wins(out.drop("_problem", "_text"), on, "_log", *PLACE).drop("_log", *PLACE)
+
+
 def union(*stores: DataFrame) -> DataFrame:
     out = stores[0]
     for s in stores[1:]:
@@ -138,4 +201,4 @@ def item_bank(spark: SparkSession, path: str, label: str = "topic_label_human",
 
 
 def row_numbers(rows: DataFrame, *order: str) -> DataFrame:
-    return rows.withColumn("ordinal", F.row_number().over(W.orderBy(*order)))
+    return numbered(rows, *order)
