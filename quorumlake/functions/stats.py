@@ -85,6 +85,13 @@ def fisher(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return F.when((n1 > 0) & (n2 > 0), F.least(F.lit(1.0), p))
 
 
+def half_even(x: Column, digits: int = 4) -> Column:
+    """Rounding of floats as arrays do it: scaled, to the nearest whole number, of two equally near the even one. ``round`` of
+    Spark goes by the decimal text and half up, so 0.48505 would become 0.4851 instead of 0.485."""
+    scale = F.lit(10.0**digits)
+    return F.rint(x.cast("double") * scale) / scale
+
+
 def half_up(x: Column, digits: int = 2) -> Column:
     """Half-up rounding of a stored decimal value."""
     return F.round(x.cast("decimal(20,10)"), digits)
@@ -92,7 +99,7 @@ def half_up(x: Column, digits: int = 2) -> Column:
 
 def signed(x: Column, digits: int = 2) -> Column:
     value = half_up(x, digits)
-    return F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f", value.cast("double")))
+    return F.when(value.isNotNull(), F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string(f"%.{digits}f", value.cast("double"))))
 
 
 def rate_text(k: Column, n: Column) -> Column:

@@ -28,6 +28,22 @@ def model_registry(spark: SparkSession, folder: str, schema: str = MODEL) -> Dat
     return spark.createDataFrame(rows, schema)
 
 
+def registry_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, entry) of the YAML files: whole entries, nested sections and all, as VARIANT; see ``nested``."""
+    import json
+
+    import yaml
+
+    files = spark.read.format("binaryFile").load(f"{folder.rstrip('/')}/*.yaml").select("path", "content").collect()  # configuration: a few files
+    rows = [(path.rsplit("/", 1)[-1].removesuffix(".yaml"), json.dumps(yaml.safe_load(bytes(content)) or {}, default=str)) for path, content in sorted(files)]
+    return spark.createDataFrame(rows, "name string, entry string").select("name", F.parse_json("entry").alias("entry"))
+
+
+def nested(value: Column, path: str, kind: str = "string") -> Column:
+    """The field at a path such as ``$.license.tier`` or ``$.items[0].sku`` of a VARIANT; null if it is absent or of another kind."""
+    return F.try_variant_get(value, path, kind)
+
+
 def metric(results: Column, field: str, key: str | None = None, prefix: str | None = None) -> Column:
     """A field of the result whose name starts with ``key``, or its mean over all names that start with ``prefix``."""
     values = F.map_values(F.map_filter(results, lambda k, _: k.startswith(key if prefix is None else prefix)))

@@ -6,10 +6,14 @@ half-written record; a store has one writer at a time.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from quorumlake.operators.ordering import numbered
+from quorumlake.runtime import materialize
 from quorumlake.sources.schemas import EVALUATION, GENERATION, struct
 
 EVALUATION_KEY = ["generation_cache_key", "evaluator_id", "evaluator_version"]
@@ -192,6 +196,30 @@ def folder_digest(spark: SparkSession, path: str) -> str:
     return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha256"))), lambda r: F.concat_ws(":", r["name"], r["sha256"])), "\n"), 256)).first()[0]
 
 
+def sheet_digest(rows: DataFrame, columns: tuple[str, ...] = ("sample_id", "statement", "response"), *order: str) -> str:
+    """SHA-256 over the sheet's rows in order, each as a JSON list of its texts. Rows come one by one; for sheets that people fill in."""
+    digest = hashlib.sha256()
+    for r in (rows.orderBy(*order) if order else rows).select(*columns).toLocalIterator():
+        digest.update(json.dumps(list(r)).encode())
+    return digest.hexdigest()
+
+
+def tree_digest(rows: DataFrame, keys: list[str], row: str, branches: int = 1024) -> str:
+    """One digest of a table of any size from its rows' digests in column ``row``, in the order of keys and digests.
+
+    Digests are numbered, and ``branches`` successive ones are hashed into one, until one is left. An empty table has the digest
+    of no text. It doesn't depend on files or partitions; equal rows count each.
+    """
+    level = numbered(rows.select(*keys, row), *keys, row, name="i", start=0).select("i", F.col(row).alias("h"))
+    while True:
+        at = F.floor(F.col("i") / branches)
+        merged = level.groupBy(at.alias("i")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("parts"))
+        level = materialize(merged.select("i", F.sha2(F.array_join(F.transform("parts", lambda p: p["h"]), "\n"), 256).alias("h")), "digests")
+        left = level.limit(2).collect()
+        if len(left) < 2:
+            return left[0]["h"] if left else hashlib.sha256(b"").hexdigest()
+
+
 def item_bank(spark: SparkSession, path: str, label: str = "topic_label_human", first: int | None = None) -> DataFrame:
     """Rows of the item bank whose label isn't the text 'na', in file order; the first n of them if asked."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

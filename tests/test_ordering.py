@@ -88,3 +88,51 @@ def test_seven_strata_take_the_rows_that_are_left(spark):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in plain_quotas(df, strata, ["cell"], "id", "4").collect()}
     small = [("one", F.col("x") < 2, 500), ("two", F.col("x").isNull(), 5), ("three", F.col("x") < 3, 500)]
     assert {(r.id, r.stratum) for r in sampling.quotas(df, small, ["cell"], "id").collect()} == {(r.id, r.stratum) for r in plain_quotas(df, small, ["cell"], "id", "0").collect()}
+
+
+def test_small_steps_keep_their_guards(spark):
+    from quorumlake.functions import stats
+    from quorumlake.operators import reshape as sh
+
+    a = spark.createDataFrame([("k", 1, None), (None, 2, "x"), ("m", 3, "y")], "k string, n int, s string")
+    b = spark.createDataFrame([("k", 9, "b"), (None, 8, "c"), ("z", 7, "d")], "k string, n int, t string")
+    met = {r.k: (r.n_old, r.n_new) for r in sh.joined_on(a, b, ["k"], ("_old", "_new")).collect()}
+    assert met == {"k": (1, 9), None: (2, 8)}
+    assert sh.resuffixed(a.toDF("k", "n_a", "s_b"), {"_a": "_100", "_b": "_250"}).columns == ["k", "n_100", "s_250"]
+    assert {r.k: (r.n, r.s, r.t) for r in sh.filled(a, b, ["k"]).collect()} == {"k": (1, None, "b"), None: (2, "x", "c"), "m": (3, "y", None), "z": (7, None, "d")}
+    assert {r.k: r.t for r in sh.looked_up(a, b, "k", "t").collect()} == {"k": "b", None: "c", "m": None}
+    with pytest.raises(sh.NotConstant):
+        sh.looked_up(a, b.unionByName(b), "k", "t")
+    twice = a.unionByName(a.withColumn("n", F.col("n") + 1))
+    with pytest.raises(sh.NotConstant, match="several values"):
+        sh.first_values(twice, ["k"], ["n"])
+    assert {r.k: r.s for r in sh.first_values(twice, ["k"], ["s"]).collect()} == {"k": None, None: "x", "m": "y"}
+    assert {r.k: r.n for r in sh.first_values(twice, ["k"], ["n"], constant=False).collect()} == {"k": 1, None: 2, "m": 3}
+    x = spark.createDataFrame([(0.48505,), (2.5,), (-0.125,), (None,)], "x double")
+    assert [r[0] for r in x.select(stats.half_even(F.col("x"), 4)).collect()] == [0.485, 2.5, -0.125, None]
+    assert [r[0] for r in x.select(stats.half_even(F.col("x"), 0)).collect()] == [0.0, 2.0, -0.0, None]
+    assert [r.k for r in sh.top_rows(b, 2, F.desc("n")).collect()] == ["k", None]
+
+
+def test_digests_of_sheets_and_tables(spark, tmp_path):
+    import hashlib
+    import json
+
+    from quorumlake.sources import files, stores
+
+    sheet = [("2", "é", 'a "b"'), ("1", "s", "r")]
+    df = spark.createDataFrame(sheet, "sample_id string, statement string, response string")
+    want = hashlib.sha256()
+    for r in sorted(sheet):
+        want.update(json.dumps(list(r)).encode())
+    assert stores.sheet_digest(df, ("sample_id", "statement", "response"), "sample_id") == want.hexdigest()
+    rows = spark.range(1000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    level = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(1000)]
+    while len(level) > 1:
+        level = [hashlib.sha256("\n".join(level[k : k + 7]).encode()).hexdigest() for k in range(0, len(level), 7)]
+    assert stores.tree_digest(rows, ["id"], "h", 7) == stores.tree_digest(rows.repartition(5), ["id"], "h", 7) == level[0]
+    assert stores.tree_digest(rows.limit(0), ["id"], "h") == hashlib.sha256(b"").hexdigest() != stores.tree_digest(rows.limit(1), ["id"], "h")
+    (tmp_path / "one.yaml").write_text("family: f\nlicense: {name: mit, tiers: [1, 2]}\ntransparency:\n  tier: open\n")
+    (tmp_path / "two.yaml").write_text("family: g\n")
+    got = files.registry_sections(spark, str(tmp_path)).select("name", files.nested(F.col("entry"), "$.license.name").alias("license"), files.nested(F.col("entry"), "$.license.tiers[1]", "int").alias("tier"), files.nested(F.col("entry"), "$.transparency.tier", "int").alias("wrong"))
+    assert [tuple(r) for r in got.orderBy("name").collect()] == [("one", "mit", 2, None), ("two", None, None, None)]
