@@ -1,16 +1,20 @@
 """Personal data: pattern spans, and terms that reveal them by corpus co-occurrence, in DataFrame functions only.
 
 What a term discloses of an entity is measured by the information that the entity still has once the term is known,
--log2 P(entity | term), with the probability smoothed by one unseen occurrence. Terms that leave ``RESIDUAL`` bits or
-less become spans of their own: in two contexts of two they do, in one of one they leave a whole bit and don't.
+-log2 P(entity | term): of the documents that hold the term, those in which it stands by the entity, with one unseen
+document added. Documents with equal texts are one. Terms that leave ``RESIDUAL`` bits or less become spans of their own:
+in two documents of two they do, in one of one they leave a whole bit and don't.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.fingerprints import bind
-from quorumlake.runtime import broadcast_if_small, materialize
+from quorumlake.runtime import broadcast_if_small, discard, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 # Leftmost, non-overlapping, as the plain patterns find them; look-behinds and possessive loops keep long runs linear
@@ -22,7 +26,7 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
-RESIDUAL, MIN_LETTERS = 0.75, 4
+RESIDUAL, MIN_LETTERS = 0.75, 2
 NEAR = 120  # characters on each side of an entity, across lines, that are its context
 BLOCK = 64
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
@@ -118,25 +122,38 @@ def _terms(x: Column) -> Column:
 
 
 def revealing(docs: DataFrame, residual: float = RESIDUAL) -> DataFrame | None:
-    """(entity, term, contexts, n_term, left): the terms that leave ``residual`` bits of an entity or less; None without any
-    term near two contexts of an entity.
+    """(entity, term, together, n_term, left): the terms that leave ``residual`` bits of an entity or less; None without any
+    term that stands by an entity in enough documents for that.
 
     ``docs`` holds _text and _found, the pattern spans. The context of an entity is what stands within ``NEAR`` characters
-    of it, up to the next match of its kind. Equal contexts count once, so copies add no support. No pair is made of a
-    document's terms and entities, but of an entity and the few terms near it; every count is a partial aggregate
-    before the shuffle, so neither an entity nor a term that a third of all rows hold is collected anywhere.
+    of it, up to the next match of its kind. ``together`` counts the different texts in which the term is in a context of the
+    entity, ``n_term`` those that hold the term, so neither copies nor repeats within a text change anything.
+
+    No pair is made of a document's terms and entities, but of an entity and the few terms near it; every count is a partial
+    aggregate before the shuffle, so neither an entity nor a term that a third of all rows hold is collected anywhere. Most
+    terms are too frequent to reveal anything: 256 marks a term, set by the texts' hashes, are a lower bound of ``n_term``, and
+    only terms that may pass by it are counted text by text.
     """
-    spotted = docs.select(F.explode("_found").alias("s")).select(F.lower("s.text").alias("entity"), F.col("s.near").alias("near"))
-    contexts = spotted.groupBy("entity", F.xxhash64("near").alias("at")).agg(F.first("near").alias("near"))
-    seen = contexts.select("entity", F.explode(_terms(F.col("near"))).alias("term"))
-    least = 1 if residual >= 1 else 2  # one context leaves a bit at least
-    often = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= least), "often")
+    key = F.xxhash64("_text")
+    spotted = docs.select(key.alias("key"), F.explode("_found").alias("s")).select("key", F.lower("s.text").alias("entity"), F.explode(_terms(F.col("s.near"))).alias("term"))
+    seen = spotted.groupBy("entity", "term", "key").agg(F.lit(1).alias("one"))
+    least = 1 if residual >= 1 else 2  # one document leaves a bit at least
+    often = materialize(seen.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= least), "often")
     if often.isEmpty():
+        discard(often)
         return None
-    wanted = broadcast_if_small(often.select("term").distinct(), 60)
-    frequency = docs.select(F.explode(_terms(F.col("_text"))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    left = -F.log2(F.least("contexts", "n_term") / (F.col("n_term") + 1))
-    return often.join(frequency, "term").withColumn("left", left).filter(F.col("left") <= residual)
+    most = F.floor(F.col("together") * 2.0**residual * (1 + 1e-12)) - 1  # that n_term may be
+    wanted = often.groupBy("term").agg(F.max(most).alias("most"))
+    held = docs.select(key.alias("key"), F.explode(_terms(F.col("_text"))).alias("term"))
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(63).cast("int"))
+    word = F.shiftright("key", 6).bitwiseAND(3)
+    marks = held.join(broadcast_if_small(wanted, 70), "term").groupBy("term").agg(F.max("most").alias("most"), *[F.bit_or(F.when(word == k, mark).otherwise(0)).alias(f"_m{k}") for k in range(4)])
+    few = materialize(marks.filter(reduce(add, [F.bit_count(f"_m{k}") for k in range(4)]) <= F.col("most")).select("term"), "few")
+    frequency = held.join(broadcast_if_small(few, 60), "term", "left_semi").groupBy("term", "key").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_term"))
+    left = -F.log2(F.col("together") / (F.col("n_term") + 1))
+    found = materialize(often.join(frequency, "term").withColumn("left", left).filter(F.col("left") <= residual), "revealing")
+    discard(often, few)
+    return found
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -166,7 +183,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
 
     Null text counts as empty and has no spans. ``spans`` holds the base spans and those of revealing terms, kind
     ``term``, by kind and start; such a term is a span in every document that holds it. Repeated rows are rows of their
-    own (their contexts count once); an empty table gives an empty one; other columns are left out.
+    own (equal texts are one document to the counts); an empty table gives an empty one; other columns are left out.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     spotted = base.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_found", pattern_spans(F.col("_text")))
@@ -174,7 +191,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     strong = revealing(spotted, residual)
     more = F.array().cast(SPAN)
     if strong is not None:
-        strong = broadcast_if_small(materialize(strong.select("term").distinct(), "strong"), 60)
+        strong = broadcast_if_small(strong.select("term").distinct(), 60)
         terms = spotted.select("_rid", F.explode(_terms(F.col("_text"))).alias("term")).join(strong, "term").groupBy("_rid").agg(F.sort_array(F.collect_set("term")).alias("_terms"))
         spotted = spotted.join(broadcast_if_small(materialize(terms, "terms"), 200), "_rid", "left")
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("_terms", "|"), F.lit(r")(?!\p{L})"))
