@@ -9,14 +9,16 @@ falls short is cut again by another hash, and at last indexed with all its segme
 
 Near copies are joined to classes before the index is asked: sets that agree in three minima meet the least of them, and
 only pairs that hold when compared exactly count. Signatures then carry classes, so a cluster of any size costs a
-signature one entry, and only signatures that lie in several classes make candidates. Candidate classes are compared
-exactly, leaving out pairs within a class, and the links found join classes to components.
+signature one entry, and only signatures that lie in several classes make candidates. Of candidate classes, pairs of sets
+that sizes and parity bitmaps (a lower bound of the difference) don't rule out are compared exactly, leaving out pairs
+within a class, and the links found join classes to components. Texts are read again for such pairs only.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from quorumlake.runtime import broadcast_if_small, discard, materialize, paralle
 
 SEEDS = 3  # partitions tried; the last one indexes all segments
 TILE_SETS, TILE_VALUES = 20_000, 4_000_000
+BIT_SETS, BIT_VALUES = 4_000, 8_000_000  # sets, and members that their bitmaps stand for, in a tile of bitmaps
+MOST_PAIRS = 16  # possible links that a tile names one by one, a set
 STAR_SETS, STAR_VALUES = 2_000, 1_000_000  # of one centre in one task
 FLUSH = 1_000_000
 LEAST_BUCKETS = 64
@@ -183,6 +187,52 @@ def minima(values: np.ndarray, row: np.ndarray, n_rows: int) -> np.ndarray:
     return key
 
 
+def parities(values: np.ndarray, row: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[bytes]:
+    """A bitmap a row: each value flips the bit that its hash names, so two sets differ in as many values at least as their
+    bitmaps in bits. Bitmaps have a power of two of bits, some eight for each difference that linked sets of the size can have."""
+    bits = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(16 * (den - num) * sizes / (den + num), 1))).astype(np.int64))
+    start = np.concatenate([[0], np.cumsum(bits)])
+    flipped = np.bincount(start[row] + (mix(values ^ U64(0x510E527FADE682D1)) & (bits[row] - 1).astype(U64)).astype(np.int64), minlength=start[-1]) & 1
+    packed = np.packbits(flipped.astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] if n else b"" for a, b, n in zip(start[:-1].tolist(), start[1:].tolist(), sizes.tolist(), strict=True)]
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) with as many words as asked for: bit k of the shorter one is the sum of those that end alike."""
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] ^ maps[:, half:]
+    return maps
+
+
+def possible(maps: list[bytes], size: np.ndarray, known: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with different ``known`` that sizes and bitmaps don't rule out as links."""
+    words = np.array([len(m) // 8 for m in maps], dtype=np.int64)
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    order = np.argsort(size, kind="stable")
+    for w in np.unique(words).tolist():
+        own = order[words[order] == w]
+        near = order[(words[order] >= w) & (size[order] * num <= size[own].max() * den)]
+        wide = np.zeros((len(near), w), dtype=U64)
+        for v in np.unique(words[near]).tolist():
+            pick = np.flatnonzero(words[near] == v)
+            wide[pick] = folded(np.frombuffer(b"".join(maps[i] for i in near[pick]), dtype=U64).reshape(len(pick), v), w)
+        place = np.empty(len(size), dtype=np.int64)
+        place[near] = np.arange(len(near))
+        for i in own.tolist():
+            k = int(place[i])
+            last = int(np.searchsorted(size[near], size[i] * den // num, side="right"))
+            other = near[k + 1 : last]
+            apart = known[other] != known[i]
+            if apart.any():
+                rest = np.flatnonzero(apart) + k + 1
+                differ = np.bitwise_count(wide[rest] ^ wide[k]).sum(axis=1, dtype=np.int64)
+                hit = near[rest[differ * (den + num) <= (den - num) * (size[near[rest]] + size[i])]]
+                a.append(np.full(len(hit), i))
+                b.append(hit)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def shared(center: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """How many values each of the other sets (none empty) has in common with the sorted ``center``."""
     pool = np.concatenate(others)
@@ -334,6 +384,13 @@ def _near_copies(base: DataFrame, sets: DataFrame, num: int, den: int, n: int) -
     keyed = sets.select(one.alias("s"), F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)])).alias("i", "key"))
     centers = keyed.groupBy("i", "key").agg(F.min("s").alias("c"), F.count("*").alias("many")).filter("many > 1").drop("many")
     edges = stars = materialize(keyed.join(centers, ["i", "key"]).filter("s <> c").select("c", "s").distinct(), "stars")
+    links = _verified(base, edges, num, den, n)
+    discard(stars)
+    return links
+
+
+def _verified(base: DataFrame, edges: DataFrame, num: int, den: int, n: int) -> DataFrame | None:
+    """The edges (c, s: structs of k1, k2, rk, n) that are links when whole sets are compared; None without edges."""
     total = edges.agg(F.sum("s.n")).first()[0]
     if not total:
         return None
@@ -345,7 +402,7 @@ def _near_copies(base: DataFrame, sets: DataFrame, num: int, den: int, n: int) -
     needed = materialize(ends.groupBy("rk", "k1", "k2").agg(F.collect_list(F.struct("g", "kind")).alias("to")), "ends")
     buckets = max(parallelism(base.sparkSession), math.ceil(2 * total / TILE_VALUES))
     links = materialize(_compared(_fetched(base, needed, n, buckets), num, den), "links")
-    discard(stars, needed)
+    discard(needed)
     return links
 
 
@@ -412,11 +469,72 @@ def _contested(base: DataFrame, classes: DataFrame, bands: Bands, n: int, total:
     return rows.mapInArrow(signed, "bucket long, data binary").groupBy("bucket").applyInArrow(grouped, "a long, b long")
 
 
+def _possible_pairs(rows: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (c, s) of sets in different classes of one group that bitmaps don't rule out; and, with null c and s, the tiles ``g``
+    that have too many such pairs to name them. ``members`` has rk, k1, k2, cls, and ``to``, the tiles that a set is compared in."""
+    bits = rows.join(broadcast_if_small(members.select("rk", "k1", "k2"), 48), ["rk", "k1", "k2"]).groupBy("rk", "k1", "k2").agg(F.first("n").alias("n"), F.first("par").alias("par"))
+    tiles = bits.join(members.select("rk", "k1", "k2", "cls", F.explode("to").alias("g")), ["rk", "k1", "k2"])
+
+    def paired(table: pa.Table) -> pa.Table:
+        g, k1, k2, rk, n, cls = (table[c].to_numpy() for c in ("g", "k1", "k2", "rk", "n", "cls"))
+        maps = table["par"].to_pylist()
+        order, a, b, dense = np.lexsort((k2, k1, g)), [], [], []
+        for lo, hi in zip(*runs(g[order]), strict=True):
+            at = order[lo:hi]
+            x, y = possible([maps[i] for i in at.tolist()], n[at], cls[at], num, den)
+            if len(x) > MOST_PAIRS * len(at):
+                dense.append(int(g[at[0]]))
+                continue
+            a.append(at[x])
+            b.append(at[y])
+        a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (a, b))
+        gone = np.concatenate([np.zeros(len(a), dtype=bool), np.ones(len(dense), dtype=bool)])
+
+        def node(at: np.ndarray) -> pa.Array:
+            at = np.concatenate([at, np.zeros(len(dense), dtype=np.int64)])
+            return pa.StructArray.from_arrays([pa.array(v[at]) for v in (k1, k2, rk, n)], ["k1", "k2", "rk", "n"], mask=pa.array(gone))
+
+        return pa.table({"c": node(a), "s": node(b), "g": pa.array(np.concatenate([g[a], np.array(dense, dtype=np.int64)]))})
+
+    one = "struct<k1:bigint,k2:bigint,rk:bigint,n:bigint>"
+    return tiles.withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(4 * parallelism(rows.sparkSession)))).groupBy("bucket").applyInArrow(paired, f"c {one}, s {one}, g long")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A row is known by its id and text; rows that agree in both are one for every decision."""
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def _tiled(members: DataFrame, sets: int, values: int) -> DataFrame:
+    """``members`` with the tiles that they are compared in: a group of candidate classes that is too large for one is cut into
+    parts, each pair of which has a tile."""
+    weight = members.groupBy("together").agg(F.greatest(F.ceil(F.count("*") / sets), F.ceil(F.sum("n") / values)).alias("tiles"))
+    mine = F.pmod(F.col("node.k2"), F.col("tiles"))
+    tiled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda other: F.xxhash64("together", F.least(mine, other), F.greatest(mine, other)))
+    return members.join(weight, "together").select("rk", "node.k1", "node.k2", "n", "cls", "together", "node", tiled.alias("to"))
+
+
+def _links(base: DataFrame, rows: DataFrame, members: DataFrame, num: int, den: int, n: int) -> list[DataFrame | None]:
+    """Links between candidate classes. Bitmaps, which never rule out a link, choose the pairs whose texts are read again and
+    compared; only groups in which very many pairs are possible are compared as a whole, tile by tile."""
+    pairs = materialize(_possible_pairs(rows, _tiled(members, BIT_SETS, BIT_VALUES), num, den), "pairs")
+    named = _verified(base, pairs.filter("c IS NOT NULL").select("c", "s").distinct(), num, den, n)
+    dense = pairs.filter("c IS NULL").select("g").distinct()
+    if not dense.limit(1).count():
+        discard(pairs)
+        return [named]
+    small = _tiled(members, BIT_SETS, BIT_VALUES).select("together", F.explode("to").alias("g"))
+    crowded = materialize(small.join(dense, "g", "left_semi").select("together").distinct(), "crowded")
+    whole = _tiled(members.join(crowded, "together", "left_semi"), TILE_SETS, TILE_VALUES)
+    kind = F.when(F.col("cls") == 0, 1).otherwise(F.col("cls"))
+    needed = materialize(whole.select("rk", "k1", "k2", "n", F.transform("to", lambda g: F.struct(g.alias("g"), kind.alias("kind"))).alias("to")), "candidates")
+    moved = needed.agg(F.sum(F.col("n") * F.size("to"))).first()[0]
+    buckets = max(parallelism(base.sparkSession), math.ceil(moved / TILE_VALUES))
+    links = materialize(_compared(_fetched(base, needed.drop("n"), n, buckets), num, den), "links")
+    discard(pairs, crowded, needed)
+    return [named, links]
+
+
 def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, rk (``row_key``), n (shingles), component (a set of its component; null without shingles)."""
     spark = docs.sparkSession
@@ -431,9 +549,10 @@ def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc
                 values, row = shingler.sets(data, offsets)
                 size, k1, k2 = set_keys(values, row, hi - lo)
                 least = minima(values, row, hi - lo).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), *(pa.array(least[:, i].copy()) for i in range(BANDS))], names=["doc_id", "rk", "n", "k1", "k2", *(f"b{i}" for i in range(BANDS))])
+                bits = binary(parities(values, row, size, num, den))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), bits, *(pa.array(least[:, i].copy()) for i in range(BANDS))], names=["doc_id", "rk", "n", "k1", "k2", "par", *(f"b{i}" for i in range(BANDS))])
 
-    rows = materialize(base.mapInArrow(keys, "doc_id long, rk long, n long, k1 long, k2 long, " + ", ".join(f"b{i} long" for i in range(BANDS))), "rows")
+    rows = materialize(base.mapInArrow(keys, "doc_id long, rk long, n long, k1 long, k2 long, par binary, " + ", ".join(f"b{i} long" for i in range(BANDS))), "rows")
     facts = rows.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     if not facts["largest"]:
         return rows.select("doc_id", "rk", "n", F.lit(None).cast(NODE).alias("component"))
@@ -447,16 +566,12 @@ def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc
     candidates = components(_contested(base, exceptions, Bands(num, den, int(facts["largest"])), n, facts["total"]))
     discard(exceptions)
     members = materialize(labelled.withColumn("cls", F.col("root.k1")).join(candidates.select(F.col("node").alias("cls"), F.col("root").alias("together")), "cls").select("node", "rk", "n", "cls", "together"), "members")
-    weight = members.groupBy("together").agg(F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_VALUES)).alias("tiles"))
-    mine = F.pmod(F.col("node.k2"), F.col("tiles"))
-    tiled = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda other: F.struct(F.xxhash64("together", F.least(mine, other), F.greatest(mine, other)).alias("g"), F.when(F.col("cls") == 0, 1).otherwise(F.col("cls")).alias("kind")))
-    needed = materialize(members.join(weight, "together").select("rk", "node.k1", "node.k2", "n", tiled.alias("to")), "candidates")
-    moved = needed.agg(F.sum(F.col("n") * F.size("to"))).first()[0]
-    if moved:
-        buckets = max(parallelism(spark), math.ceil(moved / TILE_VALUES))
-        links = materialize(_compared(_fetched(base, needed.drop("n"), n, buckets), num, den), "links")
-        discard(members, needed)
-        found = components(labelled.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b").unionByName(links))
+    links = [found for found in _links(base, rows, members, num, den, n) if found is not None]
+    discard(members)
+    if links:
+        edges = labelled.select(F.col("node").alias("a"), F.col("root").alias("b")).filter("a <> b")
+        found = components(reduce(DataFrame.unionByName, links, edges))
+        discard(*links)
         labelled = labelled.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     named = labelled.select("node.k1", "node.k2", F.col("root").alias("component"))
     return rows.join(named, ["k1", "k2"], "left").select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
