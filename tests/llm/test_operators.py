@@ -391,7 +391,7 @@ def test_pattern_spans_equal_brute_force(spark):
 
 
 def test_terms_that_always_stand_by_an_entity_are_found(spark):
-    rows = [(i, f"captain Zorblax {i} writes from zor@mail.org today") for i in range(4)] + [(i, "today the captain writes again and again") for i in range(4, 40)]
+    rows = [(i, f"captain Zorblax {i} writes from zor@mail.org today") for i in range(4)] + [(i, f"today the captain {i} writes to us from here again and again") for i in range(4, 40)]  # different texts: equal ones are one document
     got = {r.doc_id: r for r in pii.personal_data(corpus(spark, rows)).collect()}
     assert {s.kind for s in got[0].spans} == {"email", "term"} and "[TERM]" in got[0].sanitised and "Zorblax" not in got[0].sanitised
     assert "captain" in got[0].sanitised and got[9].spans == []
@@ -428,11 +428,12 @@ def test_dense_texts_take_time_in_proportion(spark):
 
 
 def brute_terms(rows, residual):
-    """(entity, term) by plain Python."""
-    contexts, holders = {}, Counter()
-    letters = lambda x: {w for w in re.split(r"[^a-zé]+", x.lower()) if len(w) >= 4}
-    for _, text in rows:
-        holders.update(letters(text))
+    """(entity, term) by their definition, over different texts: of those with the term, how many have it by the entity."""
+    texts = {text for _, text in rows}
+    letters = lambda x: {w for w in re.split(r"[^a-zé]+", x.lower()) if len(w) >= 2}
+    near = {}  # text: {entity: terms by it}
+    for text in texts:
+        near[text] = {}
         for kind, pattern in PATTERNS:
             found = list(re.finditer(pattern, text))
             valid = {(a, b) for k, a, b in brute_spans(text) if k == kind}
@@ -442,15 +443,38 @@ def brute_terms(rows, residual):
                     before, after = text[edges[2 * k] : m.start()], text[m.end() : edges[2 * k + 3]]
                     before = before if len(before) <= pii.NEAR else re.sub(r"^[^\W\d_]+", "", before[-pii.NEAR :])
                     after = after if len(after) <= pii.NEAR else re.sub(r"[^\W\d_]+$", "", after[: pii.NEAR])
-                    contexts.setdefault(m[0].lower(), set()).add(before + " " + after)
+                    near[text].setdefault(m[0].lower(), set()).update(letters(before) | letters(after))
     out = set()
-    for entity, held in contexts.items():
-        for term, c in Counter(t for near in held for t in letters(near)).items():
-            if -np.log2(min(c, holders[term]) / (holders[term] + 1)) <= residual:
+    for entity in {e for n in near.values() for e in n}:
+        for term in {t for n in near.values() for t in n.get(entity, ())}:
+            holders = [t for t in texts if term in letters(t)]
+            together = sum(term in near[t].get(entity, ()) for t in holders)
+            if -np.log2(together / (len(holders) + 1)) <= residual:
                 out.add((entity, term))
     return out
 
 
+def test_terms_count_documents_and_copies_are_one(spark):
+    found = lambda rows: {t for _, t in found_pairs(rows)}
+
+    def found_pairs(rows):
+        got = pii.revealing(spark.createDataFrame(rows, "doc_id long, _text string").withColumn("_found", pii.pattern_spans(F.col("_text"))))
+        pairs = {(r.entity, r.term) for r in got.collect()} if got is not None else set()
+        assert pairs == brute_terms(rows, pii.RESIDUAL)
+        return pairs
+
+    often_in_one = [(0, " ".join(f"zebra {i} bob@host.com" for i in range(8)))] + [(i, f"the zebra eats grass {i}") for i in range(1, 10)]
+    assert "zebra" not in found(often_in_one)
+    always = [(i, f"{i} of kim at bob@host.com") for i in range(8)]
+    assert "kim" in found(always)
+    others = [(20 + i, f"row {i} has nothing of it") for i in range(30)]
+    assert found(always + others) == found(always * 5 + others * 3) == {"kim", "at"}
+    one = [(0, "kim at bob@host.com"), *others]
+    assert found(one) == found(one + [(k, "kim at bob@host.com") for k in range(50, 60)]) == set()
+    hidden = {r.doc_id: r.sanitised for r in pii.personal_data(corpus(spark, always + [(99, "ask Kim")])).collect()}
+    assert hidden[99] == "ask [TERM]" and all("kim" not in hidden[i] for i in range(8))
+
+
 @pytest.mark.parametrize("residual", [0.75, 1.0])
 def test_revealing_terms_equal_brute_force(spark, residual):
     rng = random.Random(8)
