@@ -127,10 +127,9 @@ def nearest(p: int, top: int, u: np.ndarray, item: np.ndarray) -> np.ndarray:
         lo = max(a, int(np.searchsorted(u, u[lo], side="left"))) if lo < at else lo  # whole unit prices
         hi = min(b, int(np.searchsorted(u, u[hi - 1], side="right"))) if hi > at else hi
         gap = np.abs(u[lo:hi] - p)
-        sure = min([int(p - u[lo])] * (lo > a and lo < at) + [int(u[hi - 1] - p)] * (hi < b and hi > at), default=None)
-        if sure is None and (lo > a or hi < b):
-            reach *= 2
-            continue
+        cut = [int(p - u[lo])] if a < lo else []  # beyond these gaps more lines may follow
+        cut += [int(u[hi - 1] - p)] if hi < b else []
+        sure = min(cut, default=None)
         order = np.argsort(gap, kind="stable")  # of one gap the lower unit price comes first, then order
         if sure is not None:
             order = order[: np.searchsorted(gap[order], sure, side="right")]

@@ -233,7 +233,7 @@ def test_statistics_count_whole_texts():
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     x = dict(zip(quality.STATISTICS, quality.statistics(data, np.array([0, len(data)]), Prefix(), space_table(), quality._classes())[0], strict=True))
     n = len(text)
-    assert x["letters"] == pytest.approx(16 / n) and x["capitals"] == pytest.approx(2 / 16) and x["digits"] == pytest.approx(2 / n)
+    assert x["letters"] == pytest.approx(14 / n) and x["capitals"] == pytest.approx(2 / 14) and x["digits"] == pytest.approx(2 / n)
     assert x["other_marks"] == pytest.approx(4 / n) and x["sentence_marks"] == pytest.approx(2 / n) and x["marks_in_a_row"] == pytest.approx(2 / n)
     assert x["distinct_words"] == pytest.approx(5 / 7) and x["top_word"] == pytest.approx(2 / 7) and x["repeated_words"] == 0 and x["repeated_lines"] == 0
     assert x["words_with_marks"] == pytest.approx(3 / 7) and x["lines"] == pytest.approx(math.log1p(2) / 16)
