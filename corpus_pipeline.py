@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumlake.llm.decontamination import contaminated
-from quorumlake.llm.jaccard import row_key, similar_sets
+from quorumlake.llm.jaccard import other_key, row_key, similar_sets
 from quorumlake.llm.language import UNDETERMINED, fit, predict
 from quorumlake.llm.lines import drop_boilerplate
 from quorumlake.llm.packing import pack, tokenized
@@ -46,16 +46,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     both one stays. Texts without words, null ones too, are in no group and stay. An empty table stays empty.
     """
     found = materialize(similar_sets(docs, 80, 100, 5).filter("component IS NOT NULL"), "groups")
-    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "rk")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "rk", "rq")
     best = found.groupBy("component").agg(F.min(order).alias("best"), F.count("*").alias("many")).filter("many > 1")
-    rows = found.join(best, "component").select("rk", (F.col("rk") == F.col("best.rk")).alias("stays"))
-    rows = materialize(rows.groupBy("rk").agg(F.first("stays").alias("stays"), F.count("*").alias("many")).filter("many > 1 OR NOT stays"), "rows")
-    keyed = docs.withColumn(free_name("rk", docs), row_key())
-    rk = keyed.columns[-1]
-    rows = rows.select(F.col("rk").alias(rk), F.col("stays").alias(free_name("stays", docs)))
-    stays = rows.columns[-1]
-    named = keyed.join(broadcast_if_small(rows, 32), rk, "left")
-    once = named.filter(F.col(stays)).dropDuplicates([rk])  # few: rows with equal id and text
+    own = (F.col("rk") == F.col("best.rk")) & (F.col("rq") == F.col("best.rq"))
+    rows = found.join(best, "component").select("rk", "rq", own.alias("stays"))
+    rows = materialize(rows.groupBy("rk", "rq").agg(F.first("stays").alias("stays"), F.count("*").alias("many")).filter("many > 1 OR NOT stays"), "rows")
+    discard(found)
+    rk, rq, stays = (free_name(n, docs) for n in ("rk", "rq", "stays"))
+    keyed = docs.withColumns({rk: row_key(), rq: other_key()})
+    named = keyed.join(broadcast_if_small(rows.select(F.col("rk").alias(rk), F.col("rq").alias(rq), F.col("stays").alias(stays)), 40), [rk, rq], "left")
+    once = named.filter(F.col(stays)).dropDuplicates([rk, rq])  # few: rows with equal id and text
     return named.filter(F.col(stays).isNull()).unionByName(once).select(docs.columns)
 
 
@@ -64,11 +64,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts leak nothing; rows that agree in id and text go together.
     """
-    keyed = docs.withColumn(free_name("rk", docs), row_key())
-    rk = keyed.columns[-1]
+    rk = free_name("rk", docs)
+    keyed = docs.withColumn(rk, F.concat_ws(":", row_key().cast("string"), other_key().cast("string")))
     found = contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=rk)
     found = materialize(found.select(F.col("doc_id").alias(rk)).distinct(), "leaks")
-    return keyed.join(broadcast_if_small(found, 16), rk, "left_anti").select(docs.columns)
+    return keyed.join(broadcast_if_small(found, 60), rk, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

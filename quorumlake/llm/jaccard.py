@@ -501,10 +501,15 @@ def _possible_pairs(rows: DataFrame, members: DataFrame, num: int, den: int) ->
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A row is known by its id and text; rows that agree in both are one for every decision."""
+    """Half of what a row is known by: its id and text; rows that agree in both are one for every decision."""
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def other_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The other half, by another seed: at 10^10 rows two different ones are expected to share 64 bits, but not 128."""
+    return F.xxhash64(F.lit("other"), F.col(text), F.col(doc_id))
+
+
 def _tiled(members: DataFrame, sets: int, values: int) -> DataFrame:
     """``members`` with the tiles that they are compared in: a group of candidate classes that is too large for one is cut into
     parts, each pair of which has a tile."""
@@ -536,11 +541,15 @@ def _links(base: DataFrame, rows: DataFrame, members: DataFrame, num: int, den:
 
 
 def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, rk (``row_key``), n (shingles), component (a set of its component; null without shingles)."""
+    """One row per row of ``docs``: doc_id, rk and rq (``row_key``, ``other_key``), n (shingles), component.
+
+    The component is named by one of its sets. It is null for null texts and those without words, which have no shingles;
+    repeated rows, and rows with equal sets, have the same one. An empty table gives no rows.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    base = base.withColumn("rk", row_key())
+    base = base.withColumns({"rk": row_key(), "rq": other_key()})
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
@@ -550,12 +559,12 @@ def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc
                 size, k1, k2 = set_keys(values, row, hi - lo)
                 least = minima(values, row, hi - lo).view(np.int64)
                 bits = binary(parities(values, row, size, num, den))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), bits, *(pa.array(least[:, i].copy()) for i in range(BANDS))], names=["doc_id", "rk", "n", "k1", "k2", "par", *(f"b{i}" for i in range(BANDS))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), pa.array(size), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), bits, *(pa.array(least[:, i].copy()) for i in range(BANDS))], names=["doc_id", "rk", "rq", "n", "k1", "k2", "par", *(f"b{i}" for i in range(BANDS))])
 
-    rows = materialize(base.mapInArrow(keys, "doc_id long, rk long, n long, k1 long, k2 long, par binary, " + ", ".join(f"b{i} long" for i in range(BANDS))), "rows")
+    rows = materialize(base.mapInArrow(keys, "doc_id long, rk long, rq long, n long, k1 long, k2 long, par binary, " + ", ".join(f"b{i} long" for i in range(BANDS))), "rows")
     facts = rows.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
     if not facts["largest"]:
-        return rows.select("doc_id", "rk", "n", F.lit(None).cast(NODE).alias("component"))
+        return rows.select("doc_id", "rk", "rq", "n", F.lit(None).cast(NODE).alias("component"))
     sets = materialize(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("rk").alias("rk"), F.max("n").alias("n"), *(F.max(f"b{i}").alias(f"b{i}") for i in range(BANDS))), "sets")
     node = F.struct("k1", "k2")
     near = _near_copies(base, sets, num, den, n)
@@ -574,7 +583,7 @@ def similar_sets(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc
         discard(*links)
         labelled = labelled.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     named = labelled.select("node.k1", "node.k2", F.col("root").alias("component"))
-    return rows.join(named, ["k1", "k2"], "left").select("doc_id", "rk", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
+    return rows.join(named, ["k1", "k2"], "left").select("doc_id", "rk", "rq", "n", F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
 
 def similar_components(docs: DataFrame, num: int = 85, den: int = 100, n: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
