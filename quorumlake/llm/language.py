@@ -220,7 +220,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2
+    """Whether crc32 of the id's text is 2 modulo 4; a null id is not held out, and its label is learnt from like any other."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
 def op3_word_backoff_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,25 @@ def test_stages_take_empty_tables(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_rows_that_share_a_hash_are_told_apart(spark, folder, monkeypatch):
+    """Half of a row's key is the same for all rows: the other half still keeps clean rows."""
+    monkeypatch.setattr(cp, "row_key", lambda *_: F.lit(7).cast("long"))
+    monkeypatch.setattr("quorumlake.llm.jaccard.row_key", lambda *_: F.lit(7).cast("long"))
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("text IS NOT NULL AND doc_id < 203 AND doc_id % 9 <> 4")
+    kept = cp.near_dedup(spark, docs, folder)
+    ids = sorted(r.doc_id for r in kept.collect())
+    assert ids == sorted({r.doc_id for r in docs.collect()} - {200, 201})
+    assert sorted(r.doc_id for r in cp.decontaminate(spark, kept, folder).collect()) == [i for i in ids if i != 202]
+
+
+def test_columns_that_clash_with_inner_names(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name in ("rk", "rq", "stays", "lang_pred", "lang_score", "_host", "_rid", "par"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    columns = docs.columns
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == columns and docs.filter("rk <> 'mine' OR rq <> 'mine' OR par <> 'mine'").count() == 0
+    assert docs.count() == 80
