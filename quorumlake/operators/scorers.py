@@ -82,6 +82,25 @@ def judge_requests(records: DataFrame, template: str) -> DataFrame:
     return asked.withColumn("request_key", F.sha2("prompt", 256))
 
 
+def cut_tokens(records: DataFrame, load: Callable[[], tuple[Callable[[list[str]], list[list[int]]], Callable[[list[int]], str]]], limit: int = 200) -> DataFrame:
+    """``records`` as a budget of ``limit`` tokens would have left them: texts of more tokens are the first ones decoded again and
+    end by 'length'. ``load() -> (texts -> token ids, ids -> text)`` is called once a task; equal texts are cut once. Failed and
+    blank rows stay as they are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, decode = load()
+        for pdf in batches:
+            ids = encode(pdf["raw_text"].tolist())
+            cut = [len(x) > limit for x in ids]
+            yield pd.DataFrame({"_digest": pdf["_digest"], "_cut": [decode(x[:limit]) if c else None for x, c in zip(ids, cut, strict=True)], "_tokens": [min(len(x), limit) for x in ids]})
+
+    able = (F.col("finish_reason") != "error") & ~F.coalesce(is_blank(F.col("raw_text")), F.lit(True))
+    rows = records.withColumn("_digest", F.when(able, F.sha2("raw_text", 256)))
+    cut = rows.filter("_digest IS NOT NULL").select("_digest", "raw_text").dropDuplicates(["_digest"]).mapInPandas(run, "_digest string, _cut string, _tokens int")
+    new = {"raw_text": F.coalesce("_cut", "raw_text"), "finish_reason": F.when(F.col("_cut").isNotNull(), "length").otherwise(F.col("finish_reason")), "output_tokens": F.coalesce("_tokens", "output_tokens")}
+    return rows.join(cut, "_digest", "left").withColumns(new).select(records.columns)
+
+
 class Backend(Protocol):
     """A generator: requests (request_key, prompt) to records by key; rows may come back in any order."""
 

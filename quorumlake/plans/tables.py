@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumlake.functions import stats as st
-from quorumlake.operators import frame as fr, paired as pa, printed as pr, reshape as sh, row_bootstrap as rb
+from quorumlake.operators import frame as fr, paired as pa, printed as pr, reshape as sh, row_bootstrap as rb, scorers as sc
 from quorumlake.plans import projection as pj, registry, studies
 from quorumlake.plans.registry import F_, H_, SQL, _wil, query, rounded
 from quorumlake.sources import stores
@@ -172,3 +172,30 @@ def first_problems(spark, sf):
     """The first 25 disagreements in a fixed order, as a listing shows them."""
     h = pj.humans(spark, sf).filter("relation_a <> relation_c").select("doc_id", "relation_a", "relation_c")
     return sh.top_rows(h, 25, "relation_a", F.desc("doc_id"))
+
+
+# models behind an interface
+
+
+_LABELS = {"pro": "agreement", "contra": "disagreement", "both": "mixed_or_conditional", "none": "neutral_or_no_position"}
+
+
+def _by_length():  # noqa: ANN202
+    """Stands in for a classifier of four labels."""
+    return lambda texts: [(list(_LABELS)[len(t) % 4], len(t) % 100 / 100) for t in texts]
+
+
+@query("""SELECT cache_key AS generation_cache_key, 'by_length' AS evaluator_id, '1' AS evaluator_version, CASE WHEN finish_reason = 'error' THEN 'generation_error' WHEN text IS NULL OR NOT regexp_matches(text, '\\S') THEN 'malformed' ELSE ['agreement', 'disagreement', 'mixed_or_conditional', 'neutral_or_no_position'][length(text) % 4 + 1] END AS outcome,
+  CASE WHEN finish_reason <> 'error' AND regexp_matches(text, '\\S') THEN round(length(text) % 100 / 100, 6) END AS confidence, CASE WHEN finish_reason <> 'error' AND regexp_matches(text, '\\S') THEN ['pro', 'contra', 'both', 'none'][length(text) % 4 + 1] END AS native_label FROM r JOIN documents USING (doc_id)""", F_)
+def batch_scores(spark, sf):
+    """A model's native labels, mapped to shared outcomes; failed and blank responses never reach it."""
+    rows = pj.records(spark, sf).join(pj.table(spark, sf, "documents").select("doc_id", F.col("text").alias("raw_text")), "doc_id")
+    return rounded(sc.BatchScorer("by_length", "1", _by_length, _LABELS).score(rows))
+
+
+@query("SELECT DISTINCT sha256(p) AS request_key, 'Tell about ' || source AS raw_text, 'stop' AS finish_reason FROM (SELECT source, 'Tell about ' || source || ' in ' || coalesce(lang, 'any') AS p FROM documents WHERE source IS NOT NULL AND source <> 'src1')")
+def generated_missing(spark, sf):
+    """Requests without a record yet, each once, through a backend."""
+    prompt = F.concat(F.lit("Tell about "), "source", F.lit(" in "), F.coalesce("lang", F.lit("any")))
+    requests = pj.table(spark, sf, "documents").filter("source IS NOT NULL").select("source", prompt.alias("prompt")).withColumn("request_key", F.sha2("prompt", 256))
+    return sc.generate_missing(sc.EchoBackend(), requests, requests.filter("source = 'src1'"))

@@ -45,6 +45,16 @@ def export(df: DataFrame, base: str, formats: tuple[str, ...] = ("csv", "parquet
     return out
 
 
+def paper_table(df: DataFrame, base: str, caption: str, note: str = "") -> dict[str, str]:
+    """A table of a paper as Markdown, under its caption and over its note, and as LaTeX with both as comments. Nothing is overwritten."""
+    texts = {"md": f"**{caption}**\n\n{markdown(df)}" + (f"\n{note}\n" if note else ""), "tex": latex(df, " ".join(f"{caption} {note}".split()))}
+    out = {}
+    for kind, text in texts.items():
+        out[kind] = f"{base}.{kind}"
+        df.sparkSession.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(out[kind])
+    return out
+
+
 def report(title: str, sections: dict[str, DataFrame | str]) -> str:
     """A Markdown report: a heading and a table, or a paragraph, for each section."""
     parts = [f"# {title}\n"]

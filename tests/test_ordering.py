@@ -136,3 +136,26 @@ def test_digests_of_sheets_and_tables(spark, tmp_path):
     (tmp_path / "two.yaml").write_text("family: g\n")
     got = files.registry_sections(spark, str(tmp_path)).select("name", files.nested(F.col("entry"), "$.license.name").alias("license"), files.nested(F.col("entry"), "$.license.tiers[1]", "int").alias("tier"), files.nested(F.col("entry"), "$.transparency.tier", "int").alias("wrong"))
     assert [tuple(r) for r in got.orderBy("name").collect()] == [("one", "mit", 2, None), ("two", None, None, None)]
+
+
+def test_cuts_after_tokens_and_printed_tables(spark, tmp_path):
+    from quorumlake.operators import scorers
+    from quorumlake.sources import export
+
+    def load():
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)], t.decode
+
+    long = "several words of a rather long answer " * 20
+    rows = [("1", long, "stop", 500), ("2", "short", "stop", 1), ("3", long, "error", 0), ("4", " ", "stop", 3), ("5", None, "stop", None), ("6", long, "stop", 500)]
+    df = spark.createDataFrame(rows, "cache_key string, raw_text string, finish_reason string, output_tokens int")
+    got = {r.cache_key: tuple(r)[1:] for r in scorers.cut_tokens(df, load, 7).collect()}
+    assert got["1"] == got["6"] and got["1"][1:] == ("length", 7) and long.startswith(got["1"][0]) and len(got["1"][0].split()) in (6, 7)
+    assert got["2"][:2] == ("short", "stop") and got["3"] == (long, "error", 0) and got["4"] == (" ", "stop", 3) and got["5"] == (None, "stop", None)
+    out = export.paper_table(spark.createDataFrame([("a_b", 0.5)], "name string, rate double"), str(tmp_path / "t"), "Table 1. Rates", "n < 10 is not read.")
+    text = "\n".join(r.value for r in spark.read.text(out["tex"]).collect())
+    assert text.startswith("% Table 1. Rates n < 10") and r"a\_b & 0.5" in text
+    assert [r.value for r in spark.read.text(out["md"]).collect()][0] == "**Table 1. Rates**"
