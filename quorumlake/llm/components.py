@@ -32,6 +32,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def _settled(edges: DataFrame) -> bool:
     """Whether every node but the roots has one edge, to a root: no star is left to shrink."""
-    if edges.groupBy("u").count().filter("count > 1").limit(1).count():
-        return False
-    return not edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("from"), F.lit(0).alias("to")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("from"), F.lit(1).alias("to")))
+    many = ends.groupBy("node").agg(F.sum("from").alias("from"), F.max("to").alias("to"))
+    return not many.filter("`from` > 1 OR `from` > 0 AND `to` > 0").limit(1).count()

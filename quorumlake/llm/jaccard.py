@@ -30,7 +30,7 @@ from quorumlake.runtime import broadcast_if_small, discard, materialize, paralle
 
 SEEDS = 3  # partitions tried; the last one indexes all segments
 TILE_SETS, TILE_VALUES = 20_000, 4_000_000
-BIT_SETS, BIT_VALUES = 4_000, 8_000_000  # sets, and members that their bitmaps stand for, in a tile of bitmaps
+BIT_SETS, BIT_VALUES = 1_000, 4_000_000  # sets, and members that their bitmaps stand for, in a tile of bitmaps
 MOST_PAIRS = 16  # possible links that a tile names one by one, a set
 STAR_SETS, STAR_VALUES = 2_000, 1_000_000  # of one centre in one task
 FLUSH = 1_000_000
