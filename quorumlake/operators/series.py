@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from quorumlake.operators.ordering import numbered
 from quorumlake.runtime import discard, materialize
@@ -34,19 +34,27 @@ class CyclicLineage(ValueError):
     """Parent chains that never end."""
 
 
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``df`` as a table, and how many rows it has, from one job."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), label)
+    return table, seen.get["n"]
+
+
 def _jumps(edges: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
     """Tables (name, ancestor) of ancestors at distances 1, 2, 4 and so on, each written, until no chain is as long; and
     the last of them if chains are longer than there are names, as they then never end."""
-    n = edges.select("name").distinct().count()
-    jumps = [edges]
+    jumps, names = [edges], None
     while True:
         last = jumps[-1]
-        double = materialize(last.alias("a").join(last.alias("b"), F.col("a.ancestor") == F.col("b.name")).select("a.name", "b.ancestor"), "jumps")
-        if not double.limit(1).count():
+        double, n = _written(last.alias("a").join(last.alias("b"), F.col("a.ancestor") == F.col("b.name")).select("a.name", "b.ancestor"), "jumps")
+        if not n:
             discard(double)
             return jumps, None
-        if 1 << len(jumps) > n:
-            return jumps, double
+        if len(jumps) >= 6:  # most chains have ended by then
+            names = edges.select("name").distinct().count() if names is None else names
+            if 1 << len(jumps) > names:
+                return jumps, double
         jumps.append(double)
 
 

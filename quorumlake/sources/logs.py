@@ -19,13 +19,13 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from quorumlake.runtime import broadcast_if_small
 from quorumlake.sources.files import at_path
 from quorumlake.sources.schemas import struct
 from quorumlake.sources.stores import DuplicateKeys
 
 SEQUENCE, ORDINAL = "_sequence", "_ordinal"  # of the append, and of the row in it
 COMMIT = "sequence long, attempt string, n_rows long, batch string, index string, bits int"
+MOST_BROADCAST = 500_000  # appends whose ids go to every task, some 100 bytes each
 MOST_FOLDERS = 10_000  # of the key index that a batch names one by one; beyond, it reads the index as a whole
 
 
@@ -39,6 +39,14 @@ class Commit:
     bits: int = 0
 
 
+@dataclass(frozen=True)
+class State:
+    last: Commit
+    appends: int
+    rows: int
+    seen: bool
+
+
 class Log:
     def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, on: list[str], bucket_rows: int = 4096):
         self.spark, self.path, self.schema, self.on, self.bucket_rows = spark, path.rstrip("/"), struct(schema), on, bucket_rows
@@ -50,12 +58,18 @@ class Log:
         fs, where = at_path(self.spark, f"{self.path}/_commits")
         return self.spark.read.schema(COMMIT).json(where.toString()) if fs.exists(where) else self.spark.createDataFrame([], COMMIT)
 
+    def state(self, batch: str | None = None) -> State:
+        """The last append, how many there were and how many rows they have, and whether one of them was ``batch``: one small job."""
+        fields = T.StructType.fromDDL(COMMIT).names
+        r = self.commits().agg(F.max_by(F.struct(*fields), "sequence").alias("last"), F.count("*").alias("n"), F.sum("n_rows").alias("rows"), F.max(F.col("batch") == F.lit(batch)).alias("seen")).first()
+        return State(Commit(**r["last"].asDict()) if r["n"] else Commit(0, "", 0), r["n"], r["rows"] or 0, bool(r["seen"]))
+
     def last_commit(self) -> Commit:
-        found = self.commits().orderBy(F.desc("sequence")).limit(1).collect()
-        return Commit(**found[0].asDict()) if found else Commit(0, "", 0)
+        return self.state().last
 
-    def has_batch(self, batch: str) -> bool:
-        return self.commits().filter(F.col("batch") == batch).limit(1).count() > 0
+    def _finished(self, state: State, name: str) -> DataFrame:
+        done = self.commits().select(F.col("attempt").alias(name), F.col("sequence").alias(SEQUENCE))
+        return F.broadcast(done) if state.appends <= MOST_BROADCAST else done
 
     def _commit(self, commit: Commit) -> None:
         """A file of its own that appears under its name as a whole or not at all."""
@@ -74,11 +88,11 @@ class Log:
     def read(self) -> DataFrame:
         """All rows of finished appends, with the sequence number of their append and their place in it."""
         fields = T.StructType([*self.schema.fields, T.StructField(ORDINAL, T.LongType()), T.StructField("attempt", T.StringType())])
-        done = self.commits().filter("n_rows > 0").select("attempt", F.col("sequence").alias(SEQUENCE))
-        if not done.limit(1).count():
+        state = self.state()
+        if not state.rows:
             return self.spark.createDataFrame([], T.StructType([*fields.fields[:-1], T.StructField(SEQUENCE, T.LongType())]))
         rows = self.spark.read.schema(fields).parquet(self.path)
-        return rows.join(broadcast_if_small(done, 64), "attempt").drop("attempt")
+        return rows.join(self._finished(state, "attempt"), "attempt").drop("attempt")
 
     def newest(self) -> DataFrame:
         """One row a key, that of the last append; of those in one append, the last in it."""
@@ -89,9 +103,10 @@ class Log:
     def _bucket(self, bits: int) -> Column:
         return F.shiftrightunsigned(F.xxhash64(*self.on), 64 - bits) if bits else F.lit(0).cast("long")
 
-    def known(self, keys: DataFrame, at: Commit | None = None) -> DataFrame:
+    def known(self, keys: DataFrame, state: State | None = None) -> DataFrame:
         """Keys of finished appends from the index folders that may hold any of ``keys``: a superset of what they have in common."""
-        at = at or self.last_commit()
+        state = state or self.state()
+        at = state.last
         names = [self.schema[k] for k in self.on]
         fields = T.StructType([*names, T.StructField("_attempt", T.StringType())])
         if not at.index:
@@ -105,46 +120,45 @@ class Log:
             paths = [p for b in touched if fs.exists((x := at_path(self.spark, f"{base}/b={b}"))[1]) for p in [x[1].toString()]]
         if not paths:
             return self.spark.createDataFrame([], T.StructType(names))
-        done = self.commits().select(F.col("attempt").alias("_attempt"))
-        return self.spark.read.schema(fields).parquet(*paths).join(broadcast_if_small(done, 48), "_attempt", "left_semi").select(self.on)
+        return self.spark.read.schema(fields).parquet(*paths).join(self._finished(state, "_attempt"), "_attempt", "left_semi").select(self.on)
 
-    def unseen(self, rows: DataFrame, at: Commit | None = None) -> DataFrame:
+    def unseen(self, rows: DataFrame, state: State | None = None) -> DataFrame:
         """The rows, one a key, whose key the log doesn't have."""
         once = rows.dropDuplicates(self.on)
-        return _matched(once, self.known(once, at), self.on, "left_anti")
+        return _matched(once, self.known(once, state), self.on, "left_anti")
 
     def present(self, rows: DataFrame) -> DataFrame:
         """The rows whose key the log has."""
         return _matched(rows, self.known(rows), self.on, "left_semi")
 
-    def _index(self, attempt: str, last: Commit, n: int) -> tuple[str, int]:
+    def _index(self, attempt: str, state: State, n: int) -> tuple[str, int]:
         """Add an append's keys to the index. Once folders would hold four times what they should, all keys are dealt anew,
         with more bits; that happens each time their number has grown fourfold, so a key is moved a bounded number of times."""
-        total = n + int(self.commits().agg(F.sum("n_rows")).first()[0] or 0)
+        total, last = n + state.rows, state.last
         name, bits = last.index, last.bits
         keys = self.spark.read.schema(self.schema).parquet(f"{self.path}/attempt={attempt}").select(*self.on, F.lit(attempt).alias("_attempt"))
         if not name or total > 4 * self.bucket_rows << bits:
             bits = max(0, (total // self.bucket_rows).bit_length())
             name = uuid.uuid4().hex
             if last.index:
-                done = self.commits().select(F.col("attempt").alias("_attempt"))
                 fields = T.StructType([*[self.schema[k] for k in self.on], T.StructField("_attempt", T.StringType())])
                 old = self.spark.read.schema(fields).parquet(f"{self.path}/_keys/{last.index}").drop("b")
-                keys = keys.unionByName(old.join(broadcast_if_small(done, 48), "_attempt", "left_semi"))
+                keys = keys.unionByName(old.join(self._finished(state, "_attempt"), "_attempt", "left_semi"))
         dealt = keys.withColumn("b", self._bucket(bits)).repartition("b")
         dealt.write.mode("append").partitionBy("b").parquet(f"{self.path}/_keys/{name}")
         return name, bits
 
     # appends
 
-    def _append(self, rows: DataFrame, batch: str | None, last: Commit) -> int:
+    def _append(self, rows: DataFrame, batch: str | None, state: State) -> int:
+        last = state.last
         attempt, seen = uuid.uuid4().hex, Observation()
         placed = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields]).withColumn(ORDINAL, F.monotonically_increasing_id())
         placed.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/attempt={attempt}")
         n = seen.get["n"]
         new = Commit(last.sequence + 1, attempt, n, batch, last.index, last.bits)
         if n:
-            name, bits = self._index(attempt, last, n)
+            name, bits = self._index(attempt, state, n)
             new = replace(new, index=name, bits=bits)
         self._commit(new)
         if last.index and new.index != last.index:
@@ -158,16 +172,13 @@ class Log:
         A batch that was committed under the same name before is no work. One that failed half-way left no commit: its
         files are never read, and it is done again as a whole.
         """
-        if batch is not None and self.has_batch(batch):
-            return 0
-        return self._append(rows, batch, self.last_commit())
+        state = self.state(batch)
+        return 0 if state.seen else self._append(rows, batch, state)
 
     def append_unseen(self, rows: DataFrame, batch: str | None = None) -> int:
         """Append the rows with new keys, one a key, and tell how many there were. Reads the index folders of the keys, not the log."""
-        if batch is not None and self.has_batch(batch):
-            return 0
-        last = self.last_commit()
-        return self._append(self.unseen(rows, last), batch, last)
+        state = self.state(batch)
+        return 0 if state.seen else self._append(self.unseen(rows, state), batch, state)
 
     def append_exclusive(self, rows: DataFrame, batch: str | None = None) -> int:
         """Append all rows, or raise if a key is there already or twice among them."""

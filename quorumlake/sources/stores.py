@@ -70,21 +70,23 @@ def sound(found: DataFrame, most: int = 0) -> DataFrame:
 def scan(spark: SparkSession, path: str, schema: str | T.StructType, kind: str = "json", strict: bool = True) -> DataFrame:
     """All records; a missing path is an empty store. Absent optional fields are null; blank lines are skipped.
 
-    A JSON line that is broken, or whose first field is absent, stops the job that reads it; if not ``strict`` such lines are
-    left out: see ``lines`` and ``sound`` for what they are and how many.
+    A JSON line that is cut off, that has a value of another type in a field that is read, or whose first field is absent stops
+    the job that reads it; if not ``strict`` such lines are left out: see ``lines`` and ``sound`` for what they are and how many.
     """
     schema = struct(schema)
-    if kind == "json":
-        found = lines(spark, path, schema)
-        fault = F.raise_error(F.concat(F.lit("broken line in "), "_file", F.lit(": "), "_problem", F.lit(": "), F.substring("_text", 1, 80)))
-        fine = F.when(F.col("_problem").isNull(), True).otherwise(fault.cast("boolean") if strict else F.lit(False))
-        return found.filter(fine).select(schema.names)
+    if kind == "json" and not strict:
+        return lines(spark, path, schema).filter("_problem IS NULL").select(schema.names)
     try:
-        return spark.read.schema(schema).format(kind).load(path)
+        reader = spark.read.schema(schema)
+        found = (reader.option("mode", "FAILFAST") if kind == "json" else reader).format(kind).load(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
+    if kind != "json":
+        return found
+    key = schema.names[0]
+    return found.filter(F.when(F.col(key).isNotNull(), True).otherwise(F.raise_error(F.lit(f"broken line in {path}: no {key}")).cast("boolean")))
 
 
 def generations(spark: SparkSession, path: str, kind: str = "json") -> DataFrame:

@@ -107,8 +107,16 @@ def test_broken_lines_are_told_and_stop_a_strict_scan(spark, tmp_path):
     with pytest.raises(stores.BrokenRecords, match="4 broken lines, 3 allowed.*log.jsonl"):
         stores.sound(found, 3)
     assert [r.raw_text for r in stores.sound(found, 4).collect()] == ["one", "again"]
-    with pytest.raises(Exception, match="broken line"):
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILED_READ_FILE|broken line"):
         stores.scan(spark, path, RECORD).select("raw_text").collect()
+    for bad in (2, 4, 5, 6):  # each of them alone
+        one = tmp_path / f"bad{bad}.jsonl"
+        one.write_text("\n".join([LINES[0], LINES[1], LINES[3], LINES[bad]]))
+        with pytest.raises(Exception, match="MALFORMED_RECORD|FAILED_READ_FILE|broken line"):
+            stores.scan(spark, str(one), RECORD).select("input_tokens").collect()
+    fine = tmp_path / "fine.jsonl"
+    fine.write_text("\n".join([LINES[0], LINES[1], LINES[3], LINES[7]]))
+    assert stores.scan(spark, str(fine), RECORD).count() == 2
     assert stores.scan(spark, path, RECORD, strict=False).count() == 2
     assert stores.last_lines(found, on=["cache_key"]).first().raw_text == "again"
     assert stores.lines(spark, str(tmp_path / "none"), RECORD).count() == 0
