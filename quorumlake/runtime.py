@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def scratch_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     key = "spark.quorumlake.scratch"
     if not spark.conf.get(key, None):
-        spark.conf.set(key, tempfile.mkdtemp(prefix="quorumlake-"))
+        path = tempfile.mkdtemp(prefix="quorumlake-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        spark.conf.set(key, path)
     return spark.conf.get(key)
 
 
