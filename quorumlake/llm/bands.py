@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from quorumlake.llm.blocks import runs
 from quorumlake.runtime import materialize
@@ -174,6 +174,18 @@ def _band(part: pa.Table, top: int) -> pa.Table:
     return pa.table([pa.array(prices), pa.array(low[0] + high[0]), pa.array(gaps), pa.array(low[2] + high[2]), near], names=["p", "n_pairs", "gap_sum", "lines_crc", "near"])
 
 
+def _first_lines(cells: DataFrame, top: int) -> DataFrame:
+    """(u, sales, nos, items): the lists of a unit price from all chunks, thinned out again to one. Tasks keep as few lines of a
+    unit price before the shuffle, so one with a third of all lines costs a task what it costs any other."""
+    lines = cells.select("u", F.explode(F.arrays_zip("sales", "nos", "items")).alias("l")).select("u", "l.*")
+    by_item = W.partitionBy("u", "items").orderBy("sales", "nos")
+    by_price = W.partitionBy("u").orderBy("sales", "nos", "items")
+    kept = lines.withColumn("_k", F.row_number().over(by_item)).filter(F.col("_k") <= top)
+    kept = kept.withColumn("_k", F.row_number().over(by_price)).filter(F.col("_k") <= 2 * top)
+    one = kept.groupBy("u").agg(F.collect_list(F.struct("sales", "nos", "items")).alias("l"))  # 2 * top at most
+    return one.select("u", *[F.col("l")[c].alias(c) for c in ("sales", "nos", "items")])
+
+
 def near_prices(lines: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     """For each row of ``items`` its first ``top`` pairs, one row each, and the count, gap sum and checksum of all its pairs.
 
@@ -200,12 +212,14 @@ def near_prices(lines: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame
     wares = items.select(F.col("item_id").cast("long").alias("item_id"), cents(F.col("price")).alias("p"))
     price = wares.filter("p IS NOT NULL").select("p").distinct().select(bucket(F.col("p")).alias("bucket"), F.col("p").alias("v"))
     u = F.col("u")
-    ranged = cells.filter("item_id IS NULL").select(u.alias("v"), "n", "crc", lowest(u).alias("lo"), highest(u).alias("hi"), "sales", "nos", "items")
+    parts_of = cells.filter("item_id IS NULL")
+    totals = parts_of.groupBy("u").agg(F.sum("n").alias("n"), F.sum("crc").alias("crc"))
+    ranged = totals.join(_first_lines(parts_of, top), "u").select(u.alias("v"), "n", "crc", lowest(u).alias("lo"), highest(u).alias("hi"), "sales", "nos", "items")
     spread = ranged.withColumn("bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))))
     parts = spread.unionByName(price, allowMissingColumns=True).repartitionByRange("bucket")
     bands = parts.groupBy("bucket").applyInArrow(lambda part: _band(part, top), BAND)
 
-    own = cells.filter("item_id IS NOT NULL").select("item_id", "u", "n", "crc").join(wares.filter("p IS NOT NULL").distinct(), "item_id").filter(paired(u, F.col("p")))
+    own = cells.filter("item_id IS NOT NULL").groupBy("item_id", "u").agg(F.sum("n").alias("n"), F.sum("crc").alias("crc")).join(wares.filter("p IS NOT NULL").distinct(), "item_id").filter(paired(u, F.col("p")))
     own = own.groupBy("item_id", "p").agg(F.sum("n").alias("own_n"), F.sum(F.col("n") * F.abs(u - F.col("p"))).alias("own_gap"), F.sum("crc").alias("own_crc"))
     all_ = wares.join(own, ["item_id", "p"], "left").join(bands, "p", "left")
     others = F.slice(F.filter("near", lambda x: ~x["line_item_id"].eqNullSafe(F.col("item_id"))), 1, top)
