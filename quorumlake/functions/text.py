@@ -115,3 +115,14 @@ def first_words(text: Column, n: int) -> Column:
 
 def joined_prompt(prefix: Column, joiner: Column, statement: Column) -> Column:
     return F.when(joiner == " ", F.trim(F.concat(prefix, joiner, statement))).otherwise(F.concat(prefix, joiner, statement))
+
+
+POWER_LIMITS = {"current": "Current Power Limit", "default": "Default Power Limit", "min": "Min Power Limit", "max": "Max Power Limit"}  # fixed values: labels of the report
+
+
+def power_limits(report: Column) -> Column:
+    """Watts of a card's limits (current, default, min, max) from the first block of readings of a power report, or from the whole text
+    where it has no such block; a limit that isn't given in watts is null."""
+    first = F.nullif(F.regexp_extract(report, r"(?s)GPU Power Readings(.*?)(?:Power Samples|Module Power Readings)", 1), F.lit(""))
+    watts = lambda label: F.regexp_extract(F.coalesce(first, report), label + r"\s*:\s*([0-9.]+)\s*W", 1).try_cast("double")
+    return F.struct(*[watts(label).alias(name) for name, label in POWER_LIMITS.items()])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quorumlake.functions import stats as st
+from quorumlake.functions import stats as st, text as tx
 from quorumlake.operators import frame as fr, paired as pa, printed as pr, reshape as sh, row_bootstrap as rb, scorers as sc
 from quorumlake.plans import projection as pj, registry, studies
 from quorumlake.plans.registry import F_, H_, SQL, _wil, query, rounded
@@ -199,3 +199,14 @@ def generated_missing(spark, sf):
     prompt = F.concat(F.lit("Tell about "), "source", F.lit(" in "), F.coalesce("lang", F.lit("any")))
     requests = pj.table(spark, sf, "documents").filter("source IS NOT NULL").select("source", prompt.alias("prompt")).withColumn("request_key", F.sha2("prompt", 256))
     return sc.generate_missing(sc.EchoBackend(), requests, requests.filter("source = 'src1'"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN round(n_chars % 3000 / 10, 6) END AS current, round(250 + doc_id % 7, 6) AS "default", CASE WHEN doc_id % 3 <> 0 THEN 100.0::DOUBLE END AS "min", round(CAST(300 + doc_id % 11 AS DOUBLE), 6) AS "max" FROM documents""")
+def power_reports(spark, sf):
+    """Limits from reports with several blocks; a reading that is no number is null, whatever the later block says."""
+    d, i = pj.table(spark, sf, "documents").select("doc_id", "n_chars"), F.col("doc_id")
+    line = lambda label, value: F.concat(F.lit(f"    {label}      : "), value, F.lit("\n"))
+    watts = lambda x: F.format_string("%.2f W", x.cast("double"))
+    own = F.concat(line("Current Power Limit", F.when(i % 5 == 0, "N/A").otherwise(watts(F.col("n_chars") % 3000 / 10))), line("Default Power Limit", watts(250 + i % 7)), line("Min Power Limit", F.when(i % 3 == 0, "N/A").otherwise(watts(F.lit(100)))), line("Max Power Limit", watts(300 + i % 11)))
+    report = F.when(i % 4 == 0, own).otherwise(F.concat(F.lit("GPU Power Readings\n"), own, F.lit("Power Samples\n  Duration : 1 sec\nModule Power Readings\n"), line("Current Power Limit", watts(F.lit(7))), line("Min Power Limit", watts(F.lit(7)))))
+    return rounded(d.select("doc_id", tx.power_limits(report).alias("p")).select("doc_id", "p.*"))
