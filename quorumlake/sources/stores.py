@@ -72,6 +72,7 @@ def scan(spark: SparkSession, path: str, schema: str | T.StructType, kind: str =
 
     A JSON line that is cut off, that has a value of another type in a field that is read, or whose first field is absent stops
     the job that reads it; if not ``strict`` such lines are left out: see ``lines`` and ``sound`` for what they are and how many.
+    A line that begins with an empty JSON array holds no record for the reader, which passes over it; ``lines`` tells of it too.
     """
     schema = struct(schema)
     if kind == "json" and not strict:
