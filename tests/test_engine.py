@@ -345,6 +345,28 @@ def test_cluster_and_cell_weights_agree(spark):
     assert {r.rep: r.v for r in cells} == whole and len(whole) == 20
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_draws_are_never_broadcast(spark, by):
+    """The planner takes exploded draws for a few rows; their table is replicates x clusters."""
+    rows = spark.range(50).select((F.col("id") % 3).alias("g"), F.concat(F.lit("c"), "id").alias("c"), F.lit(1).alias("v"))
+    s = resample.replicates(rows, "c", {"v": F.col("v")}, 20, by)
+    cells = resample.replicates_by_cell(rows, "c", "g", ["v"], 20)
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (s, cells)]
+    assert all("ShuffledHashJoin [_at" in p for p in plans) and "Broadcast" not in plans[0]
+
+
+def test_draws_in_pieces_are_the_hashed_draws_of_each_group(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(resample, "DRAWS", 7)
+    held = {"a": 20, "b": 1, "d": 7, None: 4}
+    rows = spark.createDataFrame([(g, f"c{i:02d}", float(i * i)) for g, n in held.items() for i in range(n)], "g string, c string, v double")
+    got = {(r.g, r.rep): r.v for r in resample.replicates(rows, "c", {"v": F.col("v")}, 30, ["g"]).collect()}
+    at = lambda rep, k, n: int(hashlib.md5(f"{rep}:{k}".encode()).hexdigest()[:8], 16) % n
+    assert got == {(g, rep): float(sum(at(rep, k, n) ** 2 for k in range(n))) for g, n in held.items() if g for rep in range(30)}
+    assert resample.replicates(rows.limit(0), "c", {"v": F.col("v")}, 30, []).count() == 0
+
+
 # files
 
 
