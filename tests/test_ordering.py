@@ -159,3 +159,16 @@ def test_cuts_after_tokens_and_printed_tables(spark, tmp_path):
     text = "\n".join(r.value for r in spark.read.text(out["tex"]).collect())
     assert text.startswith("% Table 1. Rates n < 10") and r"a\_b & 0.5" in text
     assert [r.value for r in spark.read.text(out["md"]).collect()][0] == "**Table 1. Rates**"
+
+
+def test_digest_of_three_levels_equals_sql_beyond_their_rows(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.range(64**3 + 130).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.concat(F.lit("t"), "id").alias("text")).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    got = entry.queries()["table_digest"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.select("n", "digest").collect()] == con.execute(f"SELECT n, digest FROM ({entry.oracle_sql()['table_digest']})").fetchall()
