@@ -86,8 +86,8 @@ def resumed_ingest(spark, sf):
     landing, path, check = _path(spark), _path(spark), _path(spark)
     sales = pj.table(spark, sf, "sales").filter("sale_id IS NOT NULL").select("sale_id", "client_id", "total")
     for k in range(4):
-        sales.filter(F.col("sale_id") % 5 <= k + 1).coalesce(1).write.mode("append").json(landing)
-        ingest_log(spark, landing, path, sales.schema, ["sale_id"], check, files=1).awaitTermination()
+        sales.filter(F.col("sale_id") % 5 <= k + 1).write.mode("append").json(landing)
+        ingest_log(spark, landing, path, sales.schema, ["sale_id"], check).awaitTermination()  # all that is new is one batch
     log = Log(spark, path, sales.schema, ["sale_id"])
     commits = log.commits().count()
     ingest_log(spark, landing, path, sales.schema, ["sale_id"], _path(spark)).awaitTermination()

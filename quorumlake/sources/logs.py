@@ -27,6 +27,7 @@ SEQUENCE, ORDINAL = "_sequence", "_ordinal"  # of the append, and of the row in
 COMMIT = "sequence long, attempt string, n_rows long, batch string, index string, bits int"
 MOST_BROADCAST = 500_000  # appends whose ids go to every task, some 100 bytes each
 MOST_FOLDERS = 10_000  # of the key index that a batch names one by one; beyond, it reads the index as a whole
+FEW_FOLDERS = 64  # where a look at all keys costs less than a wrong guess
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,15 @@ class Log:
     def _bucket(self, bits: int) -> Column:
         return F.shiftrightunsigned(F.xxhash64(*self.on), 64 - bits) if bits else F.lit(0).cast("long")
 
+    def _touched(self, keys: DataFrame, bits: int) -> list[int] | None:
+        """Folders of the index that the keys fall into. None: about half of them or more, or too many to name, so the index is
+        read as a whole; the first keys mostly tell, without a look at the others."""
+        bucket, most = keys.select(self._bucket(bits)), min(1 << bits, MOST_FOLDERS)
+        if most >= FEW_FOLDERS and 2 * len({r[0] for r in bucket.take(2 * most)}) > most:
+            return None
+        touched = [r[0] for r in bucket.distinct().limit(MOST_FOLDERS + 1).collect()]
+        return touched if len(touched) <= MOST_FOLDERS else None
+
     def known(self, keys: DataFrame, state: State | None = None) -> DataFrame:
         """Keys of finished appends from the index folders that may hold any of ``keys``: a superset of what they have in common."""
         state = state or self.state()
@@ -112,9 +122,9 @@ class Log:
         if not at.index:
             return self.spark.createDataFrame([], T.StructType(names))
         base = f"{self.path}/_keys/{at.index}"
-        touched = [r[0] for r in keys.select(self._bucket(at.bits)).distinct().limit(MOST_FOLDERS + 1).collect()]
+        touched = self._touched(keys, at.bits)
         fs, root = at_path(self.spark, base)
-        if len(touched) > MOST_FOLDERS:
+        if touched is None:
             paths = [base] if fs.exists(root) else []
         else:
             paths = [p for b in touched if fs.exists((x := at_path(self.spark, f"{base}/b={b}"))[1]) for p in [x[1].toString()]]
@@ -125,7 +135,7 @@ class Log:
     def unseen(self, rows: DataFrame, state: State | None = None) -> DataFrame:
         """The rows, one a key, whose key the log doesn't have."""
         once = rows.dropDuplicates(self.on)
-        return _matched(once, self.known(once, state), self.on, "left_anti")
+        return _matched(once, self.known(rows, state), self.on, "left_anti")
 
     def present(self, rows: DataFrame) -> DataFrame:
         """The rows whose key the log has."""
@@ -145,7 +155,8 @@ class Log:
                 old = self.spark.read.schema(fields).parquet(f"{self.path}/_keys/{last.index}").drop("b")
                 keys = keys.unionByName(old.join(self._finished(state, "_attempt"), "_attempt", "left_semi"))
         dealt = keys.withColumn("b", self._bucket(bits)).repartition("b")
-        dealt.write.mode("append").partitionBy("b").parquet(f"{self.path}/_keys/{name}")
+        # files are moved by the tasks, not one by one by the driver: what no commit names is never read, so halves do no harm
+        dealt.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("b").parquet(f"{self.path}/_keys/{name}")
         return name, bits
 
     # appends
