@@ -4,7 +4,8 @@ Texts are dealt to chunks; a chunk's distinct n-grams with their counts go, pack
 the count table, which sum them and answer each chunk with what other chunks add; the chunk joins the answers to its
 exploded n-grams and sums per document. Counts leave the scored document out, so that no text vouches for itself. An
 n-gram of three words or more can stand in another document only if both n-grams of one word less do: only these are sent,
-once the shorter ones are answered. Texts are shuffled once: all uses of them share one exchange. (Rows of single n-grams,
+once the shorter ones are answered. Texts are shuffled once before and once after the answers are written: all later uses of
+them share one exchange, and the files of the former go when the answers are written. (Rows of single n-grams,
 about 40 bytes each for 6 to 7 bytes of text, would move several times the input an order; packed ranges move a sixth.)
 """
 
@@ -183,7 +184,7 @@ def stupid_backoff(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, do
     answered = lambda sent: sent.groupBy("bucket", "n").applyInArrow(answer, SENT)
     answers = answered(by_chunk.applyInArrow(send, SENT))
     for n in range(3, order + 1):
-        answers = materialize(answers, "answers")
+        answers = materialize(answers, "answers", drop_shuffles=True)  # texts are shuffled again after it: two copies of them are too many
         answers = answers.unionByName(answered(answers.groupBy("chunk").cogroup(by_chunk).applyInArrow(send_longer(n), SENT)))
     return answers.groupBy("chunk").cogroup(by_chunk).applyInArrow(scored, f"doc_id {kind}, n_words long, log10_score double, log10_per_word double")
 

@@ -767,3 +767,20 @@ def test_registered_queries_run_on_whole_tables(spark):
     n = ds.dataset(f"{SF}/documents.parquet").count_rows()
     for name in ("op2_stupid_backoff", "op3_word_backoff_language", "op4_multiset_fingerprints", "op5_site_lines", "op6_disclosure_pii", "op8_ngram_jaccard", "op9_jump_shards", "op10_suffix_repeats"):
         assert registry.QUERIES[name](spark, SF).count() == n, name
+
+
+def test_shuffle_files_of_a_written_half_go_at_its_end(spark):
+    """Else texts of two shuffles are on disk at once."""
+    from quorumlake.runtime import materialize
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    files = lambda: {x for x in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()).replace(")", ",").split(", ") if "shuffle_" in x}
+    old = files()
+    out = materialize(spark.range(1000).repartition(3, "id"), drop_shuffles=True)
+    end = time.time() + 20
+    while files() - old and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - old and out.count() == 1000 and spark.conf.get(key) == before
+    materialize(spark.range(1000).repartition(3, "id"))
+    assert files() - old
