@@ -355,6 +355,13 @@ def test_draws_are_never_broadcast(spark, by):
     assert all("ShuffledHashJoin [_at" in p for p in plans) and "Broadcast" not in plans[0]
 
 
+def test_paired_means_are_drawn_without_a_broadcast_and_equal_sql(spark, duck, monkeypatch):
+    monkeypatch.setattr(resample, "DRAWS", 50)  # several pieces a stage
+    got = registry.QUERIES["boot_mean_ci"](spark, SF)
+    assert "ShuffledHashJoin [_at" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in got.select("stage", "valid", "low", "high").collect()) == sorted(duck.execute(f"SELECT stage, valid, low, high FROM ({registry.SQL['boot_mean_ci']})").fetchall())
+
+
 def test_draws_in_pieces_are_the_hashed_draws_of_each_group(spark, monkeypatch):
     import hashlib
 
