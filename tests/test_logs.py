@@ -155,3 +155,17 @@ def test_an_interrupted_stream_adds_each_key_once(spark, tmp_path, monkeypatch):
     log = Log(spark, path, SCHEMA, ["k"])
     assert sorted(r.k for r in log.read().collect()) == sorted(f"k{i}" for i in range(45))
     assert log.commits().count() == 4 and log.clean() == 1
+
+
+def test_a_batch_in_most_folders_reads_the_index_as_a_whole(spark, tmp_path):
+    """Without a look at all its keys; a small batch still opens the folders of its own keys only."""
+    log = Log(spark, str(tmp_path / "log"), "k long", ["k"], bucket_rows=4)
+    keys = spark.range(400).withColumnRenamed("id", "k")
+    assert log.append_unseen(keys, "a") == 400
+    bits = log.last_commit().bits
+    assert 1 << bits >= 64 and log._touched(keys, bits) is None
+    few = spark.range(398, 401).withColumnRenamed("id", "k")
+    assert 1 <= len(log._touched(few, bits)) <= 3
+    assert [r.k for r in log.unseen(few).collect()] == [400]
+    assert log.append_unseen(spark.range(450).withColumnRenamed("id", "k"), "b") == 50 and log.append_unseen(keys, "c") == 0
+    assert sorted(r.k for r in log.read().collect()) == list(range(450))
